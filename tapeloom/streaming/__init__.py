@@ -1,0 +1,2 @@
+"""Intentionally empty: every input of the covered workloads is a finished file,
+so there is no streaming operator to offer."""
