@@ -100,10 +100,15 @@ def horizon_labels(spark: SparkSession, sf_dir: str, horizons=(1, 2, 3)) -> Data
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three streams from the event table: 1 snapshot, 2 order, 3 trade."""
+    """Order, trade and snapshot events; a stock-day is one user's week.
+
+    ``time_ms`` counts from 09:30 of the week's first day, negative before it.
+    """
     ts = F.col("ts")
+    week = F.trunc(ts, "week")
     second = F.expr("extract(SECOND FROM ts)")
-    ms = (F.hour(ts) * 3600 + F.minute(ts) * 60) * 1000 + F.floor(second * 1000).cast("int")
+    of_day = (F.hour(ts) * 3600 + F.minute(ts) * 60) * 1000 + F.floor(second * 1000)
+    time_ms = F.datediff(F.to_date(ts), week) * 86_400_000 + of_day - 34_200_000
     kind = F.col("event_type")
     stream = (
         F.when(kind.isin("view", "click"), "order")
@@ -111,12 +116,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("snap")
     )
     return table(spark, sf_dir, "events").select(
-        F.to_date(ts).alias("day"),
+        week.alias("day"),
         pad_symbol(F.col("user_id")).alias("ticker"),
         stream.alias("stream"),
-        ms.cast("int").alias("time_ms"),
+        time_ms.cast("int").alias("time_ms"),
         F.col("event_id").alias("seq"),
-        F.col("event_type"),
         F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("int").alias("qty"),
     )
@@ -207,12 +211,14 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "ev": (
         (),
-        """SELECT CAST(ts AS DATE) AS day,
+        """SELECT CAST(date_trunc('week', ts) AS DATE) AS day,
            CASE WHEN length(CAST(user_id AS VARCHAR)) >= 6 THEN CAST(user_id AS VARCHAR)
              ELSE lpad(CAST(user_id AS VARCHAR), 6, '0') END AS ticker,
            CASE WHEN event_type IN ('view', 'click') THEN 'order'
              WHEN event_type IN ('purchase', 'signup') THEN 'trade' ELSE 'snap' END AS stream,
-           CAST(epoch_ms(ts) % 86400000 AS INTEGER) AS time_ms, event_id AS seq, event_type,
+           CAST((epoch_us(ts) - epoch_us(date_trunc('week', ts))) // 1000 - 34200000 AS INTEGER)
+             AS time_ms,
+           event_id AS seq,
            value AS price,
            CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS qty FROM events""",
     ),
