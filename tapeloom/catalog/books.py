@@ -380,7 +380,7 @@ FEATURES = tuple(f"{m}__{f}" for m in MODALITIES for f in ("price", "size"))
 def minutes(spark, sf_dir):
     """Minute rows per supplier-quarter; the return flag decides the modality."""
     flag = F.col("l_returnflag")
-    price = F.col("l_extendedprice") / F.col("l_quantity") / 7.0
+    price = F.sqrt(F.col("l_extendedprice") / F.col("l_quantity"))
     modality = F.when(flag == "A", "order").when(flag == "N", "trade").otherwise("snap")
     base = fx.table(spark, sf_dir, "lineitem").select(
         F.date_format(F.trunc("l_shipdate", "quarter"), "yyyyMMdd").cast("int").alias("date"),
@@ -419,7 +419,7 @@ define_view(
         ELSE lpad(CAST(l_suppkey AS VARCHAR), 6, '0') END AS ticker,
       CAST(l_linenumber + 890 AS INTEGER) AS minute,
       CASE l_returnflag WHEN 'A' THEN 'order' WHEN 'N' THEN 'trade' ELSE 'snap' END AS modality,
-      l_extendedprice / l_quantity / 7.0 AS price,
+      sqrt(l_extendedprice / l_quantity) AS price,
       CASE WHEN l_discount = 0.05 THEN CAST('nan' AS DOUBLE) ELSE l_quantity END AS size,
       l_shipdate, l_orderkey, l_partkey, l_extendedprice FROM lineitem""",
 )
