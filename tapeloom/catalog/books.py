@@ -162,25 +162,25 @@ def book_months(spark, sf_dir):
     "S8_book_month_fallback",
     with_sql("book")
     + """SELECT trading_date, count(*) AS rows, CAST(sum(ask_volume1) AS BIGINT) AS size
-    FROM book WHERE trading_date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'
-    GROUP BY trading_date""",
+    FROM book GROUP BY trading_date""",
 )
 def book_fallback(spark, sf_dir):
-    """Months with a whole file and months with day files only."""
+    """Odd months have a whole file, even months only day files."""
     root = scratch(spark, "months")
-    rows = settle(
-        book(spark, sf_dir)
-        .where("trading_date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'")
-        .select("trading_date", "symbol", "ask_volume1"),
-        "halfyear",
-    )
-    months = [f"1997{m:02d}" for m in range(1, 7)]
-    days = [f"{m}01" for m in months]
-    for month, day in zip(months, days, strict=True):
-        part = rows.where(F.date_format("trading_date", "yyyyMM") == month)
-        name = month if int(month) % 2 else day
-        part.write.parquet(f"{root}/snapshot_{name}.parquet")
-    paths, _ = files.resolve_book_paths(spark, root, months, days)
+    month, day = (F.date_format("trading_date", f) for f in ("yyyyMM", "yyyyMMdd"))
+    odd = F.month("trading_date") % 2 == 1
+    file = F.concat(F.lit("snapshot_"), F.when(odd, month).otherwise(day), F.lit(".parquet"))
+    rows = book(spark, sf_dir).select("trading_date", "symbol", "ask_volume1", file.alias("file"))
+    rows.write.partitionBy("file").parquet(root)
+    dates = [  # one per month
+        r["trading_date"] for r in spark.read.parquet(root).select("trading_date").distinct().collect()
+    ]
+    paths, _ = files.resolve_book_paths(
+        spark,
+        root,
+        sorted(d.strftime("%Y%m") for d in dates),
+        sorted(d.strftime("%Y%m%d") for d in dates),
+    )
     return (
         spark.read.parquet(*paths)
         .groupBy("trading_date")

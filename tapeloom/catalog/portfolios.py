@@ -133,12 +133,12 @@ def top_k(spark, sf_dir):
     "P1_top_k_selection_with_cash",
     with_sql("urank")
     + """SELECT label_date, symbol, rank, round(0.1, 9)::DOUBLE AS weight FROM urank
-    WHERE rank <= 10 AND score >= 0.7""",
+    WHERE rank <= 10 AND score >= 0.95""",
 )
 def top_k_cash(spark, sf_dir):
     preds = predictions(spark, sf_dir)
     sessions = pf.eligible_sessions(preds, MIN)
-    chosen = pf.select_top_k(preds, sessions, K, min_score=0.7, allow_cash=True)
+    chosen = pf.select_top_k(preds, sessions, K, min_score=0.95, allow_cash=True)
     return chosen.select("label_date", "symbol", "rank", rounded("weight").alias("weight"))
 
 
@@ -951,62 +951,28 @@ def make_predictions(spark, sf_dir):
     return out.withColumn("score", rounded("score"))
 
 
-CANDIDATES = ((1.0, None), (1.0, 0.9), (0.5, None), (0.5, 0.9))
-
-
-def candidate_name(alpha, threshold) -> str:
-    return f"ema{alpha:g}-min{'none' if threshold is None else format(threshold, 'g')}"
+CANDIDATES = ((1.0, None), (1.0, 0.95), (0.5, None), (0.5, 0.95))
+candidate_name = pf.candidate_name
 
 
 def candidate_matrix(spark, sf_dir):
     """Portfolio figures of each (smoothing, threshold) on both partitions."""
-    from functools import reduce
-
     indexed, sessions, market = fx.panel(spark, sf_dir)
     signals = settle(fx.signals_of(indexed, sessions), "signals")
-    targets = settle(
-        lab.horizon_returns(indexed, sessions, market, (1,)).withColumn(
-            "target_return", F.col("raw_return")
+    alphas = sorted({a for a, _ in CANDIDATES})
+    scores = rk.smoothed_ranks(signals, alphas, "partition")
+    targets = lab.horizon_returns(indexed, sessions, market, (1,))
+    preds = scores.join(
+        targets.select(
+            "trading_date",
+            "symbol",
+            F.col("return_end_date").alias("label_date"),
+            F.col("raw_return").alias("target_return"),
         ),
-        "targets",
-    )
-    rows = []
-    for alpha in sorted({a for a, _ in CANDIDATES}, reverse=True):
-        scores = settle(
-            rk.percentile_ranks(signals, alpha).join(
-                signals.select("partition", "trading_date", "symbol"), ["trading_date", "symbol"]
-            ),
-            "scores",
-        )
-        for window in ("validation", "oos"):
-            part = scores.where(F.col("partition") == window)
-            preds = settle(pf.make_predictions(part, part, targets), "predictions")
-            dates = pf.eligible_sessions(preds, MIN)
-            for a, threshold in CANDIDATES:
-                if a != alpha:
-                    continue
-                holdings = settle(
-                    pf.select_top_k(preds, dates, K, threshold, allow_cash=threshold is not None),
-                    "holdings",
-                )
-                charged = pf.charge(pf.build_trades(holdings, preds, dates))
-                daily = settle(pf.daily_table(preds, holdings, charged, dates, (), K), "daily")
-                top5 = pf.extreme_days(daily, "active_return").select(
-                    "top_5_absolute_contribution"
-                )
-                rows.append(
-                    pf.portfolio_summary(daily).select(
-                        F.lit(candidate_name(a, threshold)).alias("name"),
-                        F.lit(threshold).cast("double").alias("min_score"),
-                        F.lit(window).alias("window"),
-                        "evaluated_dates",
-                        "mean_net_active_return",
-                        "mean_one_way",
-                        "mean_cash_weight",
-                        top5.scalar().alias("top_5_absolute_active_contribution"),
-                    )
-                )
-    return settle(reduce(lambda x, y: x.unionByName(y), rows), "matrix")
+        ["trading_date", "symbol"],
+    ).withColumn("in_universe", F.lit(True))
+    preds = settle(preds.withColumnRenamed("partition", "window"), "predictions")
+    return settle(pf.candidate_matrix(preds, CANDIDATES, K, MIN), "matrix")
 
 
 def _candidate_views() -> str:
@@ -1029,10 +995,12 @@ define_view(
         SELECT *, dense_rank() OVER (ORDER BY trading_date) AS day FROM signals)),
       e AS (SELECT symbol, trading_date, day, partition, alpha, c AS v FROM x a,
           (SELECT unnest([1.0, 0.5])::DOUBLE AS alpha) WHERE NOT EXISTS (
-          SELECT 1 FROM x b WHERE b.symbol = a.symbol AND b.day = a.day - 1)
+          SELECT 1 FROM x b WHERE b.symbol = a.symbol AND b.day = a.day - 1
+            AND b.partition = a.partition)
         UNION ALL SELECT x.symbol, x.trading_date, x.day, x.partition, e.alpha,
           e.alpha * x.c + (1.0 - e.alpha) * e.v
-          FROM e JOIN x ON x.symbol = e.symbol AND x.day = e.day + 1)
+          FROM e JOIN x ON x.symbol = e.symbol AND x.day = e.day + 1
+            AND x.partition = e.partition)
     SELECT trading_date, symbol, partition, alpha, v AS score FROM e""",
 )
 define_view(
@@ -1085,15 +1053,18 @@ define_view(
     "matrix",
     ("cday",),
     """SELECT name, "window", any_value(low) AS min_score, count(*) AS evaluated_dates,
-      avg(active - cost) AS mean_net_active_return, avg((buy + sell) / 2) AS mean_one_way,
+      avg(active) AS mean_active_return, avg(active - cost) AS mean_net_active_return,
+      avg((buy + sell) / 2) AS mean_one_way, avg(cost) AS mean_transaction_cost,
       avg(1 - exposure) AS mean_cash_weight,
       sum(abs(active)) FILTER (WHERE r <= 5) / sum(abs(active)) AS top_5_absolute_active_contribution
     FROM (SELECT *, row_number() OVER (PARTITION BY name, "window" ORDER BY abs(active) DESC) AS r
       FROM cday) GROUP BY name, "window" """,
 )
 MATRIX_VALUES = (
+    "mean_active_return",
     "mean_net_active_return",
     "mean_one_way",
+    "mean_transaction_cost",
     "mean_cash_weight",
     "top_5_absolute_active_contribution",
 )
@@ -1107,7 +1078,8 @@ MATRIX_VALUES = (
 )
 def matrix(spark, sf_dir):
     keep = ("name", "window", "min_score", "evaluated_dates")
-    return round_columns(candidate_matrix(spark, sf_dir), keep, 7)
+    rows = candidate_matrix(spark, sf_dir).drop("mean_selected_rank_ic")
+    return round_columns(rows, keep, 7)
 
 
 @query(

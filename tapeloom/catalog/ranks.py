@@ -587,13 +587,8 @@ def percentile_rank_ema(spark, sf_dir):
 def calibrated(spark, sf_dir, horizon=2):
     """Ranks of both partitions, the map fitted on validation rows with a target."""
     indexed, sessions, market = fx.panel(spark, sf_dir)
-    signals = settle(fx.signals_of(indexed, sessions), "signals")
-    ranks = settle(
-        rk.percentile_ranks(signals, 0.5).join(
-            signals.select("partition", "trading_date", "symbol"), ["trading_date", "symbol"]
-        ),
-        "ranks",
-    )
+    signals = fx.signals_of(indexed, sessions)
+    ranks = settle(rk.percentile_ranks(signals, 0.5, "partition"), "ranks")
     targets = lab.horizon_returns(indexed, sessions, market, (horizon,))
     fit = ranks.where("partition = 'validation'").join(
         targets.select("trading_date", "symbol", "target_return"), ["trading_date", "symbol"]

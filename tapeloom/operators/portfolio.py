@@ -23,17 +23,37 @@ SLEEVES = 5
 EXTREME_DAYS = (1, 5, 10)
 
 
-def eligible_sessions(predictions: DataFrame, min_symbols: int, universe_only: bool = True) -> DataFrame:
-    """Label dates with enough rows, numbered in order; one row per session."""
+def eligible_sessions(
+    predictions: DataFrame,
+    min_symbols: int,
+    universe_only: bool = True,
+    segment: str | None = None,
+) -> DataFrame:
+    """Label dates with enough rows, numbered in order; one row per session.
+
+    Between two values of ``segment`` the numbering skips one, so nothing is carried from
+    the last session of one evaluation window into the next window.
+    """
     counted = F.when(F.col("in_universe"), 1) if universe_only else F.lit(1)
+    extra = [] if segment is None else [F.first(segment).alias(segment)]
     per_date = predictions.groupBy("label_date").agg(
-        F.count(counted).alias("universe_size"), F.first("trading_date").alias("trading_date")
+        F.count(counted).alias("universe_size"),
+        F.first("trading_date").alias("trading_date"),
+        *extra,
     )
     along = Window.orderBy("label_date")
-    enough = per_date.where(F.col("universe_size") >= min_symbols)
-    return sized(
-        enough.withColumn("session", (F.row_number().over(along) - 1).cast("long")), "sessions"
-    )
+    number = F.row_number().over(along) - 1
+    if segment is not None:
+        border = F.coalesce(F.col(segment) != F.lag(segment).over(along), F.lit(False))
+        marked = per_date.where(F.col("universe_size") >= min_symbols).withColumn(
+            "_border", border.cast("int")
+        )
+        number = number + F.sum("_border").over(along)
+    else:
+        marked = per_date.where(F.col("universe_size") >= min_symbols).withColumn(
+            "_border", F.lit(0)
+        )
+    return sized(marked.withColumn("session", number.cast("long")).drop("_border"), "sessions")
 
 
 def rank_limit(predictions: DataFrame, sessions: DataFrame, limit: int) -> DataFrame:
@@ -204,13 +224,14 @@ def daily_table(
     sessions: DataFrame,
     keys: Sequence[str] = (),
     k: Column | int = 50,
+    policies: Sequence[Sequence[object]] = (),
     costs: Sequence[float] = (),
 ) -> DataFrame:
     """Return, cost, turnover, overlap and exposure of every session.
 
-    ``keys`` name the policy of a holding; ``costs`` lists the ``cost_bps`` values of the
-    charged trades when there are several. Without ``keys`` a session whose selection is
-    empty still has its row, all in cash.
+    ``keys`` name the policy of a holding and ``policies`` lists their values; ``costs``
+    lists the ``cost_bps`` values of the charged trades when there are several. A session
+    whose selection is empty still has its row, all in cash.
     """
     by_day = [*keys, "session"]
     k = k if isinstance(k, Column) else F.lit(k)
@@ -242,8 +263,14 @@ def daily_table(
         F.sum(F.col("weight") * F.col("weight")).alias("concentration_hhi"),
     )
     per_day = per_day.join(selected_ic(holdings, keys), by_day)
-    dates = sessions.select("session", "label_date", "trading_date", "universe_size")
-    base = dates.join(universe, "session").join(per_day, "session", "inner" if keys else "left")
+    base = sessions.join(universe, "session")
+    if keys:
+        every = [
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(keys, values, strict=True)])
+            for values in policies
+        ]
+        base = base.select("*", F.inline(F.array(*every)))
+    base = base.join(per_day, by_day, "left")
     on = list(by_day)
     if costs:
         base = base.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
@@ -470,15 +497,15 @@ def policy_grid(
     """Summary row of every (top_k, exit_buffer, cost) on one prediction table."""
     sessions = eligible_sessions(predictions, min_symbols or max(top_ks))
     policy = ["top_k", "exit_buffer"]
-    holdings = sized(
-        hysteresis_members(predictions, sessions, [(k, b) for k in top_ks for b in buffers]),
-        "members",
-    )
+    policies = [(k, b) for k in top_ks for b in buffers]
+    holdings = sized(hysteresis_members(predictions, sessions, policies), "members")
     trades = build_trades(holdings, predictions, sessions, policy)
     every_cost = F.explode(F.array(*[F.lit(float(c)) for c in costs]))
     charged = charge(trades.withColumn("cost_bps", every_cost), F.col("cost_bps"), stamp_bps)
     daily = sized(
-        daily_table(predictions, holdings, charged, sessions, policy, F.col("top_k"), costs),
+        daily_table(
+            predictions, holdings, charged, sessions, policy, F.col("top_k"), policies, costs
+        ),
         "daily",
     )
     keys = [*policy, "cost_bps"]
@@ -881,6 +908,89 @@ def make_predictions(signals: DataFrame, scores: DataFrame, targets: DataFrame)
     )
 
 
+def candidate_name(alpha: float, min_score: float | None) -> str:
+    return f"ema{alpha:g}-min{'none' if min_score is None else format(min_score, 'g')}"
+
+
+def candidate_holdings(
+    predictions: DataFrame,
+    sessions: DataFrame,
+    candidates: Sequence[tuple[float, float | None]],
+    k: int,
+) -> DataFrame:
+    """Top-K holdings of every (alpha, minimum score) candidate, named, in one plan.
+
+    ``predictions`` has one row per alpha; a candidate with a minimum score keeps the
+    unused part in cash.
+    """
+    best = Window.partitionBy("alpha", "label_date").orderBy(F.desc("score"), "symbol")
+    ranked = (
+        predictions.where("in_universe")
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
+        .join(sessions.select("label_date", "session"), "label_date")
+    )
+    options = F.array(
+        *[
+            F.struct(
+                F.lit(candidate_name(a, m)).alias("name"),
+                F.lit(float(a)).alias("_alpha"),
+                F.lit(m).cast("double").alias("min_score"),
+            )
+            for a, m in candidates
+        ]
+    )
+    named = ranked.select("*", F.inline(options)).where(
+        (F.col("alpha") == F.col("_alpha"))
+        & (F.col("min_score").isNull() | (F.col("score") >= F.col("min_score")))
+    )
+    day = Window.partitionBy("name", "label_date")  # at most k rows
+    equal = F.lit(1.0) / F.count(F.lit(1)).over(day)
+    weight = F.when(F.col("min_score").isNull(), equal).otherwise(1.0 / k)
+    return named.withColumn("weight", weight).drop("_alpha", "alpha")
+
+
+def candidate_matrix(
+    predictions: DataFrame,
+    candidates: Sequence[tuple[float, float | None]],
+    k: int,
+    min_symbols: int,
+    window: str = "window",
+) -> DataFrame:
+    """Comparable portfolio figures of every candidate in every evaluation window."""
+    one_alpha = predictions.where(F.col("alpha") == float(candidates[0][0]))
+    sessions = eligible_sessions(one_alpha, min_symbols, segment=window)
+    holdings = sized(candidate_holdings(predictions, sessions, candidates, k), "holdings")
+    names = [(candidate_name(a, m),) for a, m in candidates]
+    charged = charge(build_trades(holdings, one_alpha, sessions, ["name"]))
+    daily = sized(
+        daily_table(one_alpha, holdings, charged, sessions, ["name"], k, names), "daily"
+    )
+    keys = ["name", window]
+    limits = F.create_map(
+        *[F.lit(x).cast(t) for a, m in candidates for x, t in ((candidate_name(a, m), "string"), (m, "double"))]
+    )
+    extremes = extreme_days(daily, "active_return", keys).select(
+        *keys, F.col("top_5_absolute_contribution").alias("top_5_absolute_active_contribution")
+    )
+    return (
+        portfolio_summary(daily, keys)
+        .join(extremes, keys)
+        .select(
+            *keys,
+            limits[F.col("name")].alias("min_score"),
+            "evaluated_dates",
+            "mean_selected_rank_ic",
+            "mean_active_return",
+            "mean_net_active_return",
+            "mean_one_way",
+            "mean_transaction_cost",
+            "mean_cash_weight",
+            "top_5_absolute_active_contribution",
+        )
+    )
+
+
 def choose_candidates(matrix: DataFrame, count: int = 3, window: str = "validation") -> DataFrame:
     """Best candidates by validation net active return, then turnover, then simplicity."""
     best = Window.orderBy(  # one row per candidate

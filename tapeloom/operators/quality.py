@@ -61,13 +61,13 @@ def coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str], floor:
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-independent content hash: rows, and the sum of 60-bit row digests.
+    """Order-independent content hash: row count and sum of 60-bit row digests.
 
-    Each row hashes its values joined as text; addition merges partial sums of any
+    Each row hashes its JSON text, nulls included; addition merges the partial sums of any
     partitioning, so nothing is sorted or gathered.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    digest = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    digest = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(28,0)")
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(digest).cast("string").alias("digest"),

@@ -477,34 +477,39 @@ def ranking_summary(daily: DataFrame, min_symbols: int) -> DataFrame:
 # ---- smoothing and calibration ---------------------------------------------
 
 
-def percentile_ranks(signals: DataFrame, alpha: float) -> DataFrame:
+def smoothed_ranks(
+    signals: DataFrame, alphas: Sequence[float], segment: str | None = None
+) -> DataFrame:
     """Daily percentile rank, then an exponential mean per symbol over adjacent sessions.
 
-    The mean restarts after a missed session. A symbol has one row per session, so the
-    ordered fold works on arrays bounded by the calendar.
+    The mean restarts after a missed session, and at the border of a ``segment``. Every
+    alpha shares one ranking. A symbol has one row per session, so the ordered fold works
+    on arrays bounded by the calendar.
     """
-    placed = ordinal(
-        signals, ["trading_date"], [F.col("score"), F.col("symbol")], pos="_pos", size="_n"
-    )
-    along_days = Window.orderBy("trading_date")  # one row per session
+    part = [] if segment is None else [segment]
+    day = [*part, "trading_date"]
+    placed = ordinal(signals, day, [F.col("score"), F.col("symbol")], pos="_pos", size="_n")
+    along_days = Window.partitionBy(*part).orderBy("trading_date")  # one row per session
     sessions = sized(
-        signals.select("trading_date")
-        .distinct()
-        .withColumn("day_index", F.row_number().over(along_days)),
+        signals.select(*day).distinct().withColumn("day_index", F.row_number().over(along_days)),
         "sessions",
     )
-    current = placed.join(sessions, "trading_date").select(
+    current = placed.join(sessions, day).select(
+        *day,
         "symbol",
-        "trading_date",
         "day_index",
         ((F.col("_pos") - 1) / F.greatest(F.lit(1), F.col("_n") - 1)).alias("current"),
     )
-    along = Window.partitionBy("symbol").orderBy("day_index")
-    island = F.col("day_index") - F.row_number().over(along)
+    along = Window.partitionBy(*part, "symbol").orderBy("day_index")
     runs = (
-        current.withColumn("_run", island)
-        .groupBy("symbol", "_run")
-        .agg(F.sort_array(F.collect_list(F.struct("day_index", "trading_date", "current"))).alias("_days"))
+        current.withColumn("_run", F.col("day_index") - F.row_number().over(along))
+        .groupBy(*part, "symbol", "_run")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("day_index", "trading_date", "current"))
+            ).alias("_days")
+        )
+        .withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     )
     start = F.struct(
         F.lit(None).cast("double").alias("last"),
@@ -513,7 +518,8 @@ def percentile_ranks(signals: DataFrame, alpha: float) -> DataFrame:
 
     def step(state: Column, day: Column) -> Column:
         value = F.coalesce(
-            alpha * day["current"] + (1.0 - alpha) * state["last"], day["current"]
+            F.col("alpha") * day["current"] + (1.0 - F.col("alpha")) * state["last"],
+            day["current"],
         )
         return F.struct(
             value.alias("last"), F.concat(state["out"], F.array(value)).alias("out")
@@ -521,8 +527,24 @@ def percentile_ranks(signals: DataFrame, alpha: float) -> DataFrame:
 
     smoothed = F.aggregate("_days", start, step, lambda state: state["out"])
     return runs.select(
-        "symbol", F.inline(F.arrays_zip(F.col("_days").alias("d"), smoothed.alias("s")))
-    ).select(F.col("d.trading_date").alias("trading_date"), "symbol", F.col("s").alias("score"))
+        *part,
+        "symbol",
+        "alpha",
+        F.inline(F.arrays_zip(F.col("_days").alias("d"), smoothed.alias("s"))),
+    ).select(
+        *part,
+        F.col("d.trading_date").alias("trading_date"),
+        "symbol",
+        "alpha",
+        F.col("s").alias("score"),
+    )
+
+
+def percentile_ranks(
+    signals: DataFrame, alpha: float, segment: str | None = None
+) -> DataFrame:
+    """:func:`smoothed_ranks` for one alpha."""
+    return smoothed_ranks(signals, (alpha,), segment).drop("alpha")
 
 
 def calibrated_scores(fit: DataFrame, score: DataFrame) -> DataFrame:

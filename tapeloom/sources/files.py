@@ -94,29 +94,34 @@ def resolve_book_paths(
     """Month files where readable, else the day files of that month.
 
     A month without a readable file falls back to its day files, all of which must exist.
-    Returns the paths and the months that fell back. Only file footers are opened here.
+    Returns the paths and the months that fell back. The folder is listed once, and file
+    footers are opened in one parallel job unless one of them turns out broken.
     """
-    paths: list[str] = []
-    fallback: list[str] = []
-    for month in months:
-        whole = f"{root}/snapshot_{month}.parquet"
-        if _readable(spark, whole):
-            paths.append(whole)
-            continue
-        daily = [f"{root}/snapshot_{d}.parquet" for d in days if d.startswith(month)]
-        missing = [p for p in daily if not _readable(spark, p)]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.regexp_extract("path", r"snapshot_(\d+)\.parquet", 1)
+    present = {r["n"] for r in listed.select(name.alias("n")).distinct().collect()}
+    path_of = lambda n: f"{root}/*snapshot_{n}.parquet"
+    whole = [m for m in months if m in present]
+    if not _readable(spark, [path_of(m) for m in whole]):
+        whole = [m for m in whole if _readable(spark, [path_of(m)])]
+    paths = [path_of(m) for m in whole]
+    fallback = [m for m in months if m not in set(whole)]
+    for month in fallback:
+        daily = [d for d in days if d.startswith(month)]
+        missing = [d for d in daily if d not in present]
         if missing or not daily:
             raise FileNotFoundError(f"day files of {month} incomplete: {missing[:5]}")
-        paths.extend(daily)
-        fallback.append(month)
+        paths.extend(path_of(d) for d in daily)
     return paths, fallback
 
 
-def _readable(spark: SparkSession, path: str) -> bool:
+def _readable(spark: SparkSession, paths: Sequence[str]) -> bool:
     from pyspark.errors import PySparkException
 
+    if not paths:
+        return True
     try:
-        return bool(spark.read.parquet(path).columns)
+        return bool(spark.read.option("mergeSchema", True).parquet(*paths).columns)
     except PySparkException:
         return False
 
@@ -128,9 +133,11 @@ def read_raw_days(spark: SparkSession, root: str, stream: str) -> DataFrame:
     return raw.withColumn("day", F.to_date(day, "yyyyMMdd"))
 
 
-def read_raw_snapshots(spark: SparkSession, root: str, months: Sequence[str]) -> DataFrame:
+def read_raw_snapshots(
+    spark: SparkSession, root: str, months: Sequence[str] = ("*",)
+) -> DataFrame:
     """Snapshot month files; the day is a column and its filter reaches the scan."""
-    paths = [f"{root}/snapshot/snapshot_{m}.parquet" for m in months]
+    paths = [f"{root}/snapshot/*snapshot_{m}.parquet" for m in months]
     raw = spark.read.parquet(*paths)
     return raw.withColumn("day", parse_day(F.col("TradingDay")))
 
