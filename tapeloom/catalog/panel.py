@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from tapeloom.functions.scalars import day_number
 from tapeloom.functions.stats import is_positive
 from tapeloom.operators import calendar as cal
 from tapeloom.operators import labels as lab
-from tapeloom.plans.shared import settle, shared_folder
+from tapeloom.plans.shared import new_path, settle
 from tapeloom.sinks import tables as sink
 from tapeloom.sources import files, panels
 
@@ -23,7 +21,7 @@ ANY_CODE = r"^\d{6,}$"
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder for files a query writes and reads back."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def write_wide(spark: SparkSession, rows: DataFrame, value: str) -> str:

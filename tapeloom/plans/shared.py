@@ -29,10 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path not used before, inside the folder of this application.
+
+    All tables of a session share that one folder, so it can go when the session is over.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/{application}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, label: str = "rows") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
