@@ -307,7 +307,7 @@ def reference_mid(spark, sf_dir):
     + " FROM feat",
 )
 def event_features(spark, sf_dir):
-    rows = ev.featurize(referenced(spark, sf_dir))
+    rows = ev.spread_levels(ev.featurize(referenced(spark, sf_dir)))
     return rows.select(
         "day",
         "ticker",

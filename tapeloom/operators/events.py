@@ -151,26 +151,32 @@ def reference_mid(
     )
 
 
+HEAD = (
+    "dt_log", "price_bps", "volume_log", "side", "cancel", "age_log", "sell_age_log",
+    "orig_volume_log", "notional_log", "spread_bps", "imbalance", "micro_bias",
+)
+LEVEL_KINDS = ("bid_bps", "ask_bps", "bid_volume", "ask_volume", "bid_count", "ask_count")
+TAIL = (
+    "total_bid_log", "total_ask_log", "wbid_bps", "wask_bps", "deals_log",
+    "phase_sin", "phase_cos", "auction",
+)
+
+
+def level_names() -> list[str]:
+    return [f"{kind}_{level}" for kind in LEVEL_KINDS for level in range(1, LEVELS + 1)]
+
+
 def feature_names() -> list[str]:
     """The 80 feature names in their fixed order."""
-    head = [
-        "dt_log", "price_bps", "volume_log", "side", "cancel", "age_log", "sell_age_log",
-        "orig_volume_log", "notional_log", "spread_bps", "imbalance", "micro_bias",
-    ]
-    levels = [
-        f"{kind}_{level}"
-        for kind in ("bid_bps", "ask_bps", "bid_volume", "ask_volume", "bid_count", "ask_count")
-        for level in range(1, LEVELS + 1)
-    ]
-    tail = [
-        "total_bid_log", "total_ask_log", "wbid_bps", "wask_bps", "deals_log",
-        "phase_sin", "phase_cos", "auction",
-    ]
-    return head + levels + tail
+    return [*HEAD, *level_names(), *TAIL]
 
 
 def featurize(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Feature columns of merged events that carry ``ref`` and ``prev_time_ms``."""
+    """Features of merged events that carry ``ref`` and ``prev_time_ms``.
+
+    Event-wide features are columns of their own; the ten book levels of the six level
+    features are one array, ``levels``, zero outside snapshots.
+    """
     c = F.col
     ref = c("ref")
 
@@ -222,19 +228,15 @@ def featurize(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "imbalance": by_stream(snap=best["imbalance"]),
         "micro_bias": by_stream(snap=best["micro_bias"]),
     }
-    arrays = {
-        "bid_bps": bid["price_bps"],
-        "ask_bps": ask["price_bps"],
-        "bid_volume": bid["volume_log"],
-        "ask_volume": ask["volume_log"],
-        "bid_count": bid["count_log"],
-        "ask_count": ask["count_log"],
-    }
-    # One array per kind is computed once and then spread over its level columns.
-    spread = rows.withColumns({f"_{kind}": value for kind, value in arrays.items()})
-    for kind in arrays:
-        for level in range(LEVELS):
-            values[f"{kind}_{level + 1}"] = by_stream(snap=F.get(f"_{kind}", F.lit(level)))
+    by_level = F.concat(
+        bid["price_bps"],
+        ask["price_bps"],
+        bid["volume_log"],
+        ask["volume_log"],
+        bid["count_log"],
+        ask["count_log"],
+    )
+    nothing = F.array_repeat(F.lit(0.0), LEVELS * len(LEVEL_KINDS))
     values |= {
         "total_bid_log": by_stream(snap=log1p_clamped(c("total_bidvol"))),
         "total_ask_log": by_stream(snap=log1p_clamped(c("total_askvol"))),
@@ -245,16 +247,28 @@ def featurize(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "phase_cos": cos,
         "auction": auction,
     }
-    return spread.select(
+    return rows.select(
         *STOCK_DAY,
         "pos",
         "stream",
         order_type_code().alias("order_type_id"),
         *keep,
-        *[values[name].alias(name) for name in feature_names()],
+        *[value.alias(name) for name, value in values.items()],
+        F.when(c("stream") == "snap", by_level).otherwise(nothing).alias("levels"),
     )
 
 
+def feature_array() -> Column:
+    """The 80 features in their fixed order as one array, the shape of the sink."""
+    return F.concat(F.array(*HEAD), F.col("levels"), F.array(*TAIL))
+
+
+def spread_levels(features: DataFrame) -> DataFrame:
+    """The level array as named columns."""
+    named = {name: F.get("levels", F.lit(i)) for i, name in enumerate(level_names())}
+    return features.withColumns(named).drop("levels")
+
+
 def order_type_code() -> Column:
     return F.when(F.col("stream") == "order", order_type_id(F.col("order_type"))).otherwise(0)
 

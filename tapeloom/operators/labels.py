@@ -87,12 +87,14 @@ def quantile_labels(
     lower: float = 0.2,
     upper: float = 0.8,
     min_cross_section: int = 20,
+    tie: str = "symbol",
 ) -> DataFrame:
     """Three classes per cross-section; values equal to a cut stay neutral.
 
-    Cross-sections below the minimum size are dropped.
+    Cross-sections below the minimum size are dropped. ``tie`` only spreads equal values
+    over the sort, it does not change a label.
     """
-    placed = ordinal(rows, group, [F.col(value)], pos="_pos", size="_n").where(
+    placed = ordinal(rows, group, [F.col(value), F.col(tie)], pos="_pos", size="_n").where(
         F.col("_n") >= min_cross_section
     )
     cuts = quantiles_at(

@@ -226,15 +226,22 @@ def daily_table(
     k: Column | int = 50,
     policies: Sequence[Sequence[object]] = (),
     costs: Sequence[float] = (),
+    largest_k: int | None = None,
 ) -> DataFrame:
     """Return, cost, turnover, overlap and exposure of every session.
 
-    ``keys`` name the policy of a holding and ``policies`` lists their values; ``costs``
+    ``k`` may be a column of the holdings, with ``largest_k`` as its greatest value: the
+    realized Top-K is then still a literal rank limit, which Spark applies before the
+    shuffle. ``keys`` name the policy of a holding and ``policies`` lists their values; ``costs``
     lists the ``cost_bps`` values of the charged trades when there are several. A session
     whose selection is empty still has its row, all in cash.
     """
     by_day = [*keys, "session"]
-    k = k if isinstance(k, Column) else F.lit(k)
+    if isinstance(k, Column):
+        if largest_k is None:
+            raise ValueError("a column k needs largest_k")
+    else:
+        largest_k, k = k, F.lit(k)
     listed = predictions.where("in_universe").join(
         sessions.select("label_date", "session"), "label_date"
     )
@@ -243,10 +250,9 @@ def daily_table(
     # The realized Top-K is only asked for symbols held that day.
     held_symbols = sized(holdings.select("session", "symbol").distinct(), "held")
     best = Window.partitionBy("session").orderBy(F.desc("target_return"), "symbol")
-    largest = holdings.agg(F.max(k)).scalar()
     realized = (
         finite.withColumn("_realized", F.row_number().over(best))
-        .where(F.col("_realized") <= largest)
+        .where(F.col("_realized") <= largest_k)
         .join(held_symbols, ["session", "symbol"], "left_semi")
         .select("session", "symbol", "_realized")
     )
@@ -504,7 +510,15 @@ def policy_grid(
     charged = charge(trades.withColumn("cost_bps", every_cost), F.col("cost_bps"), stamp_bps)
     daily = sized(
         daily_table(
-            predictions, holdings, charged, sessions, policy, F.col("top_k"), policies, costs
+            predictions,
+            holdings,
+            charged,
+            sessions,
+            policy,
+            F.col("top_k"),
+            policies,
+            costs,
+            max(top_ks),
         ),
         "daily",
     )

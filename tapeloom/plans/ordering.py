@@ -28,6 +28,17 @@ def _sorted_slots(df: DataFrame, group: Sequence[str], order: Sequence[Column])
     return rows.withColumn("_part", F.shiftright("_slot", 33))
 
 
+def _attach(
+    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on keys where null equals null, so that no row gets lost."""
+    named = side.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(named, condition, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def ordinal(
     df: DataFrame,
     group: Sequence[str],
@@ -57,7 +68,7 @@ def ordinal(
         picked.append(F.sum("_rows").over(over_group).alias(size))
     runs = sized(runs.select(*picked), "runs")
     return (
-        rows.join(runs, [*group, "_part"])
+        _attach(rows, runs, [*group, "_part"])
         .withColumn(pos, F.col("_slot") + F.col("_shift"))
         .drop("_slot", "_part", "_shift")
     )
@@ -91,8 +102,7 @@ def prefix_sum(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        rows.withColumn("_inside", F.sum(weight).over(inside))
-        .join(runs, [*group, "_part"])
+        _attach(rows.withColumn("_inside", F.sum(weight).over(inside)), runs, [*group, "_part"])
         .withColumn(upto, F.col("_inside") + F.col("_before"))
         .drop("_slot", "_part", "_inside", "_before")
     )
@@ -124,10 +134,29 @@ def quantiles_at(
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, cuts: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linear quantiles per group without gathering a group in one place."""
-    narrow = df.select(*group, F.col(value).alias("_value"))
-    rows = ordinal(narrow, group, [F.col("_value")], size="_n")
-    return quantiles_at(rows, group, "_value", cuts)
+    """Exact linear quantiles per group without gathering a group in one place.
+
+    Equal values are counted first, so a value that fills a third of the rows becomes one
+    row before anything is sorted.
+    """
+    counted = df.groupBy(*group, F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    placed = prefix_sum(counted, group, [F.col("_value")], "_rows", "_upto", "_n")
+    below = F.col("_upto") - F.col("_rows")
+    aggregates = []
+    wanted = F.lit(False)
+    for name, q in cuts.items():
+        spot = (F.col("_n") - 1) * F.lit(float(q))
+        low, high = F.floor(spot), F.ceil(spot)
+        holds_low = (below <= low) & (low < F.col("_upto"))
+        holds_high = (below <= high) & (high < F.col("_upto"))
+        wanted = wanted | holds_low | holds_high
+        low_value = F.max(F.when(holds_low, F.col("_value")))
+        high_value = F.max(F.when(holds_high, F.col("_value")))
+        share = F.max(spot - low)
+        aggregates.append((low_value + (high_value - low_value) * share).alias(name))
+    return placed.where(wanted).groupBy(*group).agg(*aggregates)
 
 
 def neighbours(
@@ -179,13 +208,12 @@ def neighbours(
 
     inside = Window.partitionBy(*keys).orderBy(pos)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = base
     columns = {f"_in_{name}": F.lag(src).over(inside) for name, src in lag.items()}
     columns |= {f"_in_{name}": F.lead(src).over(inside) for name, src in lead.items()}
     columns |= {
         f"_in_{name}": F.last(src, ignorenulls=True).over(so_far) for name, src in carry.items()
     }
-    out = out.withColumns(columns).join(sized(edges, "edges"), keys, "left")
+    out = _attach(base.withColumns(columns), sized(edges, "edges"), keys, "left")
     first = (place - 1) % chunk_rows == 0
     last = place % chunk_rows == 0
     final = {n: F.when(first, F.col(f"_prev_{n}")).otherwise(F.col(f"_in_{n}")) for n in lag}

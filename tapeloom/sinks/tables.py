@@ -35,12 +35,17 @@ def write_horizon_sidecar(targets: DataFrame, path: str) -> DataFrame:
 
 
 def write_periods(
-    rows: DataFrame, path: str, available: str = "feature_available", resume: bool = True
+    rows: DataFrame,
+    path: str,
+    available: str = "feature_available",
+    resume: bool = True,
+    files_per_period: int = 16,
 ) -> DataFrame:
     """Write ``rows`` by ``period`` folder, skipping periods already complete.
 
     A period is complete when the table at ``path`` holds as many rows for it as ``rows``
-    does; dynamic overwrite replaces only the other periods. Returns the manifest.
+    does; dynamic overwrite replaces only the other periods. A period is spread over up to
+    ``files_per_period`` writers. Returns the manifest.
     """
     spark = rows.sparkSession
     todo = rows
@@ -52,7 +57,7 @@ def write_periods(
             complete = sized(wanted.join(done, ["period", "_rows"]).select("period"), "done")
             todo = rows.join(complete, "period", "left_anti")
     (
-        todo.repartition("period", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(16)))
+        todo.repartition("period", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(files_per_period)))
         .write.partitionBy("period")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -89,3 +89,11 @@ def test_neighbours_cross_chunks(skewed, chunk):
     )
     assert got.count() == 4000
     assert checked.where(wrong).count() == 0
+
+
+def test_null_groups_keep_their_rows(spark, many_partitions):
+    frame = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, v int")
+    got = ordinal(frame, ["g"], [F.col("v")], size="n").collect()
+    assert {(r.g, r.v, r.pos, r.n) for r in got} == {(None, 1, 1, 2), (None, 3, 2, 2), ("a", 2, 1, 1)}
+    summed = prefix_sum(frame, ["g"], [F.col("v")], "v").collect()
+    assert {(r.g, r.v, r.upto) for r in summed} == {(None, 1, 1), (None, 3, 4), ("a", 2, 2)}
