@@ -435,6 +435,11 @@ def daily_winsorized_z(
     return out.select(*rows.columns, "z"), stats
 
 
+def relevance_grade(pos: Column, size: Column, levels: int) -> Column:
+    """Grade 0..levels-1 of an ascending 1-based position."""
+    return F.least(F.lit(levels - 1), F.floor((pos - 1) * levels / size)).cast("int")
+
+
 def graded_relevance(
     rows: DataFrame,
     levels: int = 5,
@@ -444,8 +449,8 @@ def graded_relevance(
 ) -> DataFrame:
     """Relevance 0..levels-1 from the ascending ordinal rank of the day's returns."""
     placed = ordinal(rows, [day], [F.col(value), F.col(tie)], pos="_pos", size="_n")
-    grade = F.least(F.lit(levels - 1), F.floor((F.col("_pos") - 1) * levels / F.col("_n")))
-    return placed.withColumn("relevance", grade.cast("int")).drop("_pos", "_n")
+    grade = relevance_grade(F.col("_pos"), F.col("_n"), levels)
+    return placed.withColumn("relevance", grade).drop("_pos", "_n")
 
 
 def class_weights(rows: DataFrame, label: str = "label", classes: int = 3) -> DataFrame:

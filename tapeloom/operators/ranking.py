@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import UP, month_key
 from tapeloom.functions.stats import is_finite, safe_corr, safe_ratio, share
-from tapeloom.operators.labels import graded_relevance
+from tapeloom.operators.labels import relevance_grade
 from tapeloom.plans.ordering import exact_quantiles, ordinal, quantiles_at
 from tapeloom.plans.shared import sized
 
@@ -63,9 +63,18 @@ def average_rank(prefix: str) -> Column:
 
 
 def score_and_return_ranks(
-    rows: DataFrame, group: Sequence[str], score: str = "score", value: str = "target_return"
+    rows: DataFrame,
+    group: Sequence[str],
+    score: str = "score",
+    value: str = "target_return",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    return ranked(ranked(rows, group, score, "s"), group, value, "r")
+    """Both ranks of the key, score and return columns, plus the columns in ``keep``.
+
+    Sorted rows are written, which ends column pruning, so only these columns go in.
+    """
+    narrow = rows.select(*group, "symbol", score, value, *keep)
+    return ranked(ranked(narrow, group, score, "s"), group, value, "r")
 
 
 def rank_ic(
@@ -110,7 +119,8 @@ def tail_spread(
     value: str = "target_return",
 ) -> DataFrame:
     """Mean return of the highest minus the lowest scored tail per cross-section."""
-    placed = ordinal(rows, group, [F.col("score"), F.col("symbol")], pos="s_pos", size="n")
+    narrow = rows.select(*group, "symbol", "score", value)
+    placed = ordinal(narrow, group, [F.col("score"), F.col("symbol")], pos="s_pos", size="n")
     return tail_spread_of(placed, group, quantile, min_symbols, value)
 
 
@@ -324,7 +334,9 @@ def half_life_daily(
         ["trading_date", "symbol"],
     )
     group = ["horizon", "trading_date"]
-    both = score_and_return_ranks(rows, group).where(F.col("n") >= min_symbols)
+    both = score_and_return_ranks(
+        rows, group, keep=["label", "raw_return", "benchmark_return"]
+    ).where(F.col("n") >= min_symbols)
     place = descending("s")
     tail = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     top = place <= top_k
@@ -411,7 +423,8 @@ def ndcg_of(both: DataFrame, group: Sequence[str], gain: Column, k: int) -> Data
 def ndcg(
     rows: DataFrame, gain: Column, k: int, group: Sequence[str] = ("trading_date",)
 ) -> DataFrame:
-    return ndcg_of(ranked(rows, group, "score", "s"), group, gain, k)
+    narrow = rows.select(*group, "symbol", "score", gain.alias("_gain"))
+    return ndcg_of(ranked(narrow, group, "score", "s"), group, F.col("_gain"), k)
 
 
 def top_k(
@@ -450,13 +463,13 @@ def precision_up(
 def ranking_daily(rows: DataFrame, k: int, levels: int = 5) -> DataFrame:
     """Per date: size, average-rank IC, NDCG over graded relevance, Top-K overlap."""
     group = ["trading_date"]
-    graded = graded_relevance(rows, levels)
-    both = score_and_return_ranks(graded, group)
+    both = score_and_return_ranks(rows, group)
+    grade = relevance_grade(F.col("r_pos"), F.col("n"), levels).cast("double")
     daily = both.groupBy(*group).agg(
         F.count(F.lit(1)).alias("symbols"),
         safe_corr(average_rank("s"), average_rank("r")).alias("rank_ic"),
     )
-    return daily.join(ndcg_of(both, group, F.col("relevance").cast("double"), k), group).join(
+    return daily.join(ndcg_of(both, group, grade, k), group).join(
         precision_overlap(rows, k, group), group
     )
 
@@ -488,7 +501,8 @@ def smoothed_ranks(
     """
     part = [] if segment is None else [segment]
     day = [*part, "trading_date"]
-    placed = ordinal(signals, day, [F.col("score"), F.col("symbol")], pos="_pos", size="_n")
+    narrow = signals.select(*day, "symbol", "score")
+    placed = ordinal(narrow, day, [F.col("score"), F.col("symbol")], pos="_pos", size="_n")
     along_days = Window.partitionBy(*part).orderBy("trading_date")  # one row per session
     sessions = sized(
         signals.select(*day).distinct().withColumn("day_index", F.row_number().over(along_days)),
@@ -595,7 +609,8 @@ def audit_daily(
 
 def audit_deciles(rows: DataFrame, min_symbols: int = 50) -> DataFrame:
     """Mean over dates of the mean return of each score decile (integer bounds)."""
-    placed = ordinal(rows, ["label_date"], [F.col("score"), F.col("symbol")], size="n")
+    narrow = rows.select("label_date", "symbol", "score", "target_return")
+    placed = ordinal(narrow, ["label_date"], [F.col("score"), F.col("symbol")], size="n")
     decile = (F.ceil(F.col("pos") * 10 / F.col("n")) - 1).cast("int")
     return (
         placed.where(F.col("n") >= min_symbols)
