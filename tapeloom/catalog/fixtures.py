@@ -6,13 +6,15 @@ that defines the named views and everything they need, in dependency order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import pad_symbol
 from tapeloom.operators import calendar as cal_ops
 from tapeloom.operators import labels as label_ops
-from tapeloom.plans.shared import settle, sized
+from tapeloom.plans.shared import settle
 
 MIN_CROSS_SECTION = 5
 
@@ -21,10 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Derived tables that many queries start from, written once per session and input folder.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """The settled table ``name``, built on first use; :func:`forget` drops it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    found = _KEPT.get(key)
+    if found is None or found.sparkSession is not spark:
+        found = _KEPT[key] = settle(build(), name)
+    return found
+
+
+def forget() -> None:
+    """Make the next query derive its tables from the given ones again."""
+    _KEPT.clear()
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "bars", lambda: build_bars(spark, sf_dir))
+
+
+def build_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per supplier and ship month; price is the line's unit price."""
     lines = table(spark, sf_dir, "lineitem").select(
-        pad_symbol(F.col("l_suppkey")).alias("symbol"),
+        "l_suppkey",
         F.trunc("l_shipdate", "month").alias("trading_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("quantity"),
@@ -32,19 +58,29 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"
         ).alias("place"),
     )
-    return lines.groupBy("symbol", "trading_date").agg(
+    # Grouped by the number; the padded text is only made for the bars.
+    daily = lines.groupBy("l_suppkey", "trading_date").agg(
         F.min_by("price", "place").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "place").alias("close"),
         F.sum("quantity").alias("volume"),
     )
+    return daily.select(
+        pad_symbol(F.col("l_suppkey")).alias("symbol"),
+        "trading_date",
+        "open",
+        "high",
+        "low",
+        "close",
+        "volume",
+    )
 
 
 def panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled bars with their calendar and benchmark; the lines are scanned once."""
-    daily = settle(bars(spark, sf_dir), "bars")
-    sessions = sized(cal_ops.trading_calendar(daily), "calendar")
+    daily = bars(spark, sf_dir)
+    sessions = kept(spark, sf_dir, "calendar", lambda: cal_ops.trading_calendar(daily))
     return cal_ops.with_day_index(daily, sessions), sessions, bench(daily)
 
 
@@ -57,9 +93,11 @@ def bench(bars_df: DataFrame) -> DataFrame:
     )
 
 
-def preds(
-    spark: SparkSession, sf_dir: str
-) -> DataFrame:
+def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "predictions", lambda: build_preds(spark, sf_dir))
+
+
+def build_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reversal score against the next period's excess return."""
     indexed, _, market = panel(spark, sf_dir)
     targets = label_ops.next_day_targets(indexed, market, keep=["open", "close", "volume"])

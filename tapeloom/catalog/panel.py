@@ -53,7 +53,7 @@ def wide_panel(spark, sf_dir):
     WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING max(volume) >= 400)""",
 )
 def market_panels(spark, sf_dir):
-    b = settle(fx.bars(spark, sf_dir), "bars")
+    b = fx.bars(spark, sf_dir)
     busy = b.groupBy("symbol").agg(F.max("volume").alias("m")).where("m >= 400").select("symbol")
     paths = {
         "open": write_wide(spark, b, "open"),
@@ -70,7 +70,7 @@ def market_panels(spark, sf_dir):
     FROM bars GROUP BY trading_date HAVING max(volume) < 400""",
 )
 def panel_axis(spark, sf_dir):
-    b = settle(fx.bars(spark, sf_dir), "bars")
+    b = fx.bars(spark, sf_dir)
     busy = b.groupBy("trading_date").agg(F.max("volume").alias("m")).where("m >= 400")
     paths = {
         "open": write_wide(spark, b, "open"),
@@ -86,7 +86,7 @@ def panel_axis(spark, sf_dir):
     FROM bars""",
 )
 def optional_panel(spark, sf_dir):
-    b = settle(fx.bars(spark, sf_dir), "bars")
+    b = fx.bars(spark, sf_dir)
     some = b.where("volume >= 200").withColumn("st", F.col("volume"))
     path = write_wide(spark, some, "st")
     st = panels.read_wide_panel(spark, path, "st", pattern=ANY_CODE)

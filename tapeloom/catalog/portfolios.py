@@ -21,8 +21,7 @@ K, MIN = 10, 20
 
 def predictions(spark, sf_dir):
     """Prediction rows whose return is the raw one, which never falls below -100 %."""
-    rows = fx.preds(spark, sf_dir).withColumn("target_return", F.col("raw_return"))
-    return settle(rows, "predictions")
+    return fx.preds(spark, sf_dir).withColumn("target_return", F.col("raw_return"))
 
 
 define_view(

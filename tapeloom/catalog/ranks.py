@@ -524,7 +524,7 @@ def ndcg(spark, sf_dir):
     with_sql("overlap") + "SELECT trading_date, round(precision, 9) AS precision FROM overlap",
 )
 def precision_overlap(spark, sf_dir):
-    out = rk.precision_overlap(settle(fx.preds(spark, sf_dir), "preds"), K)
+    out = rk.precision_overlap(fx.preds(spark, sf_dir), K)
     return round_columns(out, ("trading_date",))
 
 
@@ -552,7 +552,7 @@ def precision_up(spark, sf_dir):
       GROUP BY trading_date) JOIN relndcg USING (trading_date) JOIN overlap USING (trading_date)""",
 )
 def ranking_summary(spark, sf_dir):
-    rows = settle(fx.preds(spark, sf_dir), "preds")
+    rows = fx.preds(spark, sf_dir)
     out = rk.ranking_summary(rk.ranking_daily(rows, K, 5), 60)
     keep = ("dates", "symbols_per_day_min", "symbols_per_day_max", "large_enough")
     return round_columns(out, keep)
@@ -674,7 +674,7 @@ def audit_deciles(spark, sf_dir):
 
 
 def audit(spark, sf_dir):
-    rows = settle(fx.preds(spark, sf_dir), "preds")
+    rows = fx.preds(spark, sf_dir)
     daily = settle(rk.audit_daily(rows), "audit")
     return rk.audit_summary(daily, rk.audit_deciles(rows))
 

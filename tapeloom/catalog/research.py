@@ -470,7 +470,7 @@ def embedding_rows(spark, sf_dir):
       (SELECT unnest(['minute', 'embedding', 'combined']) AS name)""",
 )
 def feature_sets(spark, sf_dir):
-    rows = settle(fx.bars(spark, sf_dir), "bars")
+    rows = fx.bars(spark, sf_dir)
     vectors = embedding_rows(spark, sf_dir)
     out = None
     for name in ml.FEATURE_SETS:
@@ -502,17 +502,18 @@ def batch_scoring(spark, sf_dir):
 
 @query(
     "F2_stock_code_and_board",
-    """SELECT regexp_matches(code, '^[0-9]{6}$') AS is_code, CAST(ratio AS DOUBLE) AS ratio,
+    """SELECT regexp_matches(code, '^(000|001|002|003|300|301|600|601|603|605|688|689)[0-9]{3}$')
+        AS is_code, CAST(ratio AS DOUBLE) AS ratio,
       count(*) AS rows FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 0.05
         WHEN code LIKE '4%' OR code LIKE '8%' THEN 0.30
         WHEN code LIKE '688%' OR code LIKE '689%' THEN 0.20
         WHEN (code LIKE '300%' OR code LIKE '301%') AND day >= DATE '2020-08-24' THEN 0.20
         ELSE 0.10 END AS ratio FROM (SELECT o_orderstatus,
-          CAST(o_orderkey * 7919 % 1000000 AS VARCHAR) AS code,
+          lpad(CAST(o_orderkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS code,
           CAST(o_orderdate AS DATE) + 8400 AS day FROM orders)) GROUP BY is_code, ratio""",
 )
 def stock_codes(spark, sf_dir):
-    code = (F.col("o_orderkey") * 7919 % 1_000_000).cast("string")
+    code = sc.pad_symbol(F.col("o_orderkey") * 7919 % 1_000_000)
     day = F.date_add(F.to_date("o_orderdate"), 8400)
     ratio = sc.price_limit_ratio(code, day, F.col("o_orderstatus") == "P")
     return (
@@ -788,7 +789,7 @@ def bar_csv(spark, sf_dir):
 )
 def benchmark_csv(spark, sf_dir):
     root = scratch(spark, "text")
-    daily = settle(fx.bars(spark, sf_dir), "bars")
+    daily = fx.bars(spark, sf_dir)
     market = fx.bench(daily).where(F.month("trading_date") != 2)
     iso = F.date_format("trading_date", "yyyy-MM-dd")
     market.select(

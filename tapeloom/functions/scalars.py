@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.stats import is_finite, is_positive
 
 # Fixed values.
-STOCK_CODE_PATTERN = r"^\d{6}$"
+STOCK_CODE_PATTERN = r"^(?:000|001|002|003|300|301|600|601|603|605|688|689)\d{3}$"
 SESSION_START_MS = -300_000
 MARKET_END_MS = 19_620_000
 AGE_UNKNOWN_MS = -1

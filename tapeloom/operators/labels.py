@@ -248,6 +248,8 @@ def formal_targets(
         F.col("_start.state.can_sell").alias("can_sell"),
         F.col("_start.state.status").alias("execution_status"),
     )
+    # Read twice below: for the date counts and for the rows themselves.
+    rows = settle(rows, "states")
     market = benchmark_returns(bench, calendar).select(
         F.col("trading_date").alias("label_date"), F.col("open_next_open").alias("benchmark_return")
     )
