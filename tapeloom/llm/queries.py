@@ -10,10 +10,13 @@ from tapeloom.catalog.registry import query
 from tapeloom.llm import (
     byte_bpe,
     exact_dedup,
+    minhash_forest,
     packing,
     quality_rules,
     sharding,
+    substring_dedup,
     token_counts,
+    toxicity,
     url_filter,
 )
 
@@ -26,6 +29,7 @@ URL_RULES = (
 CAPACITY = 1024
 END_ID = 2
 TOKEN_LIMIT = 512
+TOXIC_SCORE = 0.3
 #: Small shards, for loaders that hold several in memory.
 SHARD_BYTES = 1 << 20
 
@@ -226,3 +230,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT
     )
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, from a model of the rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, TOXIC_SCORE)
+
+
+def near_copies_sql(size: int, percent: int) -> str:
+    """Links by brute force over all pairs that share a shingle, then reachable ids."""
+    joined = " || ' ' || ".join(f"words[i + {k}]" for k in range(size))
+    return f"""
+    WITH RECURSIVE cut AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words
+      FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+          WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+          ELSE list_transform(range(1, len(words) - {size} + 2), lambda i: {joined}) END) AS s
+        FROM cut)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+      FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+    links AS (
+      SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+      WHERE 100 * shared.n >= {percent} * (p.n + q.n - shared.n)),
+    both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (
+      SELECT doc_id AS x, doc_id AS y FROM documents
+      UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+    least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT x AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+      x = component_id AS kept
+    FROM least LEFT JOIN sizes ON doc_id = x
+    """
+
+
+@query("op6_minhash_forest", near_copies_sql(2, 80))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document, on shingles of two words."""
+    found = minhash_forest.near_copies(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id",
+        "text",
+        (F.size("_spans") > 0).alias("repeats"),
+        F.col("_spans").alias("removed_spans"),
+        F.col("_sources").alias("earlier_doc_ids"),
+    )
