@@ -2,7 +2,8 @@
 
 A text is cut behind a word where the gear hash of the last 16 bytes falls under a threshold, so the
 cuts inside a passage depend on the passage alone and an insertion shifts none of the later ones.
-Stretches without blanks are cut at characters by the same hash. Chunks with equal digests are one
+Stretches without blanks are cut at characters by the same hash. Text that the hash never cuts, as
+one word over and over, is cut after ``MOST_WORDS`` words or ``MOST_BYTES`` bytes. Chunks with equal digests are one
 chunk; its first place (smallest id, then position) stays. Elsewhere a run of repeated chunks is
 removed if it holds at least ``least_words`` words; shorter runs are chance or single shared lines.
 
@@ -36,6 +37,9 @@ CUT_BELOW = 64
 #: Without a blank for this many bytes, one character in 64 ends a chunk.
 LONG_RUN = 64
 LONG_CUT_BELOW = 4
+#: Text whose hash never falls under the threshold (one word over and over) is cut after so much.
+MOST_WORDS = 64
+MOST_BYTES = 8192
 LEAST_WORDS = 24
 #: Bytes of text hashed in one go; a longer text is still taken whole.
 STEP_BYTES = 4_000_000
@@ -56,6 +60,26 @@ GEAR = _gear()
 IS_BLANK = np.isin(np.arange(257), BLANKS)
 
 
+def _with_limits(
+    own: np.ndarray, words: np.ndarray, starts: np.ndarray, codes: np.ndarray
+) -> np.ndarray:
+    """Add cuts where a chunk holds over ``MOST_WORDS`` words or ``MOST_BYTES`` bytes."""
+    counts = words[own - 1]
+    more = [
+        starts[np.arange(counts[i] + MOST_WORDS, counts[i + 1], MOST_WORDS)]
+        for i in np.flatnonzero(np.diff(counts) > MOST_WORDS).tolist()
+    ]
+    if more:
+        own = np.unique(np.concatenate([own, *more]))
+    more = []
+    for i in np.flatnonzero(np.diff(own) > MOST_BYTES).tolist():
+        at = np.arange(own[i] + MOST_BYTES, own[i + 1], MOST_BYTES)
+        while len(inner := np.flatnonzero((codes[at] & 0xC0) == 0x80)):
+            at[inner] -= 1  # back to the first byte of the character
+        more.append(at)
+    return np.unique(np.concatenate([own, *more])) if more else own
+
+
 def _edges(texts: Sequence[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the offsets where chunks begin, its length last, and the words before each."""
     gap = WINDOW
@@ -84,12 +108,14 @@ def _edges(texts: Sequence[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     far[:-1] &= text[1:] & ((codes[1:] & 0xC0) != 0x80)
     begin[1:] |= far & text
     words = np.cumsum(word_start)
+    starts = np.flatnonzero(word_start)
     cuts = np.flatnonzero(begin)
     out = []
     low = np.searchsorted(cuts, first, "right")
     high = np.searchsorted(cuts, first + sizes, "left")
     for i in range(len(texts)):
         own = np.concatenate([[first[i]], cuts[low[i] : high[i]], [first[i] + sizes[i]]])
+        own = _with_limits(own, words, starts, codes)
         before = words[own - 1]
         before[0] = words[first[i] - 1]
         out.append((own - first[i], before - before[0]))
