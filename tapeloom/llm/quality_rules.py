@@ -55,7 +55,7 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(
-        F.split("_text", "\n"), lambda x: F.translate(x, BLANKS + " ", "") != ""
+        F.split(text, "\n"), lambda x: F.translate(x, BLANKS + " ", "") != ""
     )
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     base = docs.select(
@@ -110,7 +110,10 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         ),
         lambda acc: acc["n"],
     )
-    return marked.withColumn("n_repeat_words", covered).drop("_at")
+    # A filter on the result must not be pushed below this point, where the arrays would be built
+    # again for every element; Spark moves no filter past an expression like this one.
+    once = F.monotonically_increasing_id() >= 0
+    return marked.withColumn("n_repeat_words", F.when(once, covered)).drop("_at")
 
 
 def text_of(text_col: str) -> Column:

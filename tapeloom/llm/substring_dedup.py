@@ -186,7 +186,7 @@ def chunk_places(keyed: DataFrame, text_col: str) -> DataFrame:
 
 
 def repeated_chunks(keyed: DataFrame, text_col: str) -> DataFrame:
-    """(_id, _tie, repeats): numbers of the chunks that an earlier place holds, with its id."""
+    """(_id, _tie, _repeats): numbers of the chunks that an earlier place holds, with its id."""
     places = chunk_places(keyed, text_col)
     heads = places.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = settle(places.join(heads.select("head"), "head"), "repeated")
@@ -200,7 +200,7 @@ def repeated_chunks(keyed: DataFrame, text_col: str) -> DataFrame:
         ~F.struct(*KEY, "at").eqNullSafe(F.col("first"))
     )
     return later.groupBy(*KEY).agg(
-        F.collect_set(F.struct("at", F.col("first")["_id"].alias("source"))).alias("repeats")
+        F.collect_set(F.struct("at", F.col("first")["_id"].alias("source"))).alias("_repeats")
     )
 
 
@@ -270,15 +270,15 @@ def remove_repeats(
     """
     keyed = _keyed(docs, id_col, text_col)
     repeats = settle(repeated_chunks(keyed, text_col), "repeats").select(
-        F.col("_id").alias("_of"), F.col("_tie").alias("_of_tie"), "repeats"
+        F.col("_id").alias("_of"), F.col("_tie").alias("_of_tie"), "_repeats"
     )
     same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_tie") == F.col("_of_tie"))
     rows = keyed.join(repeats, same, "left")
-    touched = rows.where("repeats is not null").withColumn(
-        "_cut", _cut(F.col(text_col), F.col("repeats"), least_words)
+    touched = rows.where("_repeats is not null").withColumn(
+        "_cut", _cut(F.col(text_col), F.col("_repeats"), least_words)
     )
     empty = F.array()
-    whole = rows.where("repeats is null").select(
+    whole = rows.where("_repeats is null").select(
         *docs.columns,
         empty.cast("array<struct<begin:int,length:int>>").alias("_spans"),
         empty.cast("array<long>").alias("_sources"),
