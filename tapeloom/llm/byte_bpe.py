@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm.pretokens import piece_encoder, pretokens, read_ranks
 from tapeloom.plans.shared import new_path
 
-#: Bytes of text that a block holds at most, unless a single text is longer.
-BLOCK_BYTES = 48_000_000
+#: Characters that a block holds at most, unless a single text is longer.
+BLOCK_CHARS = 14_000_000
 #: Texts cut into pre-tokens at a time.
 STEP = 200
 
@@ -54,7 +54,7 @@ def token_bytes(path: str) -> list[bytes]:
 def _pack(ids: list, texts: list[str]) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(json.dumps([ids, texts]).encode())
+    return zstandard.ZstdCompressor(level=6).compress(json.dumps([ids, texts]).encode())
 
 
 def _unpack(blob: bytes) -> tuple[list, list[str]]:
@@ -76,7 +76,7 @@ def store_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                if texts and size + len(text) > BLOCK_BYTES:
+                if texts and size + len(text) > BLOCK_CHARS:
                     yield block()
                     number, size, ids, texts = number + 1, 0, [], []
                 ids.append(None if doc_id is None else doc_id)
@@ -131,20 +131,54 @@ def distinct_words(blocks: DataFrame) -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, place, ids): words meet by a shuffle on the word, each distinct one encoded once."""
+    """(block, found): words meet by a shuffle on the word, each distinct one encoded once.
+
+    What goes back to a block from one batch of words is one packed row of places and ids.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, last, ids = piece_encoder(_ranks(vocabulary)), None, b""
+        one, last, ids = piece_encoder(_ranks(vocabulary)), None, []
         for batch in batches:
             out = []
             for word in batch["word"].tolist():
                 if word != last:
-                    last, ids = word, np.array(one(word), "<u4").tobytes()
+                    last, ids = word, one(word)
                 out.append(ids)
-            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "ids": out})
+            by_block = batch.groupby("block").indices
+            packed = [
+                _pack_ids(batch["place"].to_numpy()[rows], [out[i] for i in rows.tolist()])
+                for rows in by_block.values()
+            ]
+            yield pd.DataFrame({"block": list(by_block), "found": packed})
 
     met = words.repartition("word").sortWithinPartitions("word")
-    return met.mapInPandas(encode, "block long, place int, ids binary")
+    return met.mapInPandas(encode, "block long, found binary")
+
+
+def _pack_ids(places: np.ndarray, ids: list[list[int]]) -> bytes:
+    """Places, number of ids of each, and all ids, compressed."""
+    import zstandard
+
+    lengths = np.array([len(x) for x in ids], "<u4")
+    flat = np.array([i for x in ids for i in x], "<u4")
+    head = np.array([len(ids)], "<u4")
+    steps = np.diff(places, prepend=0).astype("<i4")
+    raw = b"".join(x.tobytes() for x in (head, steps, lengths, flat))
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpack_ids(blob: bytes) -> Iterator[tuple[int, bytes]]:
+    """(place, ids as little-endian unsigned 32-bit numbers)"""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    places = np.cumsum(np.frombuffer(raw, "<i4", n, 4))
+    ends = 4 * np.cumsum(np.frombuffer(raw, "<u4", n, 4 + 4 * n))
+    ids, at = raw[4 + 8 * n :], 0
+    for place, end in zip(places.tolist(), ends.tolist(), strict=True):
+        yield place, ids[at:end]
+        at = end
 
 
 def encode_texts(
@@ -159,15 +193,13 @@ def encode_texts(
 
     def reassemble(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         # A word's place is its rank among the block's words, so sorting them again names it.
-        ids_at = [b""] * len(words)
-        for place, ids in zip(words["place"].tolist(), words["ids"], strict=True):
-            ids_at[place] = ids
+        ids_at = {place: ids for found in words["found"] for place, ids in _unpack_ids(found)}
         doc_ids: list[str | None] = []
         joined: list[bytes] = []
         for blob in texts["blob"]:
             own, docs_ = _unpack(blob)
             doc_ids += own
-            table = dict(zip(sorted(_found(docs_)), ids_at, strict=True))
+            table = {word: ids_at[place] for place, word in enumerate(sorted(_found(docs_)))}
             joined += [b"".join([table[w] for w in cut]) for cut in _words_of(docs_)]
         return pd.DataFrame({"doc_id": doc_ids, "ids": joined}, dtype=object)
 
