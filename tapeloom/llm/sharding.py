@@ -120,10 +120,10 @@ def with_shard_sizes(assigned: DataFrame) -> DataFrame:
 def write_shards(
     docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write the documents under one folder per shard."""
+    """Write the documents under one folder per shard, named b and its bits."""
     rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     shards = assign_shards(rows, limit_bytes, id_col, text_col, "_row").select(
-        F.col("row").alias("_row"), "shard"
+        F.col("row").alias("_row"), F.concat(F.lit("b"), "shard").alias("shard")
     )
     rows.join(shards, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(
         path
