@@ -461,13 +461,13 @@ define_view(
     "mtarget",
     ("mins",),
     """SELECT DISTINCT s.ticker, d.date FROM (SELECT DISTINCT ticker FROM mins) s,
-      (SELECT DISTINCT date FROM mins) d WHERE d.date >= 19960101""",
+      (SELECT DISTINCT date FROM mins) d""",
 )
 
 
 def minute_targets(rows):
-    """Every quarter from 1996 on for each supplier, whether it traded or not."""
-    quarters = rows.select("date").distinct().where("date >= 19960101")
+    """Every quarter for each supplier, whether it traded or not."""
+    quarters = rows.select("date").distinct()
     listed = quarters.agg(F.sort_array(F.collect_list("date"))).scalar()  # one per quarter
     return rows.select("ticker").distinct().select("ticker", F.explode(listed).alias("date"))
 

@@ -273,12 +273,12 @@ def fold_counts(spark, sf_dir):
     + """SELECT symbol, trading_date, h.label AS new_label, h.target_return AS new_return,
       CASE WHEN t.open IS NULL THEN 'extra' WHEN h.label IS NULL THEN 'missing'
         ELSE 'relabelled' END AS status
-    FROM (SELECT * FROM targets WHERE volume >= 60) t
+    FROM targets t
     FULL JOIN (SELECT * FROM hlab WHERE horizon = 3) h USING (symbol, trading_date)""",
 )
 def relabel(spark, sf_dir):
     indexed, sessions, market = fx.panel(spark, sf_dir)
-    samples = lab.next_day_targets(indexed, market, keep=["volume"]).where("volume >= 60")
+    samples = lab.next_day_targets(indexed, market)
     side = lab.horizon_targets(
         indexed, sessions, market, (3,), min_cross_section=fx.MIN_CROSS_SECTION
     )

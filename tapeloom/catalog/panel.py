@@ -50,15 +50,21 @@ def wide_panel(spark, sf_dir):
     "S2_load_market_panels",
     with_sql("bars")
     + """SELECT trading_date, symbol, open, close, volume FROM bars
-    WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING max(volume) >= 400)""",
+    """,
 )
 def market_panels(spark, sf_dir):
+    """The close panel has one symbol more than the others, which common symbols leave out."""
     b = fx.bars(spark, sf_dir)
-    busy = b.groupBy("symbol").agg(F.max("volume").alias("m")).where("m >= 400").select("symbol")
+    extra = b.withColumn("symbol", F.lit("999999")).groupBy("symbol", "trading_date").agg(
+        F.max("close").alias("close")
+    )
+    close = b.select("symbol", "trading_date", "close").unionByName(
+        extra.select("symbol", "trading_date", "close")
+    )
     paths = {
         "open": write_wide(spark, b, "open"),
-        "close": write_wide(spark, b, "close"),
-        "volume": write_wide(spark, b.join(busy, "symbol"), "volume"),
+        "close": write_wide(spark, close, "close"),
+        "volume": write_wide(spark, b, "volume"),
     }
     return panels.load_market_panels(spark, paths, pattern=ANY_CODE).where("close IS NOT NULL")
 
@@ -66,16 +72,15 @@ def market_panels(spark, sf_dir):
 @query(
     "S2_panel_axis_check",
     with_sql("bars")
-    + """SELECT CAST(strftime(trading_date, '%Y%m%d') AS INTEGER) AS value, 1 AS panels
-    FROM bars GROUP BY trading_date HAVING max(volume) < 400""",
+    + """SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS value, 1 AS panels
+    FROM (SELECT trading_date + INTERVAL 1 DAY AS d FROM bars
+      UNION SELECT trading_date AS d FROM bars) GROUP BY value""",
 )
 def panel_axis(spark, sf_dir):
+    """One panel is a day late, so every date of either panel is in one of them only."""
     b = fx.bars(spark, sf_dir)
-    busy = b.groupBy("trading_date").agg(F.max("volume").alias("m")).where("m >= 400")
-    paths = {
-        "open": write_wide(spark, b, "open"),
-        "volume": write_wide(spark, b.join(busy.select("trading_date"), "trading_date"), "volume"),
-    }
+    late = b.withColumn("trading_date", F.date_add("trading_date", 1))
+    paths = {"open": write_wide(spark, b, "open"), "volume": write_wide(spark, late, "volume")}
     return panels.axis_mismatch(spark, paths)
 
 
@@ -86,8 +91,9 @@ def panel_axis(spark, sf_dir):
     FROM bars""",
 )
 def optional_panel(spark, sf_dir):
+    """All rows are in the optional panel; those of low volume without a value."""
     b = fx.bars(spark, sf_dir)
-    some = b.where("volume >= 200").withColumn("st", F.col("volume"))
+    some = b.withColumn("st", F.when(F.col("volume") >= 200, F.col("volume")))
     path = write_wide(spark, some, "st")
     st = panels.read_wide_panel(spark, path, "st", pattern=ANY_CODE)
     return panels.align_optional_panel(b.select("trading_date", "symbol"), st, "st")
@@ -175,7 +181,7 @@ def scores_restored(spark, sf_dir):
     with_sql("hlab", "preds")
     + """SELECT h.symbol, h.trading_date, h.entry_date, h.return_end_date, h.horizon, h.label,
       h.raw_return, h.benchmark_return, h.target_return
-    FROM hlab h SEMI JOIN (SELECT * FROM preds WHERE in_universe) p
+    FROM hlab h SEMI JOIN preds p
       ON h.symbol = p.symbol AND h.trading_date = p.trading_date WHERE h.horizon = 2""",
 )
 def sidecar_read(spark, sf_dir):
@@ -185,7 +191,7 @@ def sidecar_read(spark, sf_dir):
         indexed, sessions, market, (1, 2, 3), min_cross_section=fx.MIN_CROSS_SECTION
     )
     sink.write_horizon_sidecar(rows, path)
-    keys = lab.next_day_targets(indexed, market, keep=["volume"]).where("volume >= 100")
+    keys = lab.next_day_targets(indexed, market)
     return panels.read_horizon_sidecar(spark, path, 2, keys)
 
 
@@ -204,16 +210,16 @@ def sidecar_write(spark, sf_dir):
 @query(
     "K3_long_to_wide",
     with_sql("targets")
-    + """SELECT CAST(strftime(trading_date, '%Y%m%d') AS INTEGER) AS value,
-    max(CASE WHEN symbol = '000001' THEN target_return END) AS "000001",
-    max(CASE WHEN symbol = '000002' THEN target_return END) AS "000002",
-    max(CASE WHEN symbol = '000005' THEN target_return END) AS "000005"
-    FROM targets GROUP BY trading_date""",
+    + """SELECT CAST(strftime(trading_date, '%Y%m%d') AS INTEGER) AS value, symbol, target_return
+    FROM targets""",
 )
 def wide_labels_write(spark, sf_dir):
-    targets = fx.preds(spark, sf_dir)
-    path = write_wide(spark, targets, "target_return")
-    return spark.read.parquet(path).select("value", "000001", "000002", "000005")
+    """Every column of the wide table, turned into rows again for the comparison."""
+    path = write_wide(spark, fx.preds(spark, sf_dir), "target_return")
+    wide = spark.read.parquet(path)
+    symbols = [c for c in wide.columns if c != "value"]
+    long = wide.unpivot(["value"], symbols, "symbol", "target_return")
+    return long.where("target_return is not null")
 
 
 # ---- calendar and universe -------------------------------------------------
@@ -259,9 +265,7 @@ def previous_close(spark, sf_dir):
     with_sql("bars")
     + """SELECT r.symbol, r.trading_date, coalesce(b.close, 0.0) AS prev_close
     FROM (SELECT DISTINCT s.symbol, d.trading_date FROM (SELECT DISTINCT symbol FROM bars) s,
-      (SELECT DISTINCT trading_date FROM bars) d
-      WHERE (s.symbol, d.trading_date) NOT IN (SELECT symbol, trading_date FROM bars
-        WHERE volume >= 100)) r
+      (SELECT DISTINCT trading_date FROM bars) d) r
     ASOF LEFT JOIN bars b ON r.symbol = b.symbol AND r.trading_date > b.trading_date""",
 )
 def close_before(spark, sf_dir):
@@ -272,9 +276,7 @@ def close_before(spark, sf_dir):
         .join(sessions.select("day_index", "trading_date"), "day_index")
         .select("symbol", "trading_date")
     )
-    busy = indexed.where("volume >= 100").select("symbol", "trading_date")
-    asked = every.join(busy, ["symbol", "trading_date"], "left_anti")
-    return cal.latest_close_before(asked, indexed)
+    return cal.latest_close_before(every, indexed)
 
 
 @query(
@@ -386,8 +388,7 @@ def carried(spark, sf_dir):
 @query(
     "C10_comparison_universe",
     with_sql("targets", "cal")
-    + """, sel AS (SELECT trading_date, symbol, day_index, 1 - close / open AS score FROM targets
-      WHERE volume >= 150),
+    + """, sel AS (SELECT trading_date, symbol, day_index, 1 - close / open AS score FROM targets),
     every AS (SELECT trading_date, symbol, score, true AS in_universe FROM sel
       UNION ALL
       SELECT c.trading_date, p.symbol, 0.0, false FROM sel p
@@ -400,7 +401,7 @@ def carried(spark, sf_dir):
 def comparison(spark, sf_dir):
     indexed, _, market = fx.panel(spark, sf_dir)
     targets = lab.next_day_targets(indexed, market, keep=["open", "close", "volume"])
-    selected = targets.where("volume >= 150").select(
+    selected = targets.select(
         "trading_date", "symbol", (1 - F.col("close") / F.col("open")).alias("score")
     )
     sessions = cal.trading_calendar(selected)

@@ -600,11 +600,10 @@ def verdict(spark, sf_dir):
     with_sql("grid_sum")
     + """SELECT count(*) AS combinations, count(DISTINCT evaluated_dates) = 1
       AND count(DISTINCT (first_date, last_date)) = 1 AS same_date_sample,
-      1 AS missing FROM grid_sum WHERE NOT (top_k = 5 AND exit_buffer = 10 AND cost_bps = 20.0)""",
+      0 AS missing FROM grid_sum""",
 )
 def completeness(spark, sf_dir):
-    """The grid with one cell taken out."""
-    out = grid(spark, sf_dir).where("NOT (top_k = 5 AND exit_buffer = 10 AND cost_bps = 20.0)")
+    out = grid(spark, sf_dir)
     missing = pf.grid_missing(out).agg(F.count(F.lit(1)).alias("missing"))
     return pf.grid_comparable(out).withColumn("missing", missing.scalar())
 

@@ -194,7 +194,7 @@ define_view(
 @query(
     "E1_link_cancels",
     """WITH adds AS (SELECT o_orderkey, datediff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))
-        AS t, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderstatus <> 'P'),
+        AS t, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders),
     lines AS (SELECT l_orderkey AS order_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
         datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS t FROM lineitem)
     SELECT order_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier,
@@ -214,7 +214,7 @@ def link_cancels(spark, sf_dir):
 def order_stream(spark, sf_dir):
     """Orders as additions and their lines as cancellations, time in days."""
     days = lambda c: F.datediff(F.to_date(c), F.lit("1990-01-01").cast("date"))
-    orders = fx.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    orders = fx.table(spark, sf_dir, "orders")
     adds = orders.select(
         F.col("o_orderkey").alias("order_id"),
         days("o_orderdate").alias("time_ms"),
@@ -236,7 +236,7 @@ def order_stream(spark, sf_dir):
 @query(
     "E2_link_trades",
     """WITH adds AS (SELECT o_orderkey, datediff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))
-        AS t FROM orders WHERE o_orderstatus <> 'P')
+        AS t FROM orders)
     SELECT l_orderkey AS buy_id, l_partkey AS sell_id, l_linenumber AS line, l_suppkey AS supplier,
       coalesce(datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) - b.t, -1) AS buy_age_ms,
       coalesce(datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) - s.t, -1) AS sell_age_ms

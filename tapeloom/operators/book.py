@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import clip, valid_book
-from tapeloom.plans.ordering import DEFAULT_CHUNK_ROWS, ordinal
+from tapeloom.plans.ordering import DEFAULT_CHUNK_ROWS, first_rows, ordinal
 
 STOCK_DAY = ("trading_date", "symbol")
 
@@ -33,15 +33,10 @@ def tail_events(
 ) -> DataFrame:
     """Last ``events`` valid snapshots per stock-day, ``place`` 1 being the latest.
 
-    The rank limit is applied on the map side, so a stock-day of any size shuffles at
-    most ``events`` rows per input partition.
+    A stock-day of any size brings at most ``events`` rows per input partition together.
     """
-    backwards = Window.partitionBy(*STOCK_DAY).orderBy(F.desc("time_ms"), F.desc(seq))
-    return (
-        rows.where(valid_book(prices, volumes))
-        .withColumn("place", F.row_number().over(backwards))
-        .where(F.col("place") <= events)
-    )
+    backwards = [F.desc("time_ms"), F.desc(seq)]
+    return first_rows(rows.where(valid_book(prices, volumes)), STOCK_DAY, backwards, events)
 
 
 def normalize_tail(

@@ -15,6 +15,7 @@ from pyspark.sql.window import WindowSpec
 
 from tapeloom.functions.scalars import month_end, open_execution_state, shift_month
 from tapeloom.functions.stats import is_finite, is_positive
+from tapeloom.plans.ordering import first_rows
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("day_index")
@@ -147,10 +148,9 @@ def dynamic_universe(
         & (F.col("observations") >= min_observations)
         & is_positive("liquidity")
     )
-    best = Window.partitionBy("trading_date").orderBy(F.desc("liquidity"), F.desc("symbol"))
+    best = [F.desc("liquidity"), F.desc("symbol")]
     return (
-        eligible.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= top_n)
+        first_rows(eligible, ["trading_date"], best, top_n, "rank")
         .select("trading_date", "day_index", "symbol", "liquidity", "observations", "rank")
     )
 

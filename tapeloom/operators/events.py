@@ -25,7 +25,13 @@ from tapeloom.functions.scalars import (
     top_of_book,
 )
 from tapeloom.functions.stats import is_positive
-from tapeloom.plans.ordering import DEFAULT_CHUNK_ROWS, neighbours, ordinal, prefix_sum
+from tapeloom.plans.ordering import (
+    DEFAULT_CHUNK_ROWS,
+    first_rows,
+    neighbours,
+    ordinal,
+    prefix_sum,
+)
 from tapeloom.plans.shared import sized
 
 # Merge order of simultaneous events and stream identifiers.
@@ -44,22 +50,25 @@ def in_universe(rows: DataFrame, universe: DataFrame, keys: Sequence[str] = STOC
 def link_cancels(orders: DataFrame, keys: Sequence[str] = STOCK_DAY) -> DataFrame:
     """Age and original volume of cancelled orders; -1 and 0 when the original is unknown.
 
-    A plain left join: an order id added twice links twice.
+    Only cancels are joined, by a plain left join: a cancel whose order id was added twice
+    links twice. Every other order passes once, with zeros.
     """
-    cancel = is_cancel(F.col("order_type"))
-    adds = orders.where(~cancel).select(
+    cancel = F.coalesce(is_cancel(F.col("order_type")), F.lit(False))
+    others = orders.where(~cancel)
+    adds = others.select(
         *keys, "order_id", F.col("time_ms").alias("_time"), F.col("volume").alias("_volume")
     )
-    linked = orders.join(adds, [*keys, "order_id"], "left")
-    age = (
-        F.when(cancel & F.col("_time").isNotNull(), F.col("time_ms") - F.col("_time"))
-        .when(cancel, F.lit(AGE_UNKNOWN_MS))
-        .otherwise(0)
-    )
-    volume = F.when(cancel, F.coalesce("_volume", F.lit(0))).otherwise(0)
-    return linked.withColumns({"cancel_age_ms": age, "cancel_orig_vol": volume}).drop(
-        "_time", "_volume"
+    age = F.coalesce(F.col("time_ms") - F.col("_time"), F.lit(AGE_UNKNOWN_MS))
+    linked = (
+        orders.where(cancel)
+        .join(adds, [*keys, "order_id"], "left")
+        .withColumns(
+            {"cancel_age_ms": age, "cancel_orig_vol": F.coalesce("_volume", F.lit(0))}
+        )
+        .drop("_time", "_volume")
     )
+    zeros = {"cancel_age_ms": F.lit(0), "cancel_orig_vol": F.lit(0)}
+    return linked.unionByName(others.withColumns(zeros))
 
 
 def link_trades(trades: DataFrame, orders: DataFrame, keys: Sequence[str] = STOCK_DAY) -> DataFrame:
@@ -297,13 +306,9 @@ def next_event_targets(features: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS
 
 def closing_window(rows: DataFrame, events: int) -> DataFrame:
     """Last ``events`` + 1 events of each stock-day; the very last is only a target."""
-    backwards = Window.partitionBy(*STOCK_DAY).orderBy(
-        F.desc("time_ms"), F.desc(stream_rank(F.col("stream"))), F.desc("seq")
-    )
-    return (
-        rows.withColumn("from_end", F.row_number().over(backwards))
-        .where(F.col("from_end") <= events + 1)
-        .withColumn("is_target_only", F.col("from_end") == 1)
+    backwards = [F.desc("time_ms"), F.desc(stream_rank(F.col("stream"))), F.desc("seq")]
+    return first_rows(rows, STOCK_DAY, backwards, events + 1, "from_end").withColumn(
+        "is_target_only", F.col("from_end") == 1
     )
 
 
@@ -366,14 +371,8 @@ def weighted_picks(counts: DataFrame, picks: int, seed: int, weight: str = "even
 
 def seeded_subset(counts: DataFrame, tickers: int, seed: int) -> DataFrame:
     """Fixed choice of at most ``tickers`` stock-days per day."""
-    by_number = Window.partitionBy("day").orderBy(
-        seeded_number(seed, [F.col("day"), F.col("ticker")]), "ticker"
-    )
-    return (
-        counts.withColumn("_place", F.row_number().over(by_number))
-        .where(F.col("_place") <= tickers)
-        .drop("_place")
-    )
+    by_number = [seeded_number(seed, [F.col("day"), F.col("ticker")]), F.col("ticker")]
+    return first_rows(counts, ["day"], by_number, tickers, "_place").drop("_place")
 
 
 def window_starts(stock_days: DataFrame, length: int, seed: int, closing: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import impact_rate, month_key
 from tapeloom.functions.stats import is_finite, safe_corr, safe_ratio, share
-from tapeloom.plans.ordering import ordinal
+from tapeloom.plans.ordering import first_rows, ordinal
 from tapeloom.plans.shared import sized
 
 # Fixed values.
@@ -56,14 +56,49 @@ def eligible_sessions(
     return sized(marked.withColumn("session", number.cast("long")).drop("_border"), "sessions")
 
 
+def rankable() -> Column:
+    """Rows that take part in a ranking: in the universe, with a finite score."""
+    return F.col("in_universe") & is_finite("score")
+
+
+def enterable(predictions: DataFrame) -> Column:
+    """Rankable rows that may be bought; without a ``can_buy`` column all may."""
+    can_buy = F.col("can_buy") if "can_buy" in predictions.columns else F.lit(True)
+    return rankable() & can_buy
+
+
+def selection_violations(predictions: DataFrame) -> DataFrame:
+    """Rows and dates that no selection may be built on, one row per (key, reason).
+
+    Rows: a score that is not finite, unknown tradability or membership, a return that is
+    missing for a row that may be bought. Dates: two signal dates on one label date.
+    """
+    reasons = {
+        "score not finite": ~is_finite("score"),
+        "tradability unknown": F.col("can_buy").isNull(),
+        "membership unknown": F.col("in_universe").isNull(),
+        "return missing": F.coalesce(enterable(predictions), F.lit(False)) & ~is_finite("target_return"),
+    }
+    named = F.array_compact(F.array(*[F.when(bad, name) for name, bad in reasons.items()]))
+    by_row = predictions.select("label_date", "symbol", F.explode(named).alias("reason"))
+    by_date = (
+        predictions.groupBy("label_date")
+        .agg(F.min("trading_date").alias("_lo"), F.max("trading_date").alias("_hi"))
+        .where("_lo < _hi")
+        .select(
+            "label_date",
+            F.lit(None).cast("string").alias("symbol"),
+            F.lit("several signal dates").alias("reason"),
+        )
+    )
+    return by_row.unionByName(by_date)
+
+
 def rank_limit(predictions: DataFrame, sessions: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` in-universe rows of each eligible date, score desc then symbol."""
-    best = Window.partitionBy("label_date").orderBy(F.desc("score"), "symbol")
-    return (
-        predictions.where("in_universe")
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= limit)
-        .join(sessions.select("label_date", "session"), "label_date")
+    """First ``limit`` rows of each eligible date, score desc then symbol."""
+    best = [F.desc("score"), F.col("symbol")]
+    return first_rows(predictions, ["label_date"], best, limit, "rank").join(
+        sessions.select("label_date", "session"), "label_date"
     )
 
 
@@ -75,7 +110,7 @@ def select_top_k(
     allow_cash: bool = False,
 ) -> DataFrame:
     """Equal-weight Top-K holdings; with a minimum score the rest may stay in cash."""
-    chosen = rank_limit(predictions, sessions, k)
+    chosen = rank_limit(predictions.where(enterable(predictions)), sessions, k)
     if min_score is not None:
         chosen = chosen.where(F.col("score") >= min_score)
     day = Window.partitionBy("label_date")  # at most k rows
@@ -89,14 +124,16 @@ def hysteresis_members(
 ) -> DataFrame:
     """Equal-weight members of (top_k, exit_buffer) bands, all policies in one plan.
 
-    A symbol enters at rank <= top_k, stays while its rank is within top_k + buffer on
+    A symbol that may be bought enters at rank <= top_k, stays while its rank is within top_k + buffer on
     consecutive eligible dates, and leaves otherwise. The position count varies.
     """
     reach = max(k + b for k, b in policies)
     grid = F.array(
         *[F.struct(F.lit(k).alias("top_k"), F.lit(b).alias("exit_buffer")) for k, b in policies]
     )
-    ranked = rank_limit(predictions, sessions, reach)
+    ranked = rank_limit(predictions.where(rankable()), sessions, reach).withColumn(
+        "_may_enter", F.coalesce(enterable(predictions), F.lit(False))
+    )
     by_policy = (
         ranked.withColumn("_p", F.explode(grid))
         .select("*", "_p.*")
@@ -110,14 +147,15 @@ def hysteresis_members(
         .orderBy("session")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    entered = F.max((F.col("rank") <= F.col("top_k")).cast("int")).over(inside)
+    enters = (F.col("rank") <= F.col("top_k")) & F.col("_may_enter")
+    entered = F.max(enters.cast("int")).over(inside)
     day = Window.partitionBy("top_k", "exit_buffer", "label_date")  # at most k + buffer rows
     return (
         by_policy.withColumn("_island", island)
         .withColumn("_in", entered)
         .where("_in = 1")
         .withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(day))
-        .drop("_island", "_in")
+        .drop("_island", "_in", "_may_enter")
     )
 
 
@@ -249,10 +287,9 @@ def daily_table(
     universe = finite.groupBy("session").agg(F.avg("target_return").alias("universe_return"))
     # The realized Top-K is only asked for symbols held that day.
     held_symbols = sized(holdings.select("session", "symbol").distinct(), "held")
-    best = Window.partitionBy("session").orderBy(F.desc("target_return"), "symbol")
+    best = [F.desc("target_return"), F.col("symbol")]
     realized = (
-        finite.withColumn("_realized", F.row_number().over(best))
-        .where(F.col("_realized") <= largest_k)
+        first_rows(finite, ["session"], best, largest_k, "_realized")
         .join(held_symbols, ["session", "symbol"], "left_semi")
         .select("session", "symbol", "_realized")
     )
@@ -703,10 +740,9 @@ def staggered_selection(
         numbered.join(sizes.where(F.col("_n") >= min_symbols), "trading_date").drop("_n"),
         "cohorts",
     )
-    best = Window.partitionBy("trading_date").orderBy(F.desc("score"), "symbol")
+    best = [F.desc("score"), F.col("symbol")]
     members = (
-        aligned.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
+        first_rows(aligned.where(is_finite("score")), ["trading_date"], best, k, "rank")
         .join(cohorts.select("trading_date", "cohort"), "trading_date")
     )
     if min_score is not None:
@@ -937,11 +973,11 @@ def candidate_holdings(
     ``predictions`` has one row per alpha; a candidate with a minimum score keeps the
     unused part in cash.
     """
-    best = Window.partitionBy("alpha", "label_date").orderBy(F.desc("score"), "symbol")
+    best = [F.desc("score"), F.col("symbol")]
     ranked = (
-        predictions.where("in_universe")
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
+        first_rows(
+            predictions.where(enterable(predictions)), ["alpha", "label_date"], best, k, "rank"
+        )
         .join(sessions.select("label_date", "session"), "label_date")
     )
     options = F.array(

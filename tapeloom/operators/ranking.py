@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.scalars import UP, month_key
 from tapeloom.functions.stats import is_finite, safe_corr, safe_ratio, share
 from tapeloom.operators.labels import relevance_grade
-from tapeloom.plans.ordering import exact_quantiles, ordinal, quantiles_at
+from tapeloom.plans.ordering import exact_quantiles, first_rows, ordinal, quantiles_at
 from tapeloom.plans.shared import sized
 
 # Audit thresholds.
@@ -407,11 +407,9 @@ def ndcg_of(both: DataFrame, group: Sequence[str], gain: Column, k: int) -> Data
         (F.avg("_gain") * F.sum(cut)).alias("_dcg")
     )
     actual = per_tie.groupBy(*group).agg(F.sum("_dcg").alias("_dcg"))
-    best = Window.partitionBy(*group).orderBy(F.desc("_gain"), "symbol")
+    largest = [F.desc("_gain"), F.col("symbol")]
     ideal = (
-        rows.select(*group, "_gain", "symbol")
-        .withColumn("_best", F.row_number().over(best))
-        .where(F.col("_best") <= k)
+        first_rows(rows.select(*group, "_gain", "symbol"), group, largest, k, "_best")
         .groupBy(*group)
         .agg(F.sum(F.col("_gain") * discount(F.col("_best"))).alias("_ideal"))
     )
@@ -431,8 +429,7 @@ def top_k(
     rows: DataFrame, k: int, group: Sequence[str], value: str, tie: str = "symbol"
 ) -> DataFrame:
     """First ``k`` rows by value, ties by symbol; a limit Spark prunes before the shuffle."""
-    best = Window.partitionBy(*group).orderBy(F.desc(value), tie)
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return first_rows(rows, group, [F.desc(value), F.col(tie)], k, "rank")
 
 
 def precision_overlap(

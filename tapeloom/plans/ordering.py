@@ -74,6 +74,36 @@ def ordinal(
     )
 
 
+#: Spark applies a rank limit up to this one before the shuffle by itself.
+LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def first_rows(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    limit: int,
+    place: str = "place",
+) -> DataFrame:
+    """First ``limit`` rows of each group with their place from 1.
+
+    Whatever the limit, at most ``limit`` rows of a group per input partition meet in one
+    task: above the limit that Spark handles itself, each input partition's share of a group
+    is ranked and cut first. ``order`` should end in a unique key.
+    """
+    rows = df
+    if limit > int(df.sparkSession.conf.get(LIMIT_SETTING, "1000")):
+        share = Window.partitionBy(*group, "_share").orderBy(*order)
+        rows = (
+            df.withColumn("_share", F.spark_partition_id())
+            .withColumn("_in_share", F.row_number().over(share))
+            .where(F.col("_in_share") <= limit)
+            .drop("_share", "_in_share")
+        )
+    whole = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn(place, F.row_number().over(whole)).where(F.col(place) <= limit)
+
+
 def prefix_sum(
     df: DataFrame,
     group: Sequence[str],
