@@ -743,11 +743,13 @@ def period_summary(spark, sf_dir):
       count(*) FILTER (WHERE status <> 'written') AS imputed_rows FROM msamp GROUP BY period""",
 )
 def write_periods(spark, sf_dir):
-    """First run writes some years, the second one only what is still missing."""
+    """The first run writes some years with another value, the second one all that differs."""
     year = F.floor(F.col("date") / 10000).cast("int")
     rows = settle(completed(spark, sf_dir).withColumn("period", year), "periods")
     path = scratch(spark, "features")
-    sink.write_periods(rows.where("period < 1999"), path)
+    early = F.col("period") < 1997
+    changed = F.when(early, F.col("feature_available")).otherwise(~F.col("feature_available"))
+    sink.write_periods(rows.withColumn("feature_available", changed), path)
     return sink.write_periods(rows, path)
 
 

@@ -128,6 +128,61 @@ def top_k(spark, sf_dir):
     return chosen.select("label_date", "symbol", "rank", "score", rounded("weight").alias("weight"))
 
 
+define_view(
+    "marked",
+    ("pp",),
+    """SELECT trading_date, label_date, symbol, in_universe,
+      CASE WHEN volume % 10 = 0 THEN 'nan'::DOUBLE ELSE score END AS score,
+      CASE WHEN volume % 10 = 1 THEN NULL WHEN volume % 10 = 2 THEN false ELSE can_buy END AS can_buy,
+      CASE WHEN volume % 10 = 3 THEN NULL ELSE target_return END AS target_return
+    FROM (SELECT pp.*, b.volume FROM pp JOIN bars b USING (trading_date, symbol))""",
+)
+
+
+def marked(spark, sf_dir):
+    """Predictions with defects put in by the last digit of the volume; no row is left out."""
+    volume = fx.bars(spark, sf_dir).select("trading_date", "symbol", "volume")
+    last = F.col("volume") % 10
+    return predictions(spark, sf_dir).join(volume, ["trading_date", "symbol"]).select(
+        "trading_date",
+        "label_date",
+        "symbol",
+        "in_universe",
+        F.when(last == 0, F.lit(float("nan"))).otherwise(F.col("score")).alias("score"),
+        F.when(last == 1, F.lit(None)).when(last == 2, False).otherwise(F.col("can_buy")).alias("can_buy"),
+        F.when(last != 3, F.col("target_return")).alias("target_return"),
+    )
+
+
+@query(
+    "P1_tradable_selection",
+    with_sql("marked", "sess")
+    + f"""SELECT label_date, symbol, rank, score FROM (
+      SELECT m.*, row_number() OVER (PARTITION BY m.label_date ORDER BY score DESC, symbol) AS rank
+      FROM marked m JOIN (SELECT label_date FROM sess) s USING (label_date)
+      WHERE in_universe AND can_buy AND NOT isnan(score)) WHERE rank <= {K}""",
+)
+def tradable(spark, sf_dir):
+    """Top-K where scores may be NaN and rows may not be bought, or nobody knows."""
+    rows = marked(spark, sf_dir)
+    chosen = pf.select_top_k(rows, pf.eligible_sessions(rows, MIN), K)
+    return chosen.select("label_date", "symbol", "rank", "score")
+
+
+@query(
+    "P1_selection_violations",
+    with_sql("marked")
+    + """SELECT label_date, symbol, reason FROM marked, (SELECT unnest(['score not finite',
+        'tradability unknown', 'return missing']) AS reason)
+      WHERE (reason = 'score not finite' AND isnan(score))
+        OR (reason = 'tradability unknown' AND can_buy IS NULL)
+        OR (reason = 'return missing' AND target_return IS NULL AND in_universe AND can_buy
+          AND NOT isnan(score))""",
+)
+def selection_violations(spark, sf_dir):
+    return pf.selection_violations(marked(spark, sf_dir))
+
+
 @query(
     "P1_top_k_selection_with_cash",
     with_sql("urank")

@@ -603,6 +603,31 @@ def isotonic(spark, sf_dir):
     )
 
 
+@query(
+    "R15_calibration_contract",
+    with_sql("signals")
+    + """SELECT "partition", count(*) AS rows, true AS finite, true AS ordered FROM signals
+      GROUP BY "partition\"""",
+)
+def calibration_contract(spark, sf_dir):
+    """Every signal gets a finite return, and the ends of the ranks the ends of the returns."""
+    out = settle(calibrated(spark, sf_dir), "calibrated")
+    ends = rk.calibration_summary(out, ["partition"])
+    at_ends = out.groupBy("partition").agg(
+        F.min_by("expected_return", "score").alias("first"),
+        F.max_by("expected_return", "score").alias("last"),
+        F.min((F.abs("expected_return") < float("inf")).cast("int")).alias("finite"),
+    )
+    return ends.join(at_ends, "partition").select(
+        "partition",
+        "rows",
+        (F.col("finite") == 1).alias("finite"),
+        ((F.col("first") == F.col("expected_min")) & (F.col("last") == F.col("expected_max"))).alias(
+            "ordered"
+        ),
+    )
+
+
 # ---- audit -----------------------------------------------------------------
 
 define_view(

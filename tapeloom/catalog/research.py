@@ -430,6 +430,23 @@ def split_rows(rows):
 PREDICTION_KEYS = ["symbol", "trading_date", "label_date", "label", "target_return"]
 
 
+def judged(scored):
+    """Keys and, of the prediction itself, what holds for any model."""
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return scored.select(
+        *PREDICTION_KEYS,
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.abs(F.col("score") - (p[2] - p[0])) < 1e-12).alias("score_is_up_minus_down"),
+        (F.element_at(p, F.col("predicted") + 1) == F.array_max(p)).alias("class_is_likeliest"),
+    )
+
+
+JUDGED_SQL = with_sql("labelled") + """SELECT symbol, trading_date, label_date, label, target_return,
+  true AS sums_to_one, true AS score_is_up_minus_down, true AS class_is_likeliest FROM labelled"""
+TEST_ROWS = " WHERE trading_date >= DATE '1999-01-01'"
+
+
 @query("G1_logistic_baseline")
 def logistic(spark, sf_dir):
     train, test = split_rows(model_rows(spark, sf_dir))
@@ -437,6 +454,28 @@ def logistic(spark, sf_dir):
     return ml.prediction_rows(ml.score_rows(model, test, PREDICTION_KEYS))
 
 
+@query("G1_logistic_contract", JUDGED_SQL + TEST_ROWS)
+def logistic_contract(spark, sf_dir):
+    train, test = split_rows(model_rows(spark, sf_dir))
+    model = ml.fit_logistic(train, FEATURES, max_iter=30)
+    return judged(ml.score_rows(model, test, PREDICTION_KEYS))
+
+
+@query("G2_tree_contract", JUDGED_SQL + TEST_ROWS)
+def forest_contract(spark, sf_dir):
+    train, test = split_rows(model_rows(spark, sf_dir))
+    model = ml.fit_forest(train, FEATURES, trees=20)
+    return judged(ml.score_rows(model, test, PREDICTION_KEYS))
+
+
+@query("G4_scoring_contract", JUDGED_SQL)
+def scoring_contract(spark, sf_dir):
+    """Every row of the keyed table is scored, whatever split fitted the model."""
+    rows = model_rows(spark, sf_dir)
+    model = ml.fit_forest(split_rows(rows)[0], FEATURES, trees=10, depth=4)
+    return judged(ml.score_rows(model, rows, PREDICTION_KEYS))
+
+
 @query("G2_tree_ensemble")
 def forest(spark, sf_dir):
     train, test = split_rows(model_rows(spark, sf_dir))

@@ -364,9 +364,10 @@ def fold_split_counts(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Accepted and purged rows by fold, split and horizon.
 
     The signal date alone decides which split counts the row; entry and return-end date
-    outside that range make it purged. ``ranges`` is the small fold dimension.
+    outside that range make it purged. ``ranges`` are expanded to one row per fold and day, so
+    that the dates meet them in an equi-join.
     """
-    inside = F.col("trading_date").between(F.col("start"), F.col("end"))
+    fold_days = ranges.withColumn("trading_date", F.explode(F.sequence("start", "end")))
     held = F.col("entry_date").between(F.col("start"), F.col("end")) & F.col(
         "return_end_date"
     ).between(F.col("start"), F.col("end"))
@@ -375,7 +376,7 @@ def fold_split_counts(rows: DataFrame, ranges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_rows")
     )
     return (
-        triples.join(F.broadcast(ranges), inside)
+        triples.join(fold_days, "trading_date")
         .groupBy("fold_id", "split", "horizon")
         .agg(
             F.sum(F.when(held, F.col("_rows")).otherwise(0)).alias("accepted"),

@@ -558,14 +558,24 @@ def percentile_ranks(
     return smoothed_ranks(signals, (alpha,), segment).drop("alpha")
 
 
-def calibrated_scores(fit: DataFrame, score: DataFrame) -> DataFrame:
+LEAST_CALIBRATION_ROWS = 100
+
+
+def calibrated_scores(
+    fit: DataFrame, score: DataFrame, min_rows: int = LEAST_CALIBRATION_ROWS
+) -> DataFrame:
     """Isotonic map from rank to expected return, fitted on ``fit`` and applied to ``score``.
 
     ``fit`` has score and target_return. Predictions outside the fitted range take the end
-    values. Equal ranks are averaged first, which leaves the fit unchanged.
+    values. Equal ranks are averaged first, which leaves the fit unchanged. Fewer than
+    ``min_rows`` rows with a finite score and return are refused.
     """
     from pyspark.ml.regression import IsotonicRegression
 
+    fit = fit.where(is_finite("score") & is_finite("target_return"))
+    rows = fit.count()
+    if rows < min_rows:
+        raise ValueError(f"calibration needs {min_rows} rows, got {rows}")
     merged = fit.groupBy("score").agg(
         F.avg("target_return").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
     )
@@ -575,6 +585,17 @@ def calibrated_scores(fit: DataFrame, score: DataFrame) -> DataFrame:
     return model.transform(score)
 
 
+def calibration_summary(calibrated: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Rows, and the ranges of the ranks and of the calibrated returns."""
+    return calibrated.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("score").alias("rank_min"),
+        F.max("score").alias("rank_max"),
+        F.min("expected_return").alias("expected_min"),
+        F.max("expected_return").alias("expected_max"),
+    )
+
+
 # ---- audit -----------------------------------------------------------------
 
 

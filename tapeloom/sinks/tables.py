@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.plans.ordering import ordinal
-from tapeloom.plans.shared import sized
+from tapeloom.plans.shared import settle, sized
 
 # Fixed values.
 PORTFOLIO_TABLES = ("daily", "holdings", "trades")
@@ -34,35 +34,55 @@ def write_horizon_sidecar(targets: DataFrame, path: str) -> DataFrame:
     return written.groupBy("horizon").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def period_fingerprints(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(period, rows, digest): an order-free digest of the content of each period."""
+    picked = [F.col(c) for c in columns]
+    # The null flags keep (null, x) apart from (x, null).
+    content = F.xxhash64(*picked, *[c.isNull() for c in picked])
+    return rows.groupBy("period").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(content.cast("decimal(38,0)")).alias("digest"),
+    )
+
+
 def write_periods(
     rows: DataFrame,
     path: str,
     available: str = "feature_available",
     resume: bool = True,
-    files_per_period: int = 16,
+    rows_per_file: int = 1_000_000,
 ) -> DataFrame:
-    """Write ``rows`` by ``period`` folder, skipping periods already complete.
+    """Write ``rows`` by ``period`` folder, skipping periods that hold the same content.
 
-    A period is complete when the table at ``path`` holds as many rows for it as ``rows``
-    does; dynamic overwrite replaces only the other periods. A period is spread over up to
-    ``files_per_period`` writers. Returns the manifest.
+    What is stored is read and compared by fingerprint, so a changed value, a lost row or a
+    tampered file makes its period be written again; other columns than before replace all
+    periods. A period is spread over as many files as its rows ask for. The manifest (rows,
+    digest and columns per period) is kept beside the data and returned with the counts.
     """
     spark = rows.sparkSession
-    todo = rows
-    if resume:
-        existing = read_if_present(spark, path)
-        if existing is not None:
-            done = existing.groupBy("period").agg(F.count(F.lit(1)).alias("_rows"))
-            wanted = rows.groupBy("period").agg(F.count(F.lit(1)).alias("_rows"))
-            complete = sized(wanted.join(done, ["period", "_rows"]).select("period"), "done")
-            todo = rows.join(complete, "period", "left_anti")
+    columns = [c for c in rows.columns if c != "period"]
+    rows = settle(rows, "period-rows")
+    wanted = sized(period_fingerprints(rows, columns), "wanted")
+    todo = wanted
+    existing = read_if_present(spark, path) if resume else None
+    if existing is not None and set(existing.columns) == set(rows.columns):
+        stored = existing.withColumn("period", F.col("period").cast(rows.schema["period"].dataType))
+        done = sized(period_fingerprints(stored, columns), "stored")
+        todo = wanted.join(done, ["period", "rows", "digest"], "left_anti")
+    spread = sized(
+        todo.select("period", F.ceil(F.col("rows") / rows_per_file).alias("_files")), "todo"
+    )
     (
-        todo.repartition("period", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(files_per_period)))
+        rows.join(spread, "period")
+        .repartition("period", F.pmod(F.xxhash64(*columns[:2]), "_files"))
+        .drop("_files")
         .write.partitionBy("period")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
+    manifest = wanted.withColumn("columns", F.array(*[F.lit(c) for c in columns]))
+    manifest.write.mode("overwrite").parquet(f"{path}/_manifest")
     written = spark.read.parquet(path)
     return written.groupBy("period").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -71,12 +91,20 @@ def write_periods(
     )
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, digest and columns of each period as last written."""
+    return spark.read.parquet(f"{path}/_manifest")
+
+
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing is there; other errors are raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.functions.scalars import modality_columns, pad_symbol, parse_day, strip_suffix
+from tapeloom.functions.scalars import (
+    day_number,
+    modality_columns,
+    pad_symbol,
+    parse_day,
+    strip_suffix,
+)
 
 BAR_SCHEMA = T.StructType(
     [
@@ -33,29 +39,47 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 
+def within_days(raw: DataFrame, column: str, wanted: DataFrame, day: str) -> DataFrame:
+    """Rows from the first to the last wanted day, as literals on the stored column.
+
+    The bounds are taken first, so that the scan itself skips files, folders and row groups.
+    ``column`` holds yyyymmdd as a number.
+    """
+    first, last = wanted.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return raw.where(F.lit(False))
+    return raw.where(F.col(column).between(F.lit(first), F.lit(last)))
+
+
 def read_minute_cache(
     spark: SparkSession, paths: Sequence[str], modality: str, targets: DataFrame
 ) -> DataFrame:
     """Yearly files of one modality, restricted to the wanted stock-days.
 
-    Column pruning keeps the features of the modality; the semi join on (date, ticker)
-    runs on the scan output before anything wide is shuffled.
+    Column pruning keeps the features of the modality, and the scan skips what lies outside
+    the wanted days.
     """
     raw = spark.read.parquet(*paths)
     features = modality_columns(raw.columns, modality)
     if not features:
         raise ValueError(f"no {modality} feature column")
     wanted = targets.select("date", "ticker").distinct()
-    picked = raw.select("date", "ticker", "minute", "seq", *features)
+    picked = within_days(raw, "date", wanted, "date").select(
+        "date", "ticker", "minute", "seq", *features
+    )
     return picked.join(wanted, ["date", "ticker"], "left_semi")
 
 
 def read_trade_date_minutes(
     spark: SparkSession, root: str, targets: DataFrame, features: Sequence[str]
 ) -> DataFrame:
-    """Minute OHLCV under trade_date=YYYYMMDD; joining on the partition column lets
-    Spark prune the day folders that no target asks for."""
+    """Minute OHLCV under trade_date=YYYYMMDD, reading only the folders of wanted days.
+
+    The distinct wanted days, one value per session, become literals on the partition column.
+    """
+    days = [r["date"] for r in targets.select("date").distinct().collect()]
     raw = spark.read.parquet(root)
+    raw = raw.where(F.col("trade_date").isin(days))
     rows = raw.select(
         F.col("trade_date").cast("int").alias("date"),
         strip_suffix(F.col("ts_code")).alias("ticker"),
@@ -74,8 +98,15 @@ def read_book_months(
     signal_ms: int,
     columns: Sequence[str],
 ) -> DataFrame:
-    """Book snapshots of the target stock-days inside [start_ms, signal_ms)."""
+    """Book snapshots of the target stock-days inside [start_ms, signal_ms).
+
+    Where days are stored as numbers, their bounds reach the scan; days stored as text may
+    have two forms and are compared after parsing.
+    """
     raw = spark.read.parquet(*paths).select("ticker", "TradingDay", "time_ms", "seq", *columns)
+    if isinstance(raw.schema["TradingDay"].dataType, T.IntegralType):
+        days = targets.select(day_number(F.col("trading_date")).alias("day"))
+        raw = within_days(raw, "TradingDay", days, "day")
     timed = raw.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") < signal_ms))
     keyed = timed.select(
         parse_day(F.col("TradingDay")).alias("trading_date"),

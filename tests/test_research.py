@@ -124,10 +124,37 @@ def test_periods_resume_only_what_is_missing(spark, tmp_path):
     )
     first = frame.where("period = '2024-01' OR symbol < 's2'")
     assert rows(sink.write_periods(first, path), "period", "rows") == [("2024-01", 4), ("2024-02", 2)]
-    again = sink.write_periods(frame.withColumn("version", F.lit(1)), path)
+    files = lambda p: {f.name for f in (tmp_path / "periods" / f"period={p}").glob("*.parquet")}
+    before = files("2024-01"), files("2024-02")
+    again = sink.write_periods(frame, path)
     assert rows(again, "period", "rows", "available_rows") == [("2024-01", 4, 2), ("2024-02", 4, 2)]
-    kept = spark.read.parquet(path).groupBy("period").agg(F.max("version").alias("v"))
-    assert rows(kept, "period", "v") == [("2024-01", 0), ("2024-02", 1)]
+    # The complete period keeps its files, the other one is new.
+    assert files("2024-01") == before[0] and not files("2024-02") & before[1]
+
+
+def test_periods_with_changed_content_are_written_again(spark, tmp_path):
+    path = str(tmp_path / "periods")
+    frame = spark.createDataFrame(
+        [(p, f"s{i}", i % 2 == 0, 1.0) for p in ("2024-01", "2024-02") for i in range(4)],
+        "period string, symbol string, feature_available boolean, v double",
+    )
+    sink.write_periods(frame, path)
+    one = (F.col("period") == "2024-02") & (F.col("symbol") == "s3")
+    sink.write_periods(frame.withColumn("v", F.when(one, 9.0).otherwise(F.col("v"))), path)
+    got = spark.read.parquet(path).groupBy("period").agg(F.sum("v").alias("v"))
+    assert rows(got, "period", "v") == [("2024-01", 4.0), ("2024-02", 12.0)]
+    # Data that changed on disk is noticed by its content.
+    spark.read.parquet(path).where("period = '2024-01'").withColumn("v", F.lit(5.0)).drop(
+        "period"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/period=2024-01")
+    sink.write_periods(frame, path)
+    got = spark.read.parquet(path).groupBy("period").agg(F.sum("v").alias("v"))
+    assert rows(got, "period", "v") == [("2024-01", 4.0), ("2024-02", 4.0)]
+    # Another column set replaces all periods.
+    sink.write_periods(frame.withColumn("w", F.lit(2)), path)
+    assert spark.read.parquet(path).agg(F.sum("w")).first()[0] == 16
+    manifest = sink.read_manifest(spark, path)
+    assert {tuple(r["columns"]) for r in manifest.collect()} == {("symbol", "feature_available", "v", "w")}
 
 
 def test_sharded_rows(spark, many_partitions):
