@@ -17,13 +17,13 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.pretokens import piece_encoder, pretokens, read_ranks
@@ -52,15 +52,26 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def _pack(ids: list, texts: list[str]) -> bytes:
+    """Compressed: length of the header, header (ids and bytes of each text), texts."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=6).compress(json.dumps([ids, texts]).encode())
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    head = json.dumps([ids, [len(r) for r in raw]]).encode()
+    return zstandard.ZstdCompressor(level=6).compress(
+        b"".join([len(head).to_bytes(8, "little"), head, *raw])
+    )
 
 
 def _unpack(blob: bytes) -> tuple[list, list[str]]:
     import zstandard
 
-    ids, texts = json.loads(zstandard.ZstdDecompressor().decompress(blob))
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at = 8 + int.from_bytes(raw[:8], "little")
+    ids, sizes = json.loads(raw[8:at])
+    texts = []
+    for size in sizes:
+        texts.append(raw[at : at + size].decode("utf-8", "surrogatepass"))
+        at += size
     return ids, texts
 
 
@@ -181,12 +192,23 @@ def _unpack_ids(blob: bytes) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
+def _as_they_are(ids: list[bytes]) -> dict[str, list]:
+    return {"ids": ids}
+
+
 def encode_texts(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    fields: str = "ids binary",
+    derive: Callable[[list[bytes]], dict[str, list]] = _as_they_are,
 ) -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit numbers).
 
-    ``vocabulary`` is the path of a .tiktoken file.
+    ``vocabulary`` is the path of a .tiktoken file. ``derive`` makes other columns, declared as
+    ``fields``, from the ids of many texts where they are put together, so that long ids need
+    not travel to a second step.
     """
     blocks = store_blocks(docs, id_col, text_col)
     back = encode_words(distinct_words(blocks), vocabulary)
@@ -194,23 +216,30 @@ def encode_texts(
     def reassemble(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         # A word's place is its rank among the block's words, so sorting them again names it.
         ids_at = {place: ids for found in words["found"] for place, ids in _unpack_ids(found)}
-        doc_ids: list[str | None] = []
-        joined: list[bytes] = []
+        out = []
         for blob in texts["blob"]:
             own, docs_ = _unpack(blob)
-            doc_ids += own
             table = {word: ids_at[place] for place, word in enumerate(sorted(_found(docs_)))}
-            joined += [b"".join([table[w] for w in cut]) for cut in _words_of(docs_)]
-        return pd.DataFrame({"doc_id": doc_ids, "ids": joined}, dtype=object)
+            for at in range(0, len(docs_), STEP):
+                joined = [
+                    b"".join([table[w] for w in cut]) for cut in pretokens(docs_[at : at + STEP])
+                ]
+                out.append(pd.DataFrame({"doc_id": own[at : at + STEP]} | derive(joined)))
+        return pd.concat(out).astype({"doc_id": object})
 
     return (
         blocks.groupBy("block")
         .cogroup(back.groupBy("block"))
-        .applyInPandas(reassemble, "doc_id string, ids binary")
+        .applyInPandas(reassemble, f"doc_id string, {fields}")
         .withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
     )
 
 
+def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
+    """Bytes of the text behind the ids."""
+    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
 def decode_texts(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded``, the bytes that the token-byte table has for each id."""
 
@@ -218,26 +247,23 @@ def decode_texts(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> D
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = token_bytes(vocabulary)
         for batch in batches:
-            yield pd.Series(
-                [b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]) for ids in batch]
-            )
+            yield pd.Series([decode_ids(ids, table) for ids in batch], dtype=object)
 
     return encoded.withColumn("decoded", decode(F.col(ids_col)))
 
 
-def ids_digest(ids_col: str = "ids") -> Column:
-    """SHA-256, in hex, of the decimal ids joined by commas."""
+def digests_of(vocabulary: str) -> Callable[[list[bytes]], dict[str, list]]:
+    """For ``derive``: tokens, SHA-256 of the decimal ids, SHA-256 of the decoded bytes."""
 
-    @F.pandas_udf("string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(
-                [
-                    hashlib.sha256(
-                        ",".join(map(str, np.frombuffer(ids, "<u4").tolist())).encode()
-                    ).hexdigest()
-                    for ids in batch
-                ]
-            )
-
-    return digest(F.col(ids_col))
+    def derive(encoded: list[bytes]) -> dict[str, list]:
+        table = token_bytes(vocabulary)
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for ids in encoded:
+            numbers = np.frombuffer(ids, "<u4").tolist()
+            listed = ",".join(map(str, numbers)).encode()
+            out["n_tokens"].append(len(numbers))
+            out["ids_sha256"].append(hashlib.sha256(listed).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decode_ids(ids, table)).hexdigest())
+        return out
+
+    return derive

@@ -32,12 +32,12 @@ CHUNK_CHARS = 2_000_000
 def _classes() -> np.ndarray:
     import regex
 
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    everything = "".join(points)
     table = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, everything):
-            table[np.frombuffer(m.group().encode("utf-32-le"), np.uint32)] = kind
+    for first in range(0, 0x110000, 0x1000):
+        part = "".join(chr(c) for c in range(first, first + 0x1000) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, part):
+                table[np.frombuffer(m.group().encode("utf-32-le"), np.uint32)] = kind
     table[WHITE_SPACE] = BLANK
     return table
 

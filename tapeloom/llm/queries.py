@@ -201,12 +201,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as counts and digests."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary)
-    return byte_bpe.decode_texts(encoded, vocabulary).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        byte_bpe.ids_digest("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    return byte_bpe.encode_texts(
+        table(spark, sf_dir, "documents"),
+        vocabulary,
+        fields="n_tokens long, ids_sha256 string, decoded_sha256 string",
+        derive=byte_bpe.digests_of(vocabulary),
     )
 
 
