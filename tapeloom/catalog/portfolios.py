@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.catalog import fixtures as fx
 from tapeloom.catalog.fixtures import define_view, with_sql
 from tapeloom.catalog.panel import attributes, scratch
-from tapeloom.catalog.ranks import corr, round_columns
+from tapeloom.catalog.ranks import EXPOSURES, corr, exposures, round_columns
 from tapeloom.catalog.registry import query, rounded
 from tapeloom.functions.scalars import impact_rate, open_execution_state
 from tapeloom.operators import labels as lab
@@ -582,7 +582,8 @@ define_view(
         top_5_absolute_active_contribution <= 0.5 AS limited_concentration,
         exit_buffer = 0 OR (turnover_reduction > 1e-12 AND net_delta >= -1e-12)
           AS buffer_efficient FROM (
-        SELECT c.*, c.mean_active_return - c.mean_transaction_cost AS net_active_mean_daily,
+        SELECT c.*, c.mean_active_return AS gross_active_mean_daily,
+          c.mean_active_return - c.mean_transaction_cost AS net_active_mean_daily,
           CASE WHEN c.exit_buffer <> 0 THEN b.mean_one_way - c.mean_one_way ELSE 0.0 END
             AS turnover_reduction,
           CASE WHEN c.exit_buffer <> 0 THEN c.gross_mean_daily - b.gross_mean_daily ELSE 0.0 END
@@ -601,7 +602,11 @@ CRITERIA = (
 CANDIDATE_VALUES = (
     "net_mean_daily",
     "net_sharpe",
+    "gross_active_mean_daily",
     "net_active_mean_daily",
+    "positive_net_active_month_ratio",
+    "top_5_absolute_active_contribution",
+    "mean_one_way",
     "turnover_reduction",
     "gross_delta",
     "net_delta",
@@ -1146,22 +1151,59 @@ def choose(spark, sf_dir):
     return pf.choose_candidates(candidate_matrix(spark, sf_dir), 3)
 
 
+IMPACT = 0.0005
+
+
+def _daily_z_sql() -> str:
+    return ", ".join(
+        f"(avg({e}) FILTER (WHERE place <= {K}) - avg({e})) / stddev_pop({e}) AS {e}_z"
+        for e in EXPOSURES
+    )
+
+
+def _widest_sql() -> str:
+    return ", ".join(f"abs(avg({e}_z))" for e in EXPOSURES)
+
+
 @query(
     "P18_gate_report",
-    with_sql("matrix")
-    + """SELECT windows, a AS positive_in_both, b AS improves_by_1bp,
-      c AS turnover_at_most_80_percent, d AS top_5_below_half,
-      CASE WHEN a AND b AND c AND d THEN 'PASS' ELSE 'HOLD' END AS decision FROM (
+    with_sql("matrix", "exr")
+    + f""", daily_z AS (SELECT partition, trading_date, {_daily_z_sql()}
+      FROM exr GROUP BY partition, trading_date),
+    wide AS (SELECT partition AS w, greatest({_widest_sql()}) AS widest FROM daily_z
+      GROUP BY partition)
+    SELECT windows, a AS positive_in_both, e AS positive_under_dynamic_cost, b AS improves_by_1bp,
+      c AS turnover_at_most_80_percent, d AS top_5_below_half, f AS risk_within_one_z,
+      CASE WHEN a AND b AND c AND d AND e AND f THEN 'PASS' ELSE 'HOLD' END AS decision FROM (
       SELECT count(*) AS windows, bool_and(x.mean_net_active_return > 0) AS a,
         bool_and(x.mean_net_active_return - y.mean_net_active_return >= 0.0001) AS b,
         bool_and(x.mean_one_way / greatest(1e-12, y.mean_one_way) <= 0.8) AS c,
-        bool_and(x.top_5_absolute_active_contribution < 0.5) AS d
-      FROM matrix x JOIN matrix y USING ("window") WHERE x.name = 'ema0.5-minnone'
-        AND y.name = 'ema1-minnone')""",
+        bool_and(x.top_5_absolute_active_contribution < 0.5) AS d,
+        bool_and(x.mean_net_active_return - x.mean_one_way * {IMPACT} > 0) AS e,
+        bool_and(widest <= 1.0) AS f
+      FROM matrix x JOIN matrix y USING ("window") JOIN wide ON w = "window"
+      WHERE x.name = 'ema0.5-minnone' AND y.name = 'ema1-minnone')""",
 )
 def gate(spark, sf_dir):
+    """Dynamic cost is a flat impact on turnover here; risk is that of the daily Top-K."""
     rows = candidate_matrix(spark, sf_dir)
-    return pf.gate_report(rows, "ema0.5-minnone", "ema1-minnone", ("validation", "oos"))
+    mine = rows.where("name = 'ema0.5-minnone'")
+    cost = F.col("mean_one_way") * IMPACT
+    dynamic = mine.select(
+        "window", (F.col("mean_net_active_return") - cost).alias("mean_net_active_return")
+    )
+    indexed, sessions, _ = fx.panel(spark, sf_dir)
+    signals = fx.signals_of(indexed, sessions)
+    daily = rk.exposure_daily(signals, exposures(indexed), EXPOSURES, K)
+    risks = (
+        daily.join(signals.select("trading_date", "partition").distinct(), "trading_date")
+        .groupBy(F.col("partition").alias("window"))
+        .agg(*[F.avg(f"{e}_z").alias(e) for e in EXPOSURES])
+        .unpivot(["window"], list(EXPOSURES), "exposure", "z")
+    )
+    return pf.gate_report(
+        rows, "ema0.5-minnone", "ema1-minnone", ("validation", "oos"), dynamic, risks
+    )
 
 
 @query(

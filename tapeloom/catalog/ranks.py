@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tapeloom.catalog import fixtures as fx
 from tapeloom.catalog.fixtures import define_view, with_sql
-from tapeloom.catalog.panel import attributes
 from tapeloom.catalog.registry import query, rounded
 from tapeloom.functions.scalars import direction_score, predicted_class
 from tapeloom.operators import labels as lab
@@ -765,28 +764,26 @@ EXPOSURES = ("log_size", "adv", "volatility")
 
 
 def exposures(indexed):
-    industry = F.concat(F.lit("i"), F.substring("symbol", -1, 1))
-    return attributes(indexed).withColumn("industry", industry)
-
-
-def exposure_rows(indexed, sessions):
-    """Signals of symbol-dates that have attributes, plus one uncovered date."""
-    known = attributes(indexed).select("symbol", "trading_date")
-    scored = fx.signals_of(indexed, sessions)
-    first = F.col("trading_date") == F.lit("1995-01-01").cast("date")
-    return scored.join(known, ["symbol", "trading_date"], "left_semi").unionByName(
-        scored.where(first)
+    """Exposures that every bar has, so that all dates are covered in full."""
+    return indexed.select(
+        "symbol",
+        "trading_date",
+        F.log(F.col("close") * F.col("volume")).alias("log_size"),
+        F.col("volume").alias("adv"),
+        F.log(F.col("high") / F.col("low")).alias("volatility"),
+        F.concat(F.lit("i"), F.substring("symbol", -1, 1)).alias("industry"),
     )
 
 
 define_view(
     "exr",
-    ("attrs", "signals"),
-    """SELECT s.trading_date, s.symbol, s.score, a.log_size, a.adv, a.volatility,
+    ("ibars", "signals"),
+    """SELECT s.trading_date, s.symbol, s.score, s.partition, a.log_size, a.adv, a.volatility,
       'i' || right(s.symbol, 1) AS industry,
       row_number() OVER (PARTITION BY s.trading_date ORDER BY s.score DESC, s.symbol) AS place,
       count(*) OVER (PARTITION BY s.trading_date) AS n
-    FROM signals s JOIN attrs a USING (trading_date, symbol)""",
+    FROM signals s JOIN (SELECT symbol, trading_date, ln(close * volume) AS log_size,
+      volume AS adv, ln(high / low) AS volatility FROM ibars) a USING (trading_date, symbol)""",
 )
 
 
@@ -803,7 +800,7 @@ define_view(
 )
 def exposure_diagnostics(spark, sf_dir):
     indexed, sessions, _ = fx.panel(spark, sf_dir)
-    out = rk.exposure_daily(exposure_rows(indexed, sessions), exposures(indexed), EXPOSURES, K)
+    out = rk.exposure_daily(fx.signals_of(indexed, sessions), exposures(indexed), EXPOSURES, K)
     return round_columns(out, ("trading_date",), 8)
 
 
@@ -817,7 +814,7 @@ def exposure_diagnostics(spark, sf_dir):
 )
 def industry_distance(spark, sf_dir):
     indexed, sessions, _ = fx.panel(spark, sf_dir)
-    out = rk.industry_distance(exposure_rows(indexed, sessions), exposures(indexed), K)
+    out = rk.industry_distance(fx.signals_of(indexed, sessions), exposures(indexed), K)
     return round_columns(out, ("trading_date",))
 
 

@@ -622,6 +622,16 @@ def breakeven_table(summary: DataFrame, decision_cost: float) -> DataFrame:
     )
 
 
+#: Figures of a cell that are compared with the cell of the same K without a buffer,
+#: and the sign that makes an improvement positive.
+AGAINST_ZERO_BUFFER = {
+    "turnover_reduction": ("mean_one_way", -1),
+    "gross_delta": ("gross_mean_daily", 1),
+    "net_delta": ("net_mean_daily", 1),
+    "cost_saving": ("mean_transaction_cost", -1),
+}
+
+
 def grid_candidates(
     summary: DataFrame,
     decision_cost: float = 10.0,
@@ -629,46 +639,41 @@ def grid_candidates(
     min_positive_months: float = 0.5,
     max_top5: float = 0.5,
 ) -> DataFrame:
-    """Criteria of every cell at the decision cost, ranked best first."""
-    cells = summary.where(F.abs(F.col("cost_bps") - decision_cost) <= 1e-12).withColumn(
-        "net_active_mean_daily", F.col("mean_active_return") - F.col("mean_transaction_cost")
-    )
-    compared = ("mean_one_way", "gross_mean_daily", "net_mean_daily", "mean_transaction_cost")
-    base = cells.where("exit_buffer = 0").select(
-        "top_k", *[F.col(c).alias(f"_{c}") for c in compared]
+    """Every cell at the decision cost next to its zero-buffer cell, judged and ranked."""
+    cells = summary.where(F.abs(F.col("cost_bps") - decision_cost) <= 1e-12)
+    plain = cells.where("exit_buffer = 0").select(
+        "top_k", F.struct(*[c for c, _ in AGAINST_ZERO_BUFFER.values()]).alias("zero")
     )
-    joined = cells.join(base, "top_k", "left")
     buffered = F.col("exit_buffer") != 0
-
-    def delta(value: Column) -> Column:
-        return F.when(buffered, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
-
-    c = F.col
-    joined = joined.withColumns(
-        {
-            "turnover_reduction": delta(c("_mean_one_way") - c("mean_one_way")),
-            "gross_delta": delta(c("gross_mean_daily") - c("_gross_mean_daily")),
-            "net_delta": delta(c("net_mean_daily") - c("_net_mean_daily")),
-            "cost_saving": delta(c("_mean_transaction_cost") - c("mean_transaction_cost")),
+    deltas = {
+        name: F.when(
+            buffered, F.coalesce((F.col(c) - F.col("zero")[c]) * sign, F.lit(0.0))
+        ).otherwise(F.lit(0.0))
+        for name, (c, sign) in AGAINST_ZERO_BUFFER.items()
+    }
+    figures = cells.join(plain, "top_k", "left").withColumns(
+        deltas
+        | {
+            "gross_active_mean_daily": F.col("mean_active_return"),
+            "net_active_mean_daily": F.col("mean_active_return") - F.col("mean_transaction_cost"),
         }
     )
-    efficient = ~buffered | (
-        c("_mean_one_way").isNotNull()
-        & (c("turnover_reduction") > 1e-12)
-        & (c("net_delta") >= -1e-12)
-    )
     criteria = {
-        "enough_dates": c("evaluated_dates") >= min_dates,
-        "positive_net_sharpe": F.coalesce(c("net_sharpe") > 0, F.lit(False)),
-        "positive_net_active": c("net_active_mean_daily") > 0,
-        "stable_months": c("positive_net_active_month_ratio") >= min_positive_months,
-        "limited_concentration": c("top_5_absolute_active_contribution") <= max_top5,
-        "buffer_efficient": efficient,
+        "enough_dates": F.col("evaluated_dates") >= min_dates,
+        "positive_net_sharpe": F.coalesce(F.col("net_sharpe") > 0, F.lit(False)),
+        "positive_net_active": F.col("net_active_mean_daily") > 0,
+        "stable_months": F.col("positive_net_active_month_ratio") >= min_positive_months,
+        "limited_concentration": F.col("top_5_absolute_active_contribution") <= max_top5,
+        "buffer_efficient": ~buffered
+        | (
+            F.col("zero").isNotNull()
+            & (F.col("turnover_reduction") > 1e-12)
+            & (F.col("net_delta") >= -1e-12)
+        ),
     }
-    passes = F.lit(True)
-    for condition in criteria.values():
-        passes = passes & condition
-    judged = joined.withColumns({**criteria, "passes": passes})
+    judged = figures.withColumn(
+        "checks", F.struct(*[holds.alias(name) for name, holds in criteria.items()])
+    ).withColumn("passes", F.forall(F.array("checks.*"), lambda holds: holds))
     best = Window.orderBy(  # one row per grid cell
         F.desc("passes"),
         F.desc("net_active_mean_daily"),
@@ -686,12 +691,13 @@ def grid_candidates(
         "month_count",
         "net_mean_daily",
         "net_sharpe",
+        "gross_active_mean_daily",
         "net_active_mean_daily",
-        "turnover_reduction",
-        "gross_delta",
-        "net_delta",
-        "cost_saving",
-        *criteria,
+        "positive_net_active_month_ratio",
+        "top_5_absolute_active_contribution",
+        "mean_one_way",
+        *AGAINST_ZERO_BUFFER,
+        "checks.*",
         "passes",
     )
 
@@ -1057,31 +1063,53 @@ def choose_candidates(matrix: DataFrame, count: int = 3, window: str = "validati
     )
 
 
-def gate_report(matrix: DataFrame, candidate: str, baseline: str, windows: Sequence[str]) -> DataFrame:
-    """Two-window checks of a candidate against the baseline, and the decision."""
+def gate_report(
+    matrix: DataFrame,
+    candidate: str,
+    baseline: str,
+    windows: Sequence[str],
+    dynamic: DataFrame,
+    risks: DataFrame,
+) -> DataFrame:
+    """The six checks of a candidate against the baseline in every window, and the decision.
+
+    ``matrix`` has the static figures by (name, window); ``dynamic`` the candidate's
+    mean_net_active_return by window under dynamic cost; ``risks`` its mean exposure z by
+    window, one row per exposure (window, exposure, z). A window without risk rows is not
+    judged for risk; one without dynamic figures fails.
+    """
     fields = ("mean_net_active_return", "mean_one_way", "top_5_absolute_active_contribution")
     chosen = matrix.where(F.col("window").isin(*windows))
-    pick = lambda n, p: chosen.where(F.col("name") == n).select(
-        "window", *[F.col(f).alias(f"{p}_{f}") for f in fields]
+
+    def of(name: str, label: str) -> DataFrame:
+        return chosen.where(F.col("name") == name).select("window", F.struct(*fields).alias(label))
+
+    widest = risks.groupBy("window").agg(F.max(F.abs("z")).alias("widest_z"))
+    priced = dynamic.select("window", F.col("mean_net_active_return").alias("dynamic_active"))
+    both = (
+        of(candidate, "mine")
+        .join(of(baseline, "base"), "window")
+        .join(priced, "window", "left")
+        .join(widest, "window", "left")
     )
-    both = pick(candidate, "c").join(pick(baseline, "b"), "window")
-    c = F.col
-    gain = c("c_mean_net_active_return") - c("b_mean_net_active_return")
-    ratio = c("c_mean_one_way") / F.greatest(F.lit(1e-12), c("b_mean_one_way"))
+    mine, base = F.col("mine"), F.col("base")
+    ratio = mine["mean_one_way"] / F.greatest(F.lit(1e-12), base["mean_one_way"])
+    gain = mine["mean_net_active_return"] - base["mean_net_active_return"]
     checks = {
-        "positive_in_both": F.bool_and(c("c_mean_net_active_return") > 0),
-        "improves_by_1bp": F.bool_and(gain >= 0.0001),
-        "turnover_at_most_80_percent": F.bool_and(ratio <= 0.8),
-        "top_5_below_half": F.bool_and(c("c_top_5_absolute_active_contribution") < 0.5),
+        "positive_in_both": mine["mean_net_active_return"] > 0,
+        "positive_under_dynamic_cost": F.coalesce(F.col("dynamic_active") > 0, F.lit(False)),
+        "improves_by_1bp": gain >= 0.0001,
+        "turnover_at_most_80_percent": ratio <= 0.8,
+        "top_5_below_half": mine["top_5_absolute_active_contribution"] < 0.5,
+        "risk_within_one_z": F.coalesce(F.col("widest_z") <= 1.0, F.lit(True)),
     }
-    every = F.lit(True)
-    for check in checks.values():
-        every = every & check
-    return both.agg(
+    report = both.agg(
         F.count(F.lit(1)).alias("windows"),
-        *[check.alias(name) for name, check in checks.items()],
-        F.when(every, "PASS").otherwise("HOLD").alias("decision"),
+        *[F.bool_and(check).alias(name) for name, check in checks.items()],
     )
+    complete = F.col("windows") == len(set(windows))
+    passed = F.forall(F.array(*checks), lambda holds: holds)
+    return report.withColumn("decision", F.when(complete & passed, "PASS").otherwise("HOLD"))
 
 
 def separation(signals: DataFrame) -> DataFrame:

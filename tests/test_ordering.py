@@ -4,7 +4,13 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeloom.plans.ordering import exact_quantiles, neighbours, ordinal, prefix_sum
+from tapeloom.plans.ordering import (
+    exact_quantiles,
+    first_rows,
+    neighbours,
+    ordinal,
+    prefix_sum,
+)
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +103,25 @@ def test_null_groups_keep_their_rows(spark, many_partitions):
     assert {(r.g, r.v, r.pos, r.n) for r in got} == {(None, 1, 1, 2), (None, 3, 2, 2), ("a", 2, 1, 1)}
     summed = prefix_sum(frame, ["g"], [F.col("v")], "v").collect()
     assert {(r.g, r.v, r.upto) for r in summed} == {(None, 1, 1), (None, 3, 4), ("a", 2, 2)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_limits_of_any_size_cut_before_rows_meet(spark, many_partitions):
+    frame = spark.range(20_000).select(
+        (F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 20_011).alias("v")
+    ).repartition(8)
+    for limit in (10, 5000):
+        got = first_rows(frame, ["g"], [F.col("v")], limit)
+        assert got.groupBy("g").count().where(f"count <> {limit}").count() == 0
+        want = {
+            (g, v)
+            for g in range(3)
+            for v in sorted((i * 7919) % 20_011 for i in range(g, 20_000, 3))[:limit]
+        }
+        assert {(r.g, r.v) for r in got.collect()} == want
+        plan = plan_of(got)
+        # Either Spark's own limit stands before the shuffle, or each partition's share is cut.
+        assert "WindowGroupLimit" in plan if limit <= 1000 else "_share" in plan

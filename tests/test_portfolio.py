@@ -183,3 +183,51 @@ def test_missing_liquidity_costs_the_maximum(spark):
     frame = spark.createDataFrame([(0.01, None), (0.01, 0.0), (0.01, 1e8), (0.01, 1e3)], "w double, adv double")
     got = [r.x for r in frame.select(impact_rate(F.col("w"), F.col("adv")).alias("x")).collect()]
     assert got == pytest.approx([0.005, 0.005, 10 * 0.1 / 1e4, 0.005])
+
+
+def gate_inputs(spark, dynamic=0.001, z=0.5, risk_windows=("a", "b")):
+    matrix = spark.createDataFrame(
+        [(n, w, v, t, 0.3) for w in ("a", "b") for n, v, t in (("new", 0.002, 0.4), ("old", 0.001, 1.0))],
+        "name string, window string, mean_net_active_return double, mean_one_way double, "
+        "top_5_absolute_active_contribution double",
+    )
+    priced = spark.createDataFrame(
+        [("a", 0.001), ("b", dynamic)], "window string, mean_net_active_return double"
+    )
+    risks = spark.createDataFrame(
+        [(w, e, z) for w in risk_windows for e in ("size", "adv")],
+        "window string, exposure string, z double",
+    )
+    return pf.gate_report(matrix, "new", "old", ("a", "b"), priced, risks).first()
+
+
+def test_gate_holds_on_dynamic_cost_or_risk(spark):
+    good = gate_inputs(spark)
+    assert good.decision == "PASS" and good.windows == 2
+    costly = gate_inputs(spark, dynamic=-0.001)
+    assert (costly.decision, costly.positive_under_dynamic_cost) == ("HOLD", False)
+    tilted = gate_inputs(spark, z=-1.2)
+    assert (tilted.decision, tilted.risk_within_one_z) == ("HOLD", False)
+    # A window without risk figures is not judged for risk.
+    assert gate_inputs(spark, z=0.9, risk_windows=("a",)).decision == "PASS"
+
+
+def test_selection_needs_finite_scores_and_tradable_rows(spark):
+    nan = float("nan")
+    rows_ = [
+        ("a", 0, nan, True, 0.1), ("b", 0, 0.9, False, 0.1), ("c", 0, 0.8, None, 0.1),
+        ("d", 0, 0.7, True, None), ("e", 0, 0.6, True, 0.2), ("f", 1, 0.5, True, 0.2),
+    ]
+    preds = spark.createDataFrame(
+        [(s, day(d), day(9), x, c, True, r) for s, d, x, c, r in rows_],
+        "symbol string, trading_date date, label_date date, score double, can_buy boolean, "
+        "in_universe boolean, target_return double",
+    )
+    sessions = spark.createDataFrame([(day(9), 0)], "label_date date, session long")
+    chosen = pf.select_top_k(preds, sessions, 2)
+    assert rows(chosen, "symbol", "rank", "weight") == [("d", 1, 0.5), ("e", 2, 0.5)]
+    bad = pf.selection_violations(preds)
+    assert {(r.symbol, r.reason) for r in bad.collect()} == {
+        ("a", "score not finite"), ("c", "tradability unknown"), ("d", "return missing"),
+        (None, "several signal dates"),
+    }
