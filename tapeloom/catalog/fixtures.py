@@ -23,15 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Derived tables that many queries start from, written once per session and input folder.
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+# Derived tables that many queries start from, written once per session and state of the input.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def input_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of the files at ``path``, from Spark's own file system layer."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(
+        sorted(
+            (f.getPath().toString(), f.getLen(), f.getModificationTime())
+            for f in fs.listStatus(target)
+        )
+    )
 
 
 def kept(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
     """The settled table ``name``, built on first use; :func:`forget` drops it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    # All kept tables derive from the lines.
+    state = input_state(spark, f"{sf_dir}/lineitem.parquet")
+    key = (spark.sparkContext.applicationId, state, name)
     found = _KEPT.get(key)
     if found is None or found.sparkSession is not spark:
         found = _KEPT[key] = settle(build(), name)

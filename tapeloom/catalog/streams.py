@@ -288,7 +288,7 @@ def merge_streams(spark, sf_dir):
 
 def referenced(spark, sf_dir):
     rows = settle(streams(spark, sf_dir), "streams")
-    return ev.reference_mid(ev.merge_streams(rows), weekly_prev_close(rows))
+    return ev.place_events(rows, weekly_prev_close(rows))
 
 
 @query(

@@ -160,6 +160,22 @@ def reference_mid(
     )
 
 
+EVENT_KEY = (*STOCK_DAY, "stream", "seq")
+
+
+def place_events(
+    rows: DataFrame, prev_close: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS
+) -> DataFrame:
+    """Events with position, previous time and reference price.
+
+    Only keys, times and mids are sorted and carried along; the wide rows, with their levels,
+    meet the result in one join on the event's key.
+    """
+    narrow = rows.select(*EVENT_KEY, "time_ms", "mid")
+    placed = reference_mid(merge_streams(narrow), prev_close, chunk_rows)
+    return rows.join(placed.drop("time_ms", "mid"), list(EVENT_KEY))
+
+
 HEAD = (
     "dt_log", "price_bps", "volume_log", "side", "cancel", "age_log", "sell_age_log",
     "orig_volume_log", "notional_log", "spread_bps", "imbalance", "micro_bias",

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.catalog import fixtures
 from tapeloom.plans import shared
 from tapeloom.sources import files
 
@@ -40,6 +41,17 @@ def test_a_cluster_needs_a_configured_folder(spark, monkeypatch):
         shared.shared_folder(Session())
 
 
+def test_kept_tables_follow_the_input(spark, tmp_path):
+    path = str(tmp_path / "lineitem.parquet")
+    spark.range(3).write.parquet(path)
+    first = fixtures.kept(spark, str(tmp_path), "n", lambda: spark.read.parquet(path))
+    again = fixtures.kept(spark, str(tmp_path), "n", lambda: spark.range(99).toDF("id"))
+    assert first.count() == again.count() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    changed = fixtures.kept(spark, str(tmp_path), "n", lambda: spark.read.parquet(path))
+    assert changed.count() == 5
+
+
 def scan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
