@@ -5,7 +5,7 @@ of its words, a word the mean of its n-gram vectors. Since the classifier is lin
 boils down to one number per bucket, and a text is scored from the numbers of its words. An unseen
 misspelling shares most n-grams with words that were seen.
 
-The fit uses a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` of each class, texts of at most
+The fit uses a bounded sample of labelled rows (``SAMPLE_ROWS`` of each class, texts of at most
 ``SAMPLE_TEXT_BYTES``), the smallest by a hash of the id, so the sample is the same in every run.
 Every text is scored whole. A null or empty text, or one without words, scores by the bias alone.
 Without any labels all scores are 0; with one class only they are the share of that class. Repeated
@@ -15,8 +15,10 @@ rows stay, an empty table gives an empty one, other columns are left behind.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,17 +30,21 @@ from tapeloom.plans.shared import settle
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
-#: Labelled rows of each class, and bytes of a text, that the fit may use.
-SAMPLE_PER_CLASS = 2500
+#: Labelled rows of class 0 and 1, and bytes of a text, that the fit may use.
+SAMPLE_ROWS = (3000, 2000)
 SAMPLE_TEXT_BYTES = 65_536
 #: Buckets seen in fewer texts of the sample keep a zero vector.
 LEAST_TEXTS = 10
 EPOCHS = 6
-BATCH = 128
+BATCH = 64
+#: Texts whose bags are held together.
+PART = 500
 RATE = 0.1
-DECAY = 1e-4
+DECAY = 3e-5
 #: Words whose value a worker keeps before it starts its table anew.
 KEPT_WORDS = 600_000
+#: A text with so many different words counts half.
+FEW_WORDS = 20
 MARKS = ".,;:!?|\"'()[]…"
 
 
@@ -46,6 +52,11 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def certainty(distinct_words: int) -> float:
+    """How much the mean of a text counts: little for one with few different words."""
+    return distinct_words / (distinct_words + FEW_WORDS)
+
+
 def ngram_buckets(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of every n-gram of every word, and of the word itself."""
     marked = [f"<{w.strip(MARKS)}>" for w in words]
@@ -97,20 +108,57 @@ def _model(weights: np.ndarray, bias: float) -> ToxicityModel:
     return ToxicityModel(weights, bias, name)
 
 
-def _bags(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bags(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text: the mean over words of the mean over their n-grams."""
-    out = []
     for text in texts:
-        words = words_of(text)
-        if not words:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
+        counts = Counter(words_of(text))
+        if not counts:
+            yield np.zeros(0, np.int32), np.zeros(0, np.float32)
             continue
-        distinct, times = np.unique(np.array(words, dtype=object), return_counts=True)
-        owner, bucket = ngram_buckets(distinct.tolist())
-        share = (times / np.bincount(owner))[owner] / len(words)
+        owner, bucket = ngram_buckets(list(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        each = times / times.sum() * certainty(len(counts)) / np.bincount(owner)
         buckets, at = np.unique(bucket, return_inverse=True)
-        out.append((buckets, np.bincount(at, share).astype(np.float32)))
-    return out
+        yield buckets.astype(np.int32), np.bincount(at, each[owner]).astype(np.float32)
+
+
+class Bags(NamedTuple):
+    """Bags of some texts in three arrays: bucket numbers, shares, and where each bag begins."""
+
+    buckets: np.ndarray
+    shares: np.ndarray
+    border: np.ndarray
+
+
+def _known_bags(texts: Sequence[str]) -> tuple[np.ndarray, list[Bags]]:
+    """The buckets that enough texts have, and the bags over these, in parts of ``PART`` texts.
+
+    The n-grams are made twice, so that those which few texts have are never held.
+    """
+    seen = np.zeros(BUCKETS, np.int32)
+    for buckets, _ in _bags(texts):
+        seen[buckets] += 1
+    known = seen >= LEAST_TEXTS
+    number = (np.cumsum(known) - 1).astype(np.int32)
+    parts = []
+    for at in range(0, len(texts), PART):
+        held = []
+        for buckets, shares in _bags(texts[at : at + PART]):
+            kept = known[buckets]
+            held.append((number[buckets[kept]], shares[kept]))
+        border = np.concatenate([[0], np.cumsum([len(b) for b, _ in held])])
+        parts.append(Bags(*(np.concatenate(x) for x in zip(*held, strict=True)), border))
+    return known, parts
+
+
+def _batches(
+    parts: list[Bags], rng: np.random.Generator
+) -> Iterator[tuple[np.ndarray, int, Bags]]:
+    """(texts of the part, number of the part's first text, part), in a new order each time."""
+    for i in rng.permutation(len(parts)):
+        order = rng.permutation(len(parts[i].border) - 1)
+        for at in range(0, len(order), BATCH):
+            yield order[at : at + BATCH], i * PART, parts[i]
 
 
 def train(
@@ -129,31 +177,26 @@ def train(
         return _model(np.zeros(BUCKETS), float("-inf"))
     if y.min() == y.max():
         return _model(np.zeros(BUCKETS), float("inf") if y[0] else float("-inf"))
-    bags = _bags(texts)
-    seen = np.zeros(BUCKETS, np.int64)
-    for buckets, _ in bags:
-        seen[buckets] += 1
-    known = seen >= LEAST_TEXTS
-    compact = np.cumsum(known) - 1
-    bags = [(compact[b[known[b]]], s[known[b]]) for b, s in bags]
     rng = np.random.default_rng(seed)
+    mixed = rng.permutation(len(y))
+    known, parts = _known_bags([texts[i] for i in mixed])
+    y = y[mixed]
     vectors = rng.normal(0, 0.1, (int(known.sum()), DIMENSIONS))
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2))
     bias = np.log([np.mean(y == 0), np.mean(y == 1)])
     # A text's mean is small in every bucket, so it is scaled to the size of a word.
-    scale = float(np.sqrt(np.median([len(b) for b, _ in bags]) + 1))
+    scale = float(np.sqrt(np.median(np.concatenate([np.diff(p.border) for p in parts])) + 1))
     values = [vectors, softmax, bias]
     first = [np.zeros_like(v) for v in values]
     second = [np.zeros_like(v) for v in values]
     steps = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
         rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(y), BATCH):
-            chosen = order[at : at + BATCH]
-            owner = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
-            bucket = np.concatenate([bags[i][0] for i in chosen])
-            share = np.concatenate([bags[i][1] for i in chosen]) * scale
+        for chosen, start, part in _batches(parts, rng):
+            owner = np.repeat(np.arange(len(chosen)), np.diff(part.border)[chosen])
+            spots = np.concatenate([np.arange(part.border[i], part.border[i + 1]) for i in chosen])
+            bucket, share = part.buckets[spots], part.shares[spots] * scale
+            label = y[start + chosen]
             own = vectors[bucket] * share[:, None]
             mean = np.stack(
                 [np.bincount(owner, own[:, d], len(chosen)) for d in range(DIMENSIONS)], 1
@@ -161,7 +204,7 @@ def train(
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(chosen)), y[chosen]] -= 1
+            p[np.arange(len(chosen)), label] -= 1
             p /= len(chosen)
             down = (p @ softmax.T)[owner] * share[:, None]
             touched, where = np.unique(bucket, return_inverse=True)
@@ -171,11 +214,11 @@ def train(
             grown += DECAY * vectors[touched]
             steps += 1
             moves = ((touched, grown), (slice(None), mean.T @ p), (slice(None), p.sum(0)))
-            for v, m, s, (part, g) in zip(values, first, second, moves, strict=True):
-                m[part] = 0.9 * m[part] + 0.1 * g
-                s[part] = 0.999 * s[part] + 0.001 * g * g
-                v[part] -= rate * (m[part] / (1 - 0.9**steps)) / (
-                    np.sqrt(s[part] / (1 - 0.999**steps)) + 1e-8
+            for v, m, s, (rows, g) in zip(values, first, second, moves, strict=True):
+                m[rows] = 0.9 * m[rows] + 0.1 * g
+                s[rows] = 0.999 * s[rows] + 0.001 * g * g
+                v[rows] -= rate * (m[rows] / (1 - 0.9**steps)) / (
+                    np.sqrt(s[rows] / (1 - 0.999**steps)) + 1e-8
                 )
     weights = np.zeros(BUCKETS)
     weights[known] = vectors @ (softmax[:, 1] - softmax[:, 0]) * scale
@@ -210,16 +253,14 @@ def fit(
         F.count(F.lit(1)).alias("n")
     ).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    rows = []
-    for label in (0, 1):
-        drawn = known.where(F.col("label") == label).orderBy(*order).limit(SAMPLE_PER_CLASS)
-        found = texts.join(F.broadcast(drawn), "doc_id")
-        rows += found.orderBy(*order, "text").limit(SAMPLE_PER_CLASS).collect()
-    return train(
-        [r["text"] for r in rows],
-        [r["label"] for r in rows],
-        (totals.get(0, 0), totals.get(1, 0)),
-    )
+    sample: list[str] = []
+    classes: list[int] = []
+    for label, size in enumerate(SAMPLE_ROWS):
+        drawn = known.where(F.col("label") == label).orderBy(*order).limit(size)
+        found = texts.join(F.broadcast(drawn), "doc_id").orderBy(*order, "text").limit(size)
+        sample += [r["text"] for r in found.select("text").toLocalIterator()]
+        classes += [label] * (len(sample) - len(classes))
+    return train(sample, classes, (totals.get(0, 0), totals.get(1, 0)))
 
 
 class WordValues(dict):
@@ -246,7 +287,10 @@ def score_texts(texts: Sequence[str], model: ToxicityModel) -> list[float]:
     for at in range(0, len(texts), 200):
         cut = [words_of(t) for t in texts[at : at + 200]]
         values.learn(set().union(*cut), model)
-        means += [sum(map(values.__getitem__, w)) / len(w) if w else 0.0 for w in cut]
+        means += [
+            sum(map(values.__getitem__, w)) / len(w) * certainty(len(set(w))) if w else 0.0
+            for w in cut
+        ]
     with np.errstate(over="ignore"):
         return (1 / (1 + np.exp(-(np.array(means) + model.bias)))).tolist()
 
