@@ -110,7 +110,7 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: id, host, path, rule, listed, verdict.
 
-    ``listed`` holds distinct canonical URLs to block. The rule decides where one fits; else a
+    ``listed`` holds canonical URLs to block. The rule decides where one fits; else a
     listed URL is blocked and any other allowed.
     """
     url = F.col(url_col)
@@ -125,6 +125,7 @@ def judge_urls(
         )
         .withColumns({"rule": rule, "ruled": ruled})
     )
+    listed = settle(listed.select(listed_col).distinct(), "listed")
     bloom, blocks = build_filter(listed, listed_col)
     side = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
     masks = {f"m{w}": mask for w, mask in enumerate(_masks(F.col("canonical")))}
