@@ -35,7 +35,8 @@ SAMPLE_ROWS = (3000, 2000)
 SAMPLE_TEXT_BYTES = 65_536
 #: Buckets seen in fewer texts of the sample keep a zero vector.
 LEAST_TEXTS = 10
-EPOCHS = 6
+#: Steps of the fit, whatever the size of the sample.
+UPDATES = 600
 BATCH = 64
 #: Texts whose bags are held together.
 PART = 500
@@ -190,9 +191,9 @@ def train(
     first = [np.zeros_like(v) for v in values]
     second = [np.zeros_like(v) for v in values]
     steps = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    while steps < UPDATES:
         for chosen, start, part in _batches(parts, rng):
+            rate = RATE * max(0.0, 1 - steps / UPDATES)
             owner = np.repeat(np.arange(len(chosen)), np.diff(part.border)[chosen])
             spots = np.concatenate([np.arange(part.border[i], part.border[i + 1]) for i in chosen])
             bucket, share = part.buckets[spots], part.shares[spots] * scale
