@@ -30,7 +30,7 @@ from tapeloom.llm.pretokens import piece_encoder, pretokens, read_ranks
 from tapeloom.plans.shared import new_path
 
 #: Characters that a block holds at most, unless a single text is longer.
-BLOCK_CHARS = 14_000_000
+BLOCK_CHARS = 24_000_000
 #: Texts cut into pre-tokens at a time.
 STEP = 200
 
