@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm.pretokens import json_ranks, piece_encoder, pretokens
 from tapeloom.plans.shared import settle
 
-#: Words whose ids a worker keeps before it starts its table anew.
-KEPT_WORDS = 600_000
+#: Words whose ids a task keeps before it starts its table anew.
+KEPT_WORDS = 200_000
 #: Rows numbered by one task, on average.
 NUMBERED_ROWS = 200_000
 GROUPS = 2000
@@ -106,8 +106,8 @@ def cut_pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), 250):
+                part = batch.iloc[at : at + 250]
                 rows = []
                 encoded = table.texts(part["text"].tolist())
                 for doc_id, ids in zip(part["doc_id"], encoded, strict=True):
@@ -120,6 +120,7 @@ def cut_pieces(
                         start = stop
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
                 yield out.astype({"doc_id": "Int64"})
+        table.clear()  # the worker lives on and does other work
 
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -25,7 +25,7 @@ WHITE_SPACE = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 #: Characters cut in one go; a longer text is still taken whole.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 @lru_cache(maxsize=1)

@@ -42,7 +42,7 @@ MOST_WORDS = 64
 MOST_BYTES = 8192
 LEAST_WORDS = 24
 #: Bytes of text hashed in one go; a longer text is still taken whole.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 BLANKS = [9, 10, 11, 12, 13, 32]
 KEY = ["_id", "_tie"]
 
@@ -154,8 +154,8 @@ def chunk_places(keyed: DataFrame, text_col: str) -> DataFrame:
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.iloc[low : low + 500]
+            for low in range(0, len(batch), 250):
+                part = batch.iloc[low : low + 250]
                 texts = [t.encode("utf-8", "surrogatepass") for t in part["text"]]
                 digests: list[bytes] = []
                 counts = []

@@ -42,8 +42,8 @@ BATCH = 64
 PART = 500
 RATE = 0.1
 DECAY = 3e-5
-#: Words whose value a worker keeps before it starts its table anew.
-KEPT_WORDS = 600_000
+#: Words whose value a task keeps before it starts its table anew.
+KEPT_WORDS = 200_000
 #: A text with so many different words counts half.
 FEW_WORDS = 20
 MARKS = ".,;:!?|\"'()[]…"
@@ -91,7 +91,7 @@ def ngram_buckets(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """One number per bucket and a bias; ``name`` tells models apart in a worker."""
+    """One number per bucket and a bias; ``name`` is a digest of both."""
 
     weights: np.ndarray
     bias: float
@@ -276,17 +276,13 @@ class WordValues(dict):
             self.update(zip(new, model.word_values(new).tolist(), strict=True))
 
 
-_VALUES: dict[str, WordValues] = {}
-
-
-def score_texts(texts: Sequence[str], model: ToxicityModel) -> list[float]:
-    if model.name not in _VALUES:
-        _VALUES.clear()
-        _VALUES[model.name] = WordValues()
-    values = _VALUES[model.name]
+def score_texts(
+    texts: Sequence[str], model: ToxicityModel, values: WordValues | None = None
+) -> list[float]:
+    values = WordValues() if values is None else values
     means = []
-    for at in range(0, len(texts), 200):
-        cut = [words_of(t) for t in texts[at : at + 200]]
+    for at in range(0, len(texts), 100):
+        cut = [words_of(t) for t in texts[at : at + 100]]
         values.learn(set().union(*cut), model)
         means += [
             sum(map(values.__getitem__, w)) / len(w) * certainty(len(set(w))) if w else 0.0
@@ -314,8 +310,9 @@ def score(
 def scored(text: Column, model: ToxicityModel) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        values = WordValues()  # goes with the task: workers live on and do other work
         for batch in batches:
-            yield pd.Series(score_texts(batch.tolist(), model), dtype="float64")
+            yield pd.Series(score_texts(batch.tolist(), model, values), dtype="float64")
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
