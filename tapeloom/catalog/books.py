@@ -483,55 +483,76 @@ def _no_nan(name):
     return F.when(F.isnan(name), F.lit(None)).otherwise(F.col(name))
 
 
+MODALITIES = ("order", "trade", "snap")
+
+
 @query(
     "S5_minute_cache",
     with_sql("mins", "mtarget")
-    + """SELECT m.date, m.ticker, m.minute, l_orderkey AS line, price AS order__price
-    FROM mins m SEMI JOIN mtarget t ON m.date = t.date AND m.ticker = t.ticker
-    WHERE modality = 'order'""",
+    + """SELECT modality, m.date, m.ticker, m.minute, l_orderkey AS line, price,
+      CASE WHEN isnan(size) THEN NULL ELSE size END AS size
+    FROM mins m SEMI JOIN mtarget t ON m.date = t.date AND m.ticker = t.ticker""",
 )
 def minute_cache(spark, sf_dir):
+    """Two yearly files per modality, each with a column of another one; every modality is read."""
     root = scratch(spark, "cache")
-    rows = minutes(spark, sf_dir)
-    orders = rows.where("modality = 'order'").select(
-        "date",
-        "ticker",
-        "minute",
-        "seq",
-        F.col("price").alias("order__price"),
-        F.col("size").alias("order__size"),
-        F.lit(True).alias("order__valid"),
-        F.col("price").alias("trade__price"),
-    )
-    paths = []
-    for name, keep in (("a", "date < 19980701"), ("b", "date >= 19980701")):
-        paths.append(f"{root}/{name}.parquet")
-        orders.where(keep).write.parquet(paths[-1])
-    out = files.read_minute_cache(spark, paths, "order", minute_targets(rows))
-    return out.select(
-        "date", "ticker", "minute", F.col("seq.l_orderkey").alias("line"), "order__price"
-    )
+    rows = settle(minutes(spark, sf_dir), "minutes")
+    targets = settle(minute_targets(rows), "targets")
+    out = None
+    for name in MODALITIES:
+        own = rows.where(F.col("modality") == name).select(
+            "date",
+            "ticker",
+            "minute",
+            "seq",
+            F.col("price").alias(f"{name}__price"),
+            F.col("size").alias(f"{name}__size"),
+            F.lit(True).alias(f"{name}__valid"),
+            F.col("price").alias("index__price"),
+        )
+        paths = []
+        for half, keep in (("a", "date < 19980701"), ("b", "date >= 19980701")):
+            paths.append(f"{root}/{name}-{half}.parquet")
+            own.where(keep).write.parquet(paths[-1])
+        read = files.read_minute_cache(spark, paths, name, targets).select(
+            F.lit(name).alias("modality"),
+            "date",
+            "ticker",
+            "minute",
+            F.col("seq.l_orderkey").alias("line"),
+            F.col(f"{name}__price").alias("price"),
+            _no_nan(f"{name}__size").alias("size"),
+        )
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 @query(
     "S6_trade_date_minutes",
     with_sql("mins", "mtarget")
-    + """SELECT m.date, m.ticker, m.minute, price AS close FROM mins m SEMI JOIN mtarget t
-      ON m.date = t.date AND m.ticker = t.ticker WHERE modality = 'trade'""",
+    + """SELECT modality, m.date, m.ticker, m.minute, price AS close FROM mins m
+    SEMI JOIN mtarget t ON m.date = t.date AND m.ticker = t.ticker""",
 )
 def trade_date_minutes(spark, sf_dir):
+    """One folder of days per modality; every modality is read."""
     root = scratch(spark, "minutes")
     rows = settle(minutes(spark, sf_dir), "minutes")
+    targets = settle(minute_targets(rows), "targets")
     day = F.to_timestamp_ntz(F.col("date").cast("string"), F.lit("yyyyMMdd"))
-    rows.where("modality = 'trade'").select(
-        F.col("date").alias("trade_date"),
-        F.concat("ticker", F.lit(".SZ")).alias("ts_code"),
-        (day + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))).alias("trade_time"),
-        "seq",
-        F.col("price").alias("close"),
-    ).write.partitionBy("trade_date").parquet(root)
-    out = files.read_trade_date_minutes(spark, root, minute_targets(rows), ["close"])
-    return out.select("date", "ticker", "minute", "close")
+    out = None
+    for name in MODALITIES:
+        rows.where(F.col("modality") == name).select(
+            F.col("date").alias("trade_date"),
+            F.concat("ticker", F.lit(".SZ")).alias("ts_code"),
+            (day + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))).alias("trade_time"),
+            "seq",
+            F.col("price").alias("close"),
+        ).write.partitionBy("trade_date").parquet(f"{root}/{name}")
+        read = files.read_trade_date_minutes(spark, f"{root}/{name}", targets, ["close"]).select(
+            F.lit(name).alias("modality"), "date", "ticker", "minute", "close"
+        )
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 @query(

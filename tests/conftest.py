@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -24,11 +23,3 @@ def many_partitions(spark):
     spark.conf.set(key, "false")
     yield
     spark.conf.set(key, "true")
-
-
-def day(n: int) -> dt.date:
-    return dt.date(2024, 1, 1) + dt.timedelta(days=n)
-
-
-def rows(df, *columns):
-    return sorted(tuple(r[c] for c in columns) for r in df.collect())

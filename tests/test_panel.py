@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import day, rows
+from table_rows import day, rows
 from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as sc

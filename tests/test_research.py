@@ -3,7 +3,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from conftest import day, rows
+from table_rows import day, rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import day, rows
+from table_rows import day, rows
 from pyspark.sql import functions as F
 
 from tapeloom.operators import book as bk
