@@ -138,6 +138,49 @@ def prefix_sum(
     )
 
 
+def prefix_xor(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], sources: Mapping[str, str]
+) -> DataFrame:
+    """Running exclusive or of long columns in group order; ``sources`` maps output to source."""
+    rows = _sorted_slots(df, group, order)
+    runs = rows.groupBy(*group, "_part").agg(
+        *[F.bit_xor(src).alias(f"_run_{out}") for out, src in sources.items()]
+    )
+    earlier = (
+        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    zero = F.lit(0).cast("long")
+    runs = sized(
+        runs.select(
+            *group,
+            "_part",
+            *[
+                F.coalesce(F.bit_xor(f"_run_{out}").over(earlier), zero).alias(f"_before_{out}")
+                for out in sources
+            ],
+        ),
+        "runs",
+    )
+    inside = (
+        Window.partitionBy(*group, "_part")
+        .orderBy("_slot")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        _attach(
+            rows.withColumns(
+                {f"_in_{out}": F.bit_xor(src).over(inside) for out, src in sources.items()}
+            ),
+            runs,
+            [*group, "_part"],
+        )
+        .withColumns(
+            {out: F.col(f"_in_{out}").bitwiseXOR(F.col(f"_before_{out}")) for out in sources}
+        )
+        .drop("_slot", "_part", *[f"{p}_{out}" for out in sources for p in ("_in", "_before")])
+    )
+
+
 def quantiles_at(
     rows: DataFrame,
     group: Sequence[str],
