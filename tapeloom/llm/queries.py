@@ -12,6 +12,7 @@ from tapeloom.llm import (
     exact_dedup,
     minhash_forest,
     packing,
+    prefix_trie,
     quality_rules,
     sharding,
     substring_dedup,
@@ -290,3 +291,68 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_spans").alias("removed_spans"),
         F.col("_sources").alias("earlier_doc_ids"),
     )
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, half a byte at a time."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    # The lower half of a byte comes first: hexadecimal digits 2, 1, 4, 3, ...
+    digits = f"""list_transform(range(1, 2 * strlen({text}) + 1), lambda i:
+      (instr('0123456789ABCDEF', substr(hex(encode({text})), i + 2 * (i % 2) - 1, 1)) - 1)::BIGINT)"""
+    step = f"xor(a >> 4, ({table}::BIGINT[])[(xor(a, x) & 15) + 1])"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, x: {step}),
+      4294967295::BIGINT)"""
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH told AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+      FROM conversations),
+    turns AS (
+      SELECT conv_id, digest, len(regexp_extract_all(text, '{WORD}')) AS n_words,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place
+      FROM told),
+    own AS (
+      SELECT conv_id, count(*) AS n, {crc32_sql("conv_id::VARCHAR")} % 4 AS h,
+        conv_id - conv_id % 20 AS first_id FROM turns GROUP BY conv_id),
+    plan AS (
+      SELECT o.conv_id, o.h, o.first_id, least(o.h, coalesce(f.n, 0)) AS taken,
+        least(o.h, coalesce(f.n, 0)) + greatest(o.n - o.h, 0) AS size
+      FROM own o LEFT JOIN own f ON o.first_id = f.conv_id),
+    rebuilt AS (
+      SELECT p.conv_id, place AS depth, digest, n_words
+      FROM plan p JOIN turns t ON t.conv_id = first_id AND place <= taken
+      UNION ALL
+      SELECT p.conv_id, place - h + taken, digest, n_words
+      FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND place > h),
+    prefixes AS (
+      SELECT conv_id, depth, n_words,
+        string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path
+      FROM rebuilt
+      UNION ALL SELECT conv_id, 0, 0, '' FROM plan),
+    nodes AS (
+      SELECT x.depth, x.path, min(x.conv_id) AS conv_id, count(*) AS n_convs,
+        (count(*) - 1) * any_value(n_words) AS saved,
+        sha256(coalesce(string_agg(x.conv_id::VARCHAR, ',' ORDER BY x.conv_id)
+          FILTER (size = x.depth), '')) AS ends_sha256
+      FROM prefixes x JOIN plan p ON p.conv_id = x.conv_id GROUP BY x.depth, x.path),
+    linked AS (
+      SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c
+        WHERE c.depth = n.depth + 1 AND starts_with(c.path, n.path)) AS n_children
+      FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND starts_with(n.path, p.path))
+    SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, n.ends_sha256,
+      count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.saved)::BIGINT AS saved_tokens
+    FROM linked n JOIN linked x ON x.depth >= n.depth AND starts_with(x.path, n.path)
+    GROUP BY n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, n.ends_sha256
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations, one row per node."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
