@@ -15,6 +15,7 @@ from tapeloom.llm import (
     prefix_trie,
     quality_rules,
     sharding,
+    spelling_variants,
     substring_dedup,
     token_counts,
     toxicity,
@@ -356,3 +357,48 @@ def crc32_sql(text: str) -> str:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of the rebuilt conversations, one row per node."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+      FROM documents),
+    hashed AS (
+      SELECT run, {crc32_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h
+      FROM runs WHERE length(run) >= 6),
+    words AS (
+      SELECT word, count(*) AS n FROM (
+        SELECT CASE WHEN h % 199 = 0
+          THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+          ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+    shorter AS (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+    near AS (
+      SELECT s.word AS a, w.word AS b, w.n FROM shorter s JOIN words w ON w.word = s.d
+      UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON w.word = s.d
+      UNION SELECT s.word, t.word, t.n FROM shorter s JOIN shorter t
+        ON s.d = t.d AND s.i = t.i AND s.word <> t.word),
+    best AS (
+      SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS b_n
+      FROM near GROUP BY a),
+    forms AS (
+      SELECT word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN b_n >= 5 * w.n THEN b END AS form, CASE WHEN b_n >= 5 * w.n THEN b_n END AS form_n
+      FROM words w LEFT JOIN best ON a = word),
+    ways AS (
+      SELECT word, coalesce(form, word) AS at, form IS NULL AS done FROM forms
+      UNION ALL SELECT x.word, coalesce(f.form, x.at), f.form IS NULL
+      FROM ways x JOIN forms f ON f.word = x.at WHERE NOT x.done)
+    SELECT f.word, f.form, x.at AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN ways x ON x.word = f.word AND x.done
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the documents with their near words, forms and roots."""
+    words = spelling_variants.word_counts(table(spark, sf_dir, "documents"))
+    return spelling_variants.variant_groups(words)
