@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tapeloom.catalog.registry import query
 from tapeloom.llm import (
     byte_bpe,
+    disclosure,
     exact_dedup,
     minhash_forest,
     packing,
@@ -402,3 +403,19 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of the documents with their near words, forms and roots."""
     words = spelling_variants.word_counts(table(spark, sf_dir, "documents"))
     return spelling_variants.variant_groups(words)
+
+
+@query("op11_disclosure")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document and the terms that reveal it."""
+    found = disclosure.find_disclosures(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+        "n_terms",
+    )
