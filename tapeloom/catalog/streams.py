@@ -287,7 +287,7 @@ def merge_streams(spark, sf_dir):
 
 
 def referenced(spark, sf_dir):
-    rows = settle(streams(spark, sf_dir), "streams")
+    rows = streams(spark, sf_dir)
     return ev.place_events(rows, weekly_prev_close(rows))
 
 

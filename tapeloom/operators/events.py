@@ -1,8 +1,9 @@
 """Order, trade and snapshot streams: links, deltas, merged order, features, windows.
 
-A stock-day can hold any share of the rows, so ordered work goes through exact positions
-(range sort) and position chunks instead of one window per stock-day; closing windows are
-ranked limits that Spark prunes before the shuffle.
+A stock-day can hold any share of the rows, so ordered work is a scan that cuts large ones into
+parts and mends their edges (``plans/scans.py``): places, changes, the time before and the reference
+price come from one shuffle of the rows. Closing windows are ranked limits that Spark prunes before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -25,13 +26,8 @@ from tapeloom.functions.scalars import (
     top_of_book,
 )
 from tapeloom.functions.stats import is_positive
-from tapeloom.plans.ordering import (
-    DEFAULT_CHUNK_ROWS,
-    first_rows,
-    neighbours,
-    ordinal,
-    prefix_sum,
-)
+from tapeloom.plans.ordering import first_rows, neighbours, ordinal, prefix_sum
+from tapeloom.plans.scans import ordered_scan
 from tapeloom.plans.shared import sized
 
 # Merge order of simultaneous events and stream identifiers.
@@ -93,12 +89,13 @@ def counter_deltas(
     counters: Sequence[str],
     order: Sequence[str] = ("time_ms", "seq"),
     group: Sequence[str] = STOCK_DAY,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Cumulative counters to per-row changes; the first row keeps its value."""
-    placed = ordinal(snaps, group, [F.col(c) for c in order], pos="_pos")
     lags = {f"_before_{c}": c for c in counters}
-    stepped = neighbours(placed, group, "_pos", lag=lags, chunk_rows=chunk_rows)
+    stepped = ordered_scan(
+        snaps, group, [F.col(c) for c in order], pos="_pos", lag=lags, part_rows=part_rows
+    )
     deltas = {f"d_{c}": F.col(c) - F.coalesce(f"_before_{c}", F.lit(0)) for c in counters}
     return stepped.withColumns(deltas).drop("_pos", *lags)
 
@@ -117,10 +114,16 @@ def stream_rank(stream: Column) -> Column:
     return F.create_map(*pairs)[stream]
 
 
-def merge_streams(rows: DataFrame) -> DataFrame:
+def event_order() -> list[Column]:
+    """Time, then order, trade, snapshot, then seq."""
+    return [F.col("time_ms"), stream_rank(F.col("stream")), F.col("seq")]
+
+
+def merge_streams(rows: DataFrame, part_rows: int | None = None) -> DataFrame:
     """Position of every event in its stock-day; ties go order, trade, snapshot, then seq."""
-    order = [F.col("time_ms"), stream_rank(F.col("stream")), F.col("seq")]
-    return ordinal(rows, STOCK_DAY, order, pos="pos", size="events")
+    return ordered_scan(
+        rows, STOCK_DAY, event_order(), pos="pos", size="events", part_rows=part_rows
+    )
 
 
 def snapshot_mid(bid: Column, ask: Column) -> Column:
@@ -130,52 +133,42 @@ def snapshot_mid(bid: Column, ask: Column) -> Column:
     return F.when(mid > 0, mid)
 
 
-def reference_mid(
-    merged: DataFrame, prev_close: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS
+def opening_reference(rows: DataFrame, prev_close: DataFrame) -> DataFrame:
+    """(day, ticker, _opening): what holds before the first snapshot, one row per stock-day."""
+    largest = rows.groupBy(*STOCK_DAY).agg(F.max("mid").alias("_largest"))
+    known = prev_close.where(is_positive("prev_close")).select(*STOCK_DAY, "prev_close")
+    return largest.join(known, list(STOCK_DAY), "left").select(
+        *STOCK_DAY, F.coalesce("prev_close", "_largest", F.lit(1.0)).alias("_opening")
+    )
+
+
+def place_events(
+    rows: DataFrame, prev_close: DataFrame, part_rows: int | None = None
 ) -> DataFrame:
-    """Reference price of each event, and the time of the event before it.
+    """Events with position, time of the event before, and reference price ``ref``.
 
-    The last valid snapshot mid, the event's own included; before the first one the
-    previous close; without that the largest mid of the stock-day; else 1.
-    ``merged`` carries ``mid`` (null unless a valid snapshot), ``prev_close`` is in cents.
+    The reference is the last valid snapshot mid, the event's own included; before the first one the
+    previous close; without that the largest mid of the stock-day; else 1. ``rows`` carries ``mid``
+    (null unless a valid snapshot), ``prev_close`` is in cents. The rows, with their levels, are
+    shuffled once; what the scan needs besides has one row per stock-day.
     """
-    held = neighbours(
-        merged,
+    placed = ordered_scan(
+        rows,
         STOCK_DAY,
-        "pos",
+        event_order(),
+        pos="pos",
         lag={"prev_time_ms": "time_ms"},
         carry={"_held": "mid"},
-        chunk_rows=chunk_rows,
-    )
-    # One row per stock-day, with the fall-back that holds before the first snapshot.
-    largest = merged.groupBy(*STOCK_DAY).agg(F.max("mid").alias("_largest"))
-    known = prev_close.where(is_positive("prev_close")).select(*STOCK_DAY, "prev_close")
-    opening = largest.join(known, list(STOCK_DAY), "left").select(
-        *STOCK_DAY, F.coalesce("prev_close", "_largest", F.lit(1.0)).alias("_opening")
+        part_rows=part_rows,
     )
+    opening = sized(opening_reference(rows, prev_close), "opening")
     return (
-        held.join(sized(opening, "opening"), list(STOCK_DAY))
+        placed.join(opening, list(STOCK_DAY))
         .withColumn("ref", F.coalesce("_held", "_opening"))
         .drop("_held", "_opening")
     )
 
 
-EVENT_KEY = (*STOCK_DAY, "stream", "seq")
-
-
-def place_events(
-    rows: DataFrame, prev_close: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS
-) -> DataFrame:
-    """Events with position, previous time and reference price.
-
-    Only keys, times and mids are sorted and carried along; the wide rows, with their levels,
-    meet the result in one join on the event's key.
-    """
-    narrow = rows.select(*EVENT_KEY, "time_ms", "mid")
-    placed = reference_mid(merge_streams(narrow), prev_close, chunk_rows)
-    return rows.join(placed.drop("time_ms", "mid"), list(EVENT_KEY))
-
-
 HEAD = (
     "dt_log", "price_bps", "volume_log", "side", "cancel", "age_log", "sell_age_log",
     "orig_volume_log", "notional_log", "spread_bps", "imbalance", "micro_bias",
@@ -303,21 +296,21 @@ def stream_id(stream: Column) -> Column:
     return F.create_map(*pairs)[stream]
 
 
-def next_event_targets(features: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def next_event_targets(features: DataFrame) -> DataFrame:
     """What the following event is: stream, order type, price, waiting time, volume.
 
-    The last event of a stock-day is only a target and drops out.
+    Every event but the first is the target of the place before its own, so no row has to look at
+    another one. The last event of a stock-day is only a target.
     """
-    known = features.withColumn("stream_id", stream_id(F.col("stream")))
-    leads = {
-        "next_stream": "stream_id",
-        "next_order_type": "order_type_id",
-        "next_price_bps": "price_bps",
-        "next_dt_log": "dt_log",
-        "next_volume_log": "volume_log",
-    }
-    ahead = neighbours(known, STOCK_DAY, "pos", lead=leads, chunk_rows=chunk_rows)
-    return ahead.where(F.col("next_stream").isNotNull()).select(*STOCK_DAY, "pos", *leads)
+    return features.where(F.col("pos") > 1).select(
+        *STOCK_DAY,
+        (F.col("pos") - 1).alias("pos"),
+        stream_id(F.col("stream")).alias("next_stream"),
+        F.col("order_type_id").alias("next_order_type"),
+        F.col("price_bps").alias("next_price_bps"),
+        F.col("dt_log").alias("next_dt_log"),
+        F.col("volume_log").alias("next_volume_log"),
+    )
 
 
 def closing_window(rows: DataFrame, events: int) -> DataFrame:

@@ -59,8 +59,8 @@ def test_merge_order_and_reference(spark):
     close = spark.createDataFrame(
         [("d", "a", 40.0), ("d", "b", 0.0)], "day string, ticker string, prev_close double"
     )
-    for chunk in (2, 100):
-        ref = {r.seq: r.ref for r in ev.reference_mid(merged, close, chunk).collect()}
+    for part in (2, 100):
+        ref = {r.seq: r.ref for r in ev.place_events(frame, close, part).collect()}
         # a: previous close, then the snapshot's own mid, kept through an invalid one;
         # b: largest mid before its first snapshot; c: nothing known.
         assert ref == {4: 40, 3: 40, 2: 40, 1: 50, 5: 50, 6: 50, 7: 70, 8: 70, 9: 60, 10: 1}
@@ -72,7 +72,7 @@ def test_counter_deltas_and_closing_window(spark):
         "day string, ticker string, stream string, time_ms int, seq int, volume int",
     )
     for chunk in (1, 3, 50):
-        got = rows(ev.counter_deltas(frame, ["volume"], chunk_rows=chunk), "seq", "d_volume")
+        got = rows(ev.counter_deltas(frame, ["volume"], part_rows=chunk), "seq", "d_volume")
         assert got == [(1, 100), (2, 50), (3, 5), (4, 5)]
     window = rows(ev.closing_window(frame, 2), "seq", "is_target_only")
     assert window == [(2, False), (3, False), (4, True)]
