@@ -764,13 +764,16 @@ def period_summary(spark, sf_dir):
       count(*) FILTER (WHERE status <> 'written') AS imputed_rows FROM msamp GROUP BY period""",
 )
 def write_periods(spark, sf_dir):
-    """The first run writes some years with another value, the second one all that differs."""
+    """Years with another value, then a year that vanishes again, then another column, then all."""
     year = F.floor(F.col("date") / 10000).cast("int")
     rows = settle(completed(spark, sf_dir).withColumn("period", year), "periods")
     path = scratch(spark, "features")
     early = F.col("period") < 1997
     changed = F.when(early, F.col("feature_available")).otherwise(~F.col("feature_available"))
     sink.write_periods(rows.withColumn("feature_available", changed), path)
+    past = rows.where("period = 1995").withColumn("period", F.lit(1900))
+    sink.write_periods(rows.unionByName(past), path)
+    sink.write_periods(rows.where(early).withColumn("feature_width", F.lit(2)), path)
     return sink.write_periods(rows, path)
 
 

@@ -583,11 +583,47 @@ def percentile_rank_ema(spark, sf_dir):
     return round_columns(out, ("trading_date", "symbol"))
 
 
+define_view(
+    "pema",
+    ("signals",),
+    """WITH RECURSIVE x AS (SELECT "partition" AS p, symbol, trading_date, day,
+        (row_number() OVER (PARTITION BY p, trading_date ORDER BY score, symbol) - 1)
+          / greatest(1, count(*) OVER (PARTITION BY p, trading_date) - 1) AS c FROM (
+        SELECT *, dense_rank() OVER (PARTITION BY "partition" ORDER BY trading_date) AS day
+        FROM signals)),
+      e AS (SELECT p, symbol, trading_date, day, c AS v FROM x a WHERE NOT EXISTS (
+          SELECT 1 FROM x b WHERE b.p = a.p AND b.symbol = a.symbol AND b.day = a.day - 1)
+        UNION ALL SELECT x.p, x.symbol, x.trading_date, x.day, 0.5 * x.c + (1.0 - 0.5) * e.v
+          FROM e JOIN x ON x.p = e.p AND x.symbol = e.symbol AND x.day = e.day + 1)
+    SELECT p, trading_date, symbol, round(v, 9) AS score FROM e""",
+)
+# The fit at a point is the largest of the least means of ranges that begin up to it and end from it
+# on; sums of values come from running totals.
+define_view(
+    "points",
+    ("pema", "hraw"),
+    """SELECT row_number() OVER w AS i, x, n, t, sum(n) OVER w AS upto_n, sum(t) OVER w AS upto_t
+    FROM (SELECT e.score AS x, count(*) AS n, sum(r.target_return) AS t FROM pema e JOIN hraw r
+        ON r.symbol = e.symbol AND r.trading_date = e.trading_date AND r.horizon = 2
+      WHERE e.p = 'validation' GROUP BY e.score) WINDOW w AS (ORDER BY x)""",
+)
+define_view(
+    "calib",
+    ("points",),
+    """SELECT x, max(least) AS y FROM (
+      SELECT b.x, min((b.upto_t - a.upto_t + a.t) / (b.upto_n - a.upto_n + a.n)) OVER (
+        PARTITION BY a.i ORDER BY b.i DESC) AS least
+      FROM points a JOIN points b ON b.i >= a.i) GROUP BY x""",
+)
+
+
 def calibrated(spark, sf_dir, horizon=2):
     """Ranks of both partitions, the map fitted on validation rows with a target."""
     indexed, sessions, market = fx.panel(spark, sf_dir)
     signals = fx.signals_of(indexed, sessions)
-    ranks = settle(rk.percentile_ranks(signals, 0.5, "partition"), "ranks")
+    # Ranks are rounded, so that equal ones are one point whatever way their means were summed.
+    smoothed = rk.percentile_ranks(signals, 0.5, "partition")
+    ranks = settle(smoothed.withColumn("score", F.round("score", 9)), "ranks")
     targets = lab.horizon_returns(indexed, sessions, market, (horizon,))
     fit = ranks.where("partition = 'validation'").join(
         targets.select("trading_date", "symbol", "target_return"), ["trading_date", "symbol"]
@@ -595,10 +631,21 @@ def calibrated(spark, sf_dir, horizon=2):
     return rk.calibrated_scores(fit, ranks)
 
 
-@query("R15_isotonic_calibration")
+@query(
+    "R15_isotonic_calibration",
+    with_sql("pema", "calib")
+    + """SELECT e.p AS "partition", e.trading_date, e.symbol, e.score,
+      round(CASE WHEN a.x IS NULL THEN b.y WHEN b.x IS NULL OR b.x = a.x THEN a.y
+        ELSE a.y + (b.y - a.y) * (e.score - a.x) / (b.x - a.x) END, 7) + 0.0 AS expected_return
+    FROM pema e ASOF LEFT JOIN calib a ON e.score >= a.x ASOF LEFT JOIN calib b ON e.score <= b.x""",
+)
 def isotonic(spark, sf_dir):
     return calibrated(spark, sf_dir).select(
-        "partition", "trading_date", "symbol", "score", "expected_return"
+        "partition",
+        "trading_date",
+        "symbol",
+        "score",
+        rounded("expected_return", 7).alias("expected_return"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import is_finite, is_positive
+from tapeloom.plans.shared import settle
 
 # Fixed values.
 STOCK_CODE_PATTERN = r"^(?:000|001|002|003|300|301|600|601|603|605|688|689)\d{3}$"
@@ -306,19 +307,18 @@ def pad_to_window(rows: Column, window: int, filler: Column) -> Column:
     return F.concat(rows, F.array_repeat(filler, missing))
 
 
-def flatten_numeric(
-    df: DataFrame, keys: Sequence[str], json_column: str, depth: int = 4
-) -> DataFrame:
+def flatten_numeric(df: DataFrame, keys: Sequence[str], json_column: str) -> DataFrame:
     """Dotted paths and finite numeric leaves of a JSON text column.
 
-    Levels are opened one by one up to ``depth`` and deeper values raise; objects
-    contribute their keys and arrays their positions. Booleans and text are not numbers.
+    Levels are opened one by one until nothing is nested any more, each from the written containers
+    of the one before; objects contribute their keys and arrays their positions. Booleans and text
+    are not numbers.
     """
     level = df.select(
         *keys, F.lit(None).cast("string").alias("path"), F.try_parse_json(json_column).alias("v")
     )
     leaves = None
-    for _ in range(depth):
+    while True:
         children = df.sparkSession.tvf.variant_explode(F.col("v").outer())
         opened = level.lateralJoin(children).select(
             *keys,
@@ -331,12 +331,8 @@ def flatten_numeric(
             *keys, "path", F.try_variant_get("v", "$", "double").alias("number")
         )
         leaves = found if leaves is None else leaves.unionByName(found)
-        level = opened.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    deeper = level.select(
-        *keys,
-        F.raise_error(F.concat(F.lit("nested deeper than the depth given: "), "path"))
-        .cast("string")
-        .alias("path"),
-        F.lit(None).cast("double").alias("number"),
-    )
-    return leaves.where(is_finite("number")).unionByName(deeper)
+        level = settle(
+            opened.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")), "containers"
+        )
+        if level.isEmpty():
+            return leaves.where(is_finite("number"))

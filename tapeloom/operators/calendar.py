@@ -323,10 +323,20 @@ def ranges_frame(spark: SparkSession, ranges: Sequence[tuple[str, str, str]]) ->
 
 
 def days_outside_one_range(days: DataFrame, ranges: DataFrame, locked_from: str) -> DataFrame:
-    """Days that match no range, several ranges, or reach the locked period."""
-    hits = days.join(
-        F.broadcast(ranges),  # a handful of parameter rows
-        F.col("trading_date").between(F.col("start"), F.col("end")),
+    """Days that match no range, several ranges, or reach the locked period.
+
+    Ranges are dealt to the months that they touch, so that days meet only those of their month, in
+    a join on the month with an exact test behind it, however many ranges there are.
+    """
+    month = F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("INTERVAL 1 MONTH"))
+    binned = ranges.where("start <= end").select(
+        "split", "start", "end", F.explode(month).alias("_month")
+    )
+    own = days.withColumn("_day_month", F.trunc("trading_date", "month"))
+    hits = own.join(
+        binned,
+        (F.col("_day_month") == F.col("_month"))
+        & F.col("trading_date").between(F.col("start"), F.col("end")),
         "left",
     )
     counted = hits.groupBy("trading_date").agg(F.count("split").alias("ranges"))

@@ -16,7 +16,8 @@ from tapeloom.operators.calendar import (
     execution_states,
     symbol_grid,
 )
-from tapeloom.plans.ordering import exact_quantiles, ordinal, quantiles_at
+from tapeloom.plans.ordering import exact_quantiles, quantiles_at
+from tapeloom.plans.scans import ordered_scan
 from tapeloom.plans.shared import settle, sized
 
 # Fixed values.
@@ -94,9 +95,9 @@ def quantile_labels(
     Cross-sections below the minimum size are dropped. ``tie`` only spreads equal values
     over the sort, it does not change a label.
     """
-    placed = ordinal(rows, group, [F.col(value), F.col(tie)], pos="_pos", size="_n").where(
-        F.col("_n") >= min_cross_section
-    )
+    order = [F.col(value), F.col(tie)]
+    scanned = ordered_scan(rows, group, order, pos="_pos", size="_n")
+    placed = settle(scanned.where(F.col("_n") >= min_cross_section), "placed")
     cuts = quantiles_at(
         placed, group, value, {"_lower": lower, "_upper": upper}, pos="_pos"
     )
@@ -451,7 +452,7 @@ def graded_relevance(
     tie: str = "symbol",
 ) -> DataFrame:
     """Relevance 0..levels-1 from the ascending ordinal rank of the day's returns."""
-    placed = ordinal(rows, [day], [F.col(value), F.col(tie)], pos="_pos", size="_n")
+    placed = ordered_scan(rows, [day], [F.col(value), F.col(tie)], pos="_pos", size="_n")
     grade = relevance_grade(F.col("_pos"), F.col("_n"), levels)
     return placed.withColumn("relevance", grade).drop("_pos", "_n")
 

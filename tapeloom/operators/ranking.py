@@ -1,12 +1,13 @@
 """Cross-sectional ranking and classification metrics.
 
-Ranks come from range sorts (exact for cross-sections of any size); what follows is
-grouped aggregation. Per-day results have one row per session, so windows over them are
-small. Ordinal ranks break ties by symbol.
+Ranks come from ordered scans (exact for cross-sections of any size, one shuffle for places and tie
+bounds); what follows is grouped aggregation. Per-day results have one row per session, so windows
+over them are small. Ordinal ranks break ties by symbol.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import UP, month_key
 from tapeloom.functions.stats import is_finite, safe_corr, safe_ratio, share
+from tapeloom.operators.isotonic import apply_blocks, isotonic_blocks
 from tapeloom.operators.labels import relevance_grade
-from tapeloom.plans.ordering import exact_quantiles, first_rows, ordinal, quantiles_at
-from tapeloom.plans.shared import sized
+from tapeloom.plans.ordering import exact_quantiles, first_rows, quantiles_at
+from tapeloom.plans.scans import ordered_scan
+from tapeloom.plans.shared import settle, sized
 
 # Audit thresholds.
 WEAK_IC = 0.02
@@ -29,27 +32,15 @@ WINSORIZED_SHARE = 0.5
 def ranked(
     rows: DataFrame, group: Sequence[str], value: str, prefix: str, tie: str = "symbol"
 ) -> DataFrame:
-    """Add ``<prefix>_pos``, the tie bounds ``_first``/``_last`` and the group size ``n``.
-
-    Tied values are summarized once; only they have a row in the table joined back.
-    """
-    pos = f"{prefix}_pos"
-    placed = ordinal(rows.drop("n"), group, [F.col(value), F.col(tie)], pos=pos, size="n")
-    ties = (
-        placed.groupBy(*group, value)
-        .agg(
-            F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.count(F.lit(1)).alias("_rows")
-        )
-        .where("_rows > 1")
-        .drop("_rows")
+    """Add ``<prefix>_pos``, the tie bounds ``_first``/``_last`` and the group size ``n``."""
+    return ordered_scan(
+        rows.drop("n"),
+        group,
+        [F.col(value), F.col(tie)],
+        pos=f"{prefix}_pos",
+        size="n",
+        ties=(value, f"{prefix}_first", f"{prefix}_last"),
     )
-    joined = placed.join(sized(ties, "ties"), [*group, value], "left")
-    return joined.withColumns(
-        {
-            f"{prefix}_first": F.coalesce("_first", pos),
-            f"{prefix}_last": F.coalesce("_last", pos),
-        }
-    ).drop("_first", "_last")
 
 
 def descending(prefix: str) -> Column:
@@ -71,10 +62,10 @@ def score_and_return_ranks(
 ) -> DataFrame:
     """Both ranks of the key, score and return columns, plus the columns in ``keep``.
 
-    Sorted rows are written, which ends column pruning, so only these columns go in.
+    They are written once, since metrics read them more than once; only these columns go in.
     """
     narrow = rows.select(*group, "symbol", score, value, *keep)
-    return ranked(ranked(narrow, group, score, "s"), group, value, "r")
+    return settle(ranked(ranked(narrow, group, score, "s"), group, value, "r"), "ranks")
 
 
 def rank_ic(
@@ -120,7 +111,7 @@ def tail_spread(
 ) -> DataFrame:
     """Mean return of the highest minus the lowest scored tail per cross-section."""
     narrow = rows.select(*group, "symbol", "score", value)
-    placed = ordinal(narrow, group, [F.col("score"), F.col("symbol")], pos="s_pos", size="n")
+    placed = ordered_scan(narrow, group, [F.col("score"), F.col("symbol")], pos="s_pos", size="n")
     return tail_spread_of(placed, group, quantile, min_symbols, value)
 
 
@@ -422,7 +413,8 @@ def ndcg(
     rows: DataFrame, gain: Column, k: int, group: Sequence[str] = ("trading_date",)
 ) -> DataFrame:
     narrow = rows.select(*group, "symbol", "score", gain.alias("_gain"))
-    return ndcg_of(ranked(narrow, group, "score", "s"), group, F.col("_gain"), k)
+    both = settle(ranked(narrow, group, "score", "s"), "ranks")
+    return ndcg_of(both, group, F.col("_gain"), k)
 
 
 def top_k(
@@ -487,19 +479,83 @@ def ranking_summary(daily: DataFrame, min_symbols: int) -> DataFrame:
 # ---- smoothing and calibration ---------------------------------------------
 
 
+#: A block of an exponential mean ends where its decay reaches this power of two.
+BLOCK_BITS = 500
+
+
+def block_rows(alpha: float) -> int:
+    """Rows after which what came before has decayed to nothing; the whole run for tiny alphas."""
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("alpha must be above 0 and at most 1")
+    if alpha == 1.0:
+        return 1
+    return max(1, min(1 << 30, int(BLOCK_BITS * math.log(2.0) / -math.log1p(-alpha))))
+
+
+def exponential_mean(
+    rows: DataFrame,
+    series: Sequence[str],
+    at: str,
+    value: str,
+    alphas: Sequence[float],
+    out: str = "score",
+) -> DataFrame:
+    """Exponential mean of ``value`` along adjacent integers ``at``; one row per row and alpha.
+
+    The mean starts anew after a gap. A step is the map ``last -> (1 - alpha) last + alpha value``;
+    inside a block of steps the maps compose to a weighted running sum, and a block takes the end of
+    the one before, whose own past has decayed below the precision of a double. So a run of any
+    length is read once, in order, without arrays.
+    """
+    along = Window.partitionBy(*series).orderBy(at)
+    numbered = rows.withColumn("_run", F.col(at) - F.row_number().over(along))
+    table = F.create_map(*[F.lit(x) for a in alphas for x in (float(a), block_rows(float(a)))])
+    run = [*series, "alpha", "_run"]
+    in_run = Window.partitionBy(*run).orderBy(at)
+    placed = (
+        numbered.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+        .withColumn("_i", F.row_number().over(in_run) - 1)
+        .withColumn("_rows", table[F.col("alpha")])
+        .withColumn("_block", F.floor(F.col("_i") / F.col("_rows")))
+        .withColumn("_k", F.col("_i") % F.col("_rows"))
+    )
+    # A block ends before the decay of its first row leaves the range of a double.
+    decay = 1.0 - F.col("alpha")
+    weight = F.when(F.col("_i") == 0, 1.0).otherwise(F.col("alpha"))
+    in_block = (
+        Window.partitionBy(*run, "_block").orderBy(at)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    scaled = F.when(F.col("_k") == 0, weight * F.col(value)).otherwise(
+        weight * F.col(value) * F.pow(decay, -F.col("_k").cast("double"))
+    )
+    own = placed.withColumn("_scaled", scaled).withColumn(
+        "_own",
+        F.sum("_scaled").over(in_block)
+        * F.when(F.col("_k") == 0, 1.0).otherwise(F.pow(decay, F.col("_k").cast("double"))),
+    )
+    # The last block end before a row is that of the block before its own.
+    end = F.when(F.col("_k") == F.col("_rows") - 1, F.col("_own"))
+    before = in_run.rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last(end, ignorenulls=True).over(before), F.lit(0.0))
+    mean = F.col("_own") + held * F.pow(decay, (F.col("_k") + 1).cast("double"))
+    return own.withColumn(out, F.when(F.col("alpha") == 1.0, F.col(value)).otherwise(mean)).drop(
+        "_run", "_i", "_rows", "_block", "_k", "_scaled", "_own"
+    )
+
+
 def smoothed_ranks(
     signals: DataFrame, alphas: Sequence[float], segment: str | None = None
 ) -> DataFrame:
     """Daily percentile rank, then an exponential mean per symbol over adjacent sessions.
 
     The mean restarts after a missed session, and at the border of a ``segment``. Every
-    alpha shares one ranking. A symbol has one row per session, so the ordered fold works
-    on arrays bounded by the calendar.
+    alpha shares one ranking.
     """
     part = [] if segment is None else [segment]
     day = [*part, "trading_date"]
     narrow = signals.select(*day, "symbol", "score")
-    placed = ordinal(narrow, day, [F.col("score"), F.col("symbol")], pos="_pos", size="_n")
+    placed = ordered_scan(narrow, day, [F.col("score"), F.col("symbol")], pos="_pos", size="_n")
     along_days = Window.partitionBy(*part).orderBy("trading_date")  # one row per session
     sessions = sized(
         signals.select(*day).distinct().withColumn("day_index", F.row_number().over(along_days)),
@@ -511,44 +567,8 @@ def smoothed_ranks(
         "day_index",
         ((F.col("_pos") - 1) / F.greatest(F.lit(1), F.col("_n") - 1)).alias("current"),
     )
-    along = Window.partitionBy(*part, "symbol").orderBy("day_index")
-    runs = (
-        current.withColumn("_run", F.col("day_index") - F.row_number().over(along))
-        .groupBy(*part, "symbol", "_run")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("day_index", "trading_date", "current"))
-            ).alias("_days")
-        )
-        .withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    )
-    start = F.struct(
-        F.lit(None).cast("double").alias("last"),
-        F.array().cast("array<double>").alias("out"),
-    )
-
-    def step(state: Column, day: Column) -> Column:
-        value = F.coalesce(
-            F.col("alpha") * day["current"] + (1.0 - F.col("alpha")) * state["last"],
-            day["current"],
-        )
-        return F.struct(
-            value.alias("last"), F.concat(state["out"], F.array(value)).alias("out")
-        )
-
-    smoothed = F.aggregate("_days", start, step, lambda state: state["out"])
-    return runs.select(
-        *part,
-        "symbol",
-        "alpha",
-        F.inline(F.arrays_zip(F.col("_days").alias("d"), smoothed.alias("s"))),
-    ).select(
-        *part,
-        F.col("d.trading_date").alias("trading_date"),
-        "symbol",
-        "alpha",
-        F.col("s").alias("score"),
-    )
+    smoothed = exponential_mean(current, [*part, "symbol"], "day_index", "current", alphas)
+    return smoothed.select(*day, "symbol", "alpha", "score")
 
 
 def percentile_ranks(
@@ -570,19 +590,12 @@ def calibrated_scores(
     values. Equal ranks are averaged first, which leaves the fit unchanged. Fewer than
     ``min_rows`` rows with a finite score and return are refused.
     """
-    from pyspark.ml.regression import IsotonicRegression
-
     fit = fit.where(is_finite("score") & is_finite("target_return"))
     rows = fit.count()
     if rows < min_rows:
         raise ValueError(f"calibration needs {min_rows} rows, got {rows}")
-    merged = fit.groupBy("score").agg(
-        F.avg("target_return").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    model = IsotonicRegression(
-        featuresCol="score", labelCol="label", weightCol="weight", predictionCol="expected_return"
-    ).fit(merged)
-    return model.transform(score)
+    blocks = isotonic_blocks(fit, "score", "target_return")
+    return apply_blocks(blocks, score, "score", "expected_return")
 
 
 def calibration_summary(calibrated: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -628,7 +641,7 @@ def audit_daily(
 def audit_deciles(rows: DataFrame, min_symbols: int = 50) -> DataFrame:
     """Mean over dates of the mean return of each score decile (integer bounds)."""
     narrow = rows.select("label_date", "symbol", "score", "target_return")
-    placed = ordinal(narrow, ["label_date"], [F.col("score"), F.col("symbol")], size="n")
+    placed = ordered_scan(narrow, ["label_date"], [F.col("score"), F.col("symbol")], size="n")
     decile = (F.ceil(F.col("pos") * 10 / F.col("n")) - 1).cast("int")
     return (
         placed.where(F.col("n") >= min_symbols)

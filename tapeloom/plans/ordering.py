@@ -204,32 +204,76 @@ def quantiles_at(
     return rows.where(wanted).groupBy(*group).agg(*aggregates)
 
 
+#: Spark's percentile sketch errs by at most one rank in so many.
+SKETCH_RANKS = 10_000
+
+
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, cuts: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linear quantiles per group without gathering a group in one place.
+    """Exact linear quantiles per group, without sorting the rows. Null values do not count.
 
-    Equal values are counted first, so a value that fills a third of the rows becomes one
-    row before anything is sorted.
+    A sketch with a proven rank error brackets each quantile between two values. A second scan counts
+    what lies below the bracket and, by value, what lies inside; only these few values are ordered.
     """
-    counted = df.groupBy(*group, F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_rows")
+    rows = df.select(*group, F.col(value).alias("_value")).where("_value IS NOT NULL")
+    margin = 3.0 / SKETCH_RANKS
+    named = list(cuts.items())
+    ends = [
+        end for _, q in named for end in (max(0.0, q - margin), min(1.0, q + margin))
+    ]
+    sketch = F.percentile_approx(
+        "_value", F.array(*[F.lit(float(e)) for e in ends]), F.lit(SKETCH_RANKS)
+    )
+    sketched = sized(
+        rows.groupBy(*group)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_value").alias("_least"),
+            F.max("_value").alias("_most"),
+            sketch.alias("_ends"),
+        ),
+        "brackets",
+    )
+    # Ranks within the margin of an end are bracketed by the end itself; in a group of fewer rows
+    # than the sketch has ranks, a margin is under a row, and the bracket is the group.
+    few = F.col("_n") <= SKETCH_RANKS
+    spots = []
+    for i, (name, q) in enumerate(named):
+        low = F.when(few | F.lit(q <= margin), F.col("_least")).otherwise(F.col("_ends")[2 * i])
+        high = F.when(few | F.lit(q >= 1.0 - margin), F.col("_most")).otherwise(
+            F.col("_ends")[2 * i + 1]
+        )
+        spots.append(F.struct(F.lit(name).alias("cut"), low.alias("low"), high.alias("high")))
+    spread = _attach(rows, sketched.select(*group, F.array(*spots).alias("_spots")), group)
+    near = F.transform(
+        F.filter("_spots", lambda s: F.col("_value") <= s["high"]),
+        lambda s: F.struct(
+            s["cut"].alias("cut"), F.when(F.col("_value") >= s["low"], F.col("_value")).alias("v")
+        ),
+    )
+    counted = settle(
+        spread.select(*group, F.explode(near).alias("x"))
+        .groupBy(*group, "x.cut", "x.v")
+        .agg(F.count(F.lit(1)).alias("_rows")),
+        "near",
+    )
+    # A bracket holds few different values; what lies below it is one row without a value.
+    along = Window.partitionBy(*group, "cut").orderBy(F.col("v").asc_nulls_first())
+    placed = _attach(
+        counted.withColumn("_upto", F.sum("_rows").over(along)), sketched.select(*group, "_n"), group
     )
-    placed = prefix_sum(counted, group, [F.col("_value")], "_rows", "_upto", "_n")
     below = F.col("_upto") - F.col("_rows")
     aggregates = []
-    wanted = F.lit(False)
-    for name, q in cuts.items():
+    for name, q in named:
         spot = (F.col("_n") - 1) * F.lit(float(q))
-        low, high = F.floor(spot), F.ceil(spot)
-        holds_low = (below <= low) & (low < F.col("_upto"))
-        holds_high = (below <= high) & (high < F.col("_upto"))
-        wanted = wanted | holds_low | holds_high
-        low_value = F.max(F.when(holds_low, F.col("_value")))
-        high_value = F.max(F.when(holds_high, F.col("_value")))
-        share = F.max(spot - low)
+        mine = (F.col("cut") == name) & F.col("v").isNotNull()
+        holds = lambda at: mine & (below <= at) & (at < F.col("_upto"))  # noqa: E731, B023
+        low_value = F.max(F.when(holds(F.floor(spot)), F.col("v")))
+        high_value = F.max(F.when(holds(F.ceil(spot)), F.col("v")))
+        share = F.max(spot - F.floor(spot))
         aggregates.append((low_value + (high_value - low_value) * share).alias(name))
-    return placed.where(wanted).groupBy(*group).agg(*aggregates)
+    return placed.groupBy(*group).agg(*aggregates)
 
 
 def neighbours(

@@ -55,8 +55,9 @@ def write_periods(
     """Write ``rows`` by ``period`` folder, skipping periods that hold the same content.
 
     What is stored is read and compared by fingerprint, so a changed value, a lost row or a
-    tampered file makes its period be written again; other columns than before replace all
-    periods. A period is spread over as many files as its rows ask for. The manifest (rows,
+    tampered file makes its period be written again. Periods that ``rows`` lacks are removed, and
+    other columns than before replace the whole table, so what is there is always what the manifest
+    lists. A period is spread over as many files as its rows ask for. The manifest (rows,
     digest and columns per period) is kept beside the data and returned with the counts.
     """
     spark = rows.sparkSession
@@ -65,10 +66,16 @@ def write_periods(
     wanted = sized(period_fingerprints(rows, columns), "wanted")
     todo = wanted
     existing = read_if_present(spark, path) if resume else None
-    if existing is not None and set(existing.columns) == set(rows.columns):
+    kept = existing is not None and set(existing.columns) == set(rows.columns)
+    if kept:
         stored = existing.withColumn("period", F.col("period").cast(rows.schema["period"].dataType))
         done = sized(period_fingerprints(stored, columns), "stored")
-        todo = wanted.join(done, ["period", "rows", "digest"], "left_anti")
+        todo = sized(wanted.join(done, ["period", "rows", "digest"], "left_anti"), "todo")
+        gone = stored.select("period", "_metadata.file_path").join(wanted, "period", "left_anti")
+        # One row per folder of a period that is no longer wanted.
+        folders = gone.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder")).distinct()
+        for row in folders.collect():
+            remove_folder(spark, row["folder"])
     spread = sized(
         todo.select("period", F.ceil(F.col("rows") / rows_per_file).alias("_files")), "todo"
     )
@@ -78,7 +85,7 @@ def write_periods(
         .drop("_files")
         .write.partitionBy("period")
         .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "dynamic" if kept else "static")
         .parquet(path)
     )
     manifest = wanted.withColumn("columns", F.array(*[F.lit(c) for c in columns]))
@@ -91,6 +98,13 @@ def write_periods(
     )
 
 
+def remove_folder(spark: SparkSession, url: str) -> None:
+    """Delete a folder given as the URL of a file that Spark has read there."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(url))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Rows, digest and columns of each period as last written."""
     return spark.read.parquet(f"{path}/_manifest")

@@ -125,3 +125,20 @@ def test_rank_limits_of_any_size_cut_before_rows_meet(spark, many_partitions):
         plan = plan_of(got)
         # Either Spark's own limit stands before the shuffle, or each partition's share is cut.
         assert "WindowGroupLimit" in plan if limit <= 1000 else "_share" in plan
+
+
+def test_exact_quantiles_of_large_groups_order_few_values(spark):
+    """Groups beyond the ranks of the sketch, with ties, and a third of one group at one value."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], n, p=[0.7, 0.3]), "v": rng.normal(size=n)})
+    pdf.loc[(pdf.g == "b") & (rng.random(n) < 0.3), "v"] = 0.25
+    cuts = {"p0": 0.0, "p1": 0.0001, "p25": 0.25, "p50": 0.5, "p999": 0.9997, "p100": 1.0}
+    df = spark.createDataFrame(pdf).repartition(5)
+    for group in (["g"], []):
+        got = exact_quantiles(df, group, "v", cuts).toPandas()
+        assert len(got) == (2 if group else 1)
+        for _, row in got.iterrows():
+            values = pdf[pdf.g == row.g].v if group else pdf.v
+            want = np.quantile(values, list(cuts.values()))
+            assert np.allclose([row[c] for c in cuts], want, rtol=1e-12)

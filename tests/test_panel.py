@@ -272,8 +272,31 @@ def test_pack_events_pads_with_the_earliest(spark):
     assert got == [[[1, 1], [1, 1], [2, 3]], [[2, 3], [4, 5], [6, 7]]]
 
 
-def test_flatten_raises_below_depth(spark):
-    frame = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}}, "n": 2.5, "t": true}')], "k int, j string")
-    assert rows(sc.flatten_numeric(frame, ["k"], "j", 4), "path", "number") == [("a.b.c", 1.0), ("n", 2.5)]
-    with pytest.raises(Exception, match="nested deeper"):
-        sc.flatten_numeric(frame, ["k"], "j", 2).collect()
+def test_flatten_opens_all_levels(spark):
+    deep = '{"x": ' * 10 + "7" + "}" * 10
+    frame = spark.createDataFrame(
+        [(1, f'{{"a": {{"b": {{"c": 1}}}}, "n": 2.5, "t": true, "d": {deep}}}'), (2, "[]"), (3, None)],
+        "k int, j string",
+    )
+    assert rows(sc.flatten_numeric(frame, ["k"], "j"), "k", "path", "number") == [
+        (1, "a.b.c", 1.0),
+        (1, ".".join(["d", *"x" * 10]), 7.0),
+        (1, "n", 2.5),
+    ]
+
+
+def test_days_meet_only_ranges_of_their_month(spark):
+    from tapeloom.operators import calendar as cal
+
+    days = spark.createDataFrame([(day(i),) for i in range(60)], "trading_date date")
+    ranges = cal.ranges_frame(
+        spark, [("a", "2024-01-05", "2024-02-03"), ("b", "2024-02-03", "2024-02-10"), ("c", "2024-03-02", "2024-01-01")]
+    )
+    out = cal.days_outside_one_range(days, ranges, "2024-02-20")
+    got = {r.trading_date: (r.ranges, r.status) for r in out.collect()}
+    assert len(got) == 60
+    assert got[day(3)] == (0, "no range") and got[day(4)] == (1, "ok")
+    assert got[day(33)] == (2, "several ranges") and got[day(34)] == (1, "ok")
+    assert got[day(55)][1] == "locked"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

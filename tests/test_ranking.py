@@ -188,6 +188,40 @@ def test_calibration_is_isotonic_and_clipped(spark):
     assert got[-1.0] == pytest.approx(min(want.values())) and got[2.0] == pytest.approx(max(want.values()))
 
 
+@pytest.mark.parametrize("trend", [0.0, 0.3, 5.0, -1.0])
+def test_isotonic_blocks_merge_over_partitions(spark, many_partitions, trend):
+    """Noise, a weak and a steep trend, and a falling one, which is a single block."""
+    rng = np.random.default_rng(7)
+    x = rng.permutation(600) / 600
+    y = trend * x + rng.normal(0, 0.2, 600)
+    fit = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double")
+    blocks = rk.isotonic_blocks(fit.repartition(5), "x", "y")
+    want = pool_adjacent(x, y)
+    got = {r.x: r.fitted for r in rk.apply_blocks(blocks, fit, "x", "fitted").collect()}
+    assert all(np.isclose(got[v], want[v]) for v in want)
+    assert blocks.count() == len({round(m, 12) for m in want.values()})
+    between = rk.apply_blocks(blocks, spark.createDataFrame([(0.50001,)], "x double"), "x", "f")
+    inside = np.interp(0.50001, sorted(want), [want[v] for v in sorted(want)])
+    assert between.first()["f"] == pytest.approx(inside)
+
+
+def test_exponential_mean_of_a_long_run_with_gaps(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "'s' AS symbol", "id + IF(id >= 70000, 5, 0) AS at", "CAST(hash(id) AS DOUBLE) / 1e9 AS v"
+    )
+    out = rk.exponential_mean(rows, ["symbol"], "at", "v", (0.5, 0.01, 1.0, 0.999))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = out.toPandas().sort_values("at")
+    values = rows.toPandas().sort_values("at")
+    for alpha, part in got.groupby("alpha"):
+        last, want = None, []
+        for i, v in enumerate(values["v"]):
+            last = v if i in (0, 70_000) else alpha * v + (1 - alpha) * last
+            want.append(last)
+        assert np.allclose(part["score"].to_numpy(), want, rtol=1e-9, atol=1e-12)
+
+
 def test_distribution_skips_non_finite(spark):
     frame = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (-3.0,), (2.0,), (float("inf"),)], "v double")
     r = rk.distribution(frame, "v").first()

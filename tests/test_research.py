@@ -151,7 +151,15 @@ def test_periods_with_changed_content_are_written_again(spark, tmp_path):
     sink.write_periods(frame, path)
     got = spark.read.parquet(path).groupBy("period").agg(F.sum("v").alias("v"))
     assert rows(got, "period", "v") == [("2024-01", 4.0), ("2024-02", 4.0)]
-    # Another column set replaces all periods.
+    # A period that is gone goes, in the data as in the manifest.
+    sink.write_periods(frame.where("period = '2024-01'"), path)
+    assert rows(spark.read.parquet(path).select("period").distinct(), "period") == [("2024-01",)]
+    assert rows(sink.read_manifest(spark, path), "period") == [("2024-01",)]
+    # Another column set replaces all periods, those that are gone, too.
+    sink.write_periods(frame, path)
+    only = frame.where("period = '2024-01'").withColumn("w", F.lit(2))
+    sink.write_periods(only, path)
+    assert spark.read.parquet(path).where("w = 2").count() == spark.read.parquet(path).count() == 4
     sink.write_periods(frame.withColumn("w", F.lit(2)), path)
     assert spark.read.parquet(path).agg(F.sum("w")).first()[0] == 16
     manifest = sink.read_manifest(spark, path)
