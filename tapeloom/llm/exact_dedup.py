@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.llm.carried import carried, restored
 from tapeloom.plans.shared import new_path, settle
 
 ENTRY = "digest binary, keep_id bigint"
@@ -160,8 +161,9 @@ def drop_copies(
         .select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), "_same"),
         "stay",
     )
-    match = (F.col("_mine") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_keep"))
-    found = docs.withColumn("_mine", digest_of(F.col(text_col))).join(stay, match)
+    match = (F.col("_mine") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_keep"))
+    rows = carried(docs, _mine=digest_of(F.col(text_col)), _id=F.col(id_col))
+    found = rows.join(stay, match)
     once = found.where("_same = 1")
-    repeated = found.where("_same > 1").dropDuplicates(["_digest", id_col])
-    return once.unionByName(repeated).select(*docs.columns)
+    repeated = found.where("_same > 1").dropDuplicates(["_digest", "_id"])
+    return restored(once.unionByName(repeated))

@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.carried import carried
 from tapeloom.plans.shared import settle
 
 KEY_BITS = 60
@@ -120,11 +121,23 @@ def with_shard_sizes(assigned: DataFrame) -> DataFrame:
 def write_shards(
     docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write the documents under one folder per shard, named b and its bits."""
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
-    shards = assign_shards(rows, limit_bytes, id_col, text_col, "_row").select(
-        F.col("row").alias("_row"), F.concat(F.lit("b"), "shard").alias("shard")
+    """Write the documents under one folder per shard, named b and its bits.
+
+    The folders' column is ``shard``, behind as many underscores as it takes to differ from the
+    columns of the documents.
+    """
+    folder = "shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    rows = carried(
+        docs,
+        _id=F.col(id_col),
+        _text=F.col(text_col),
+        _row=F.monotonically_increasing_id(),
     )
-    rows.join(shards, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(
-        path
+    rows = settle(rows, "shard-rows")
+    shards = assign_shards(rows, limit_bytes, "_id", "_text", "_row").select(
+        F.col("row").alias("_row"), F.concat(F.lit("b"), "shard").alias("_folder")
     )
+    named = rows.join(shards, "_row").select("_doc.*", F.col("_folder").alias(folder))
+    named.repartition(folder).write.partitionBy(folder).parquet(path)

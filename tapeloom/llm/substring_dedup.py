@@ -3,19 +3,25 @@
 A text is cut behind a word where the gear hash of the last 16 bytes falls under a threshold, so the
 cuts inside a passage depend on the passage alone and an insertion shifts none of the later ones.
 Stretches without blanks are cut at characters by the same hash. Text that the hash never cuts, as
-one word over and over, is cut after ``MOST_WORDS`` words or ``MOST_BYTES`` bytes. Chunks with equal digests are one
-chunk; its first place (smallest id, then position) stays. Elsewhere a run of repeated chunks is
-removed if it holds at least ``least_words`` words; shorter runs are chance or single shared lines.
+one word over and over, is cut after ``MOST_WORDS`` words or ``MOST_BYTES`` bytes.
+
+What is deduplicated are chunks with the one that follows: a pair of chunks counts as repeated if an
+earlier place (smaller id, then position) holds the same two side by side, and its first place stays.
+A run is chunks of which each pair of neighbours is repeated; it is removed if it holds at least
+``least_words`` words, or ``LEAST_BYTES`` bytes where there are few blanks. So common chunks that
+stand in one document by chance make no run, as no earlier text has them together; shorter runs are
+single shared lines. A text of one chunk counts by that chunk.
 
 Digests cross the cluster three times, each time fewer: their first half alone finds those that occur
 twice or more, then only the places of these go on, with a second half that tells collisions apart. A
-frequent digest is counted before it is shuffled, and its places meet one row per digest in a join
-whose large partitions Spark splits. A document gathers only its own repeated chunks.
+frequent digest is counted before it is shuffled, and its places meet one row per digest in a join of
+two written tables, whose large partitions Spark splits. A document gathers only its own repeats.
 
 A null or empty text has no chunks and stays as it is. Repeated rows (same id and text) are one
 document: all are treated alike, so the first stays whole with its repetitions. Different texts under
 one id are told apart by a hash of the text. An empty table gives an empty result; extra columns are
-carried by :func:`remove_repeats` and never clash, as added columns start with ``_``.
+carried by :func:`remove_repeats` as one value and cannot clash, but that columns named ``_spans`` and
+``_sources`` are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.carried import carried
 from tapeloom.plans.shared import settle
 
 WINDOW = 16
@@ -41,6 +48,8 @@ LONG_CUT_BELOW = 4
 MOST_WORDS = 64
 MOST_BYTES = 8192
 LEAST_WORDS = 24
+#: As long as 24 long words; text without blanks has no words to count.
+LEAST_BYTES = 288
 #: Bytes of text hashed in one go; a longer text is still taken whole.
 STEP_BYTES = 1_000_000
 BLANKS = [9, 10, 11, 12, 13, 32]
@@ -135,22 +144,28 @@ def chunk_edges(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Add ``_id`` and ``_tie``: the hash of the text where several rows share an id, else 0."""
+    """(_doc, _id, _tie, _text): ``_tie`` is the hash of the text where several rows share an id,
+    else 0."""
+    rows = carried(docs, _id=F.col(id_col), _text=F.col(text_col))
     several = settle(
-        docs.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"),
-        "shared-ids",
+        rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared-ids"
     )
-    rows = docs.withColumn("_id", F.col(id_col))
     if several.isEmpty():
         return rows.withColumn("_tie", F.lit(0).cast("long"))
     several = several.select(F.col("_id").alias("_shared"), F.lit(True).alias("_several"))
-    tie = F.when(F.col("_several"), F.xxhash64(F.col(text_col))).otherwise(F.lit(0).cast("long"))
+    tie = F.when(F.col("_several"), F.xxhash64("_text")).otherwise(F.lit(0).cast("long"))
     joined = rows.join(several, F.col("_id").eqNullSafe(F.col("_shared")), "left")
     return joined.withColumn("_tie", tie).drop("_shared", "_several")
 
 
-def chunk_places(keyed: DataFrame, text_col: str) -> DataFrame:
-    """(head, tail, _id, _tie, at): both parts of each chunk's digest, and its number in the text."""
+def pair_ends(edges: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Begin and end of each chunk together with the next one, or of an only chunk."""
+    return zip(edges, edges[2:] if len(edges) > 2 else edges[1:], strict=False)
+
+
+def pair_places(keyed: DataFrame) -> DataFrame:
+    """(head, tail, _id, _tie, at): both parts of the digest of each pair of chunks, and the number
+    of its first chunk in the text."""
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,12 +175,9 @@ def chunk_places(keyed: DataFrame, text_col: str) -> DataFrame:
                 digests: list[bytes] = []
                 counts = []
                 for text, (edges, _) in zip(texts, chunk_edges(texts), strict=True):
-                    ends = edges.tolist()
-                    counts.append(len(ends) - 1)
-                    digests += [
-                        xxhash.xxh3_128_digest(text[a:b])
-                        for a, b in zip(ends, ends[1:], strict=False)
-                    ]
+                    own = [xxhash.xxh3_128_digest(text[a:b]) for a, b in pair_ends(edges.tolist())]
+                    counts.append(len(own))
+                    digests += own
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 n = np.array(counts, np.int64)
                 numbers = np.arange(len(both)) - np.repeat(np.cumsum(n) - n, n)
@@ -180,21 +192,22 @@ def chunk_places(keyed: DataFrame, text_col: str) -> DataFrame:
                 ).astype({"_id": "Int64"})
 
     texts = keyed.select(
-        F.col("_id").cast("long").alias("_id"), "_tie", F.col(text_col).alias("text")
+        F.col("_id").cast("long").alias("_id"), "_tie", F.col("_text").alias("text")
     ).where(F.length("text") > 0)
     return texts.mapInPandas(chunks, "head long, tail int, _id long, _tie long, at int")
 
 
-def repeated_chunks(keyed: DataFrame, text_col: str) -> DataFrame:
-    """(_id, _tie, _repeats): numbers of the chunks that an earlier place holds, with its id."""
-    places = chunk_places(keyed, text_col)
+def repeated_pairs(keyed: DataFrame) -> DataFrame:
+    """(_id, _tie, _repeats): numbers of the pairs that an earlier place holds, with its id."""
+    places = pair_places(keyed)
     heads = places.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = settle(places.join(heads.select("head"), "head"), "repeated")
-    first = (
+    found = settle(places.join(settle(heads.select("head"), "heads"), "head"), "repeated")
+    first = settle(
         found.groupBy("head", "tail")
         .agg(F.min(F.struct(*KEY, "at")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("head", "tail", "first")
+        .select("head", "tail", "first"),
+        "first",
     )
     later = found.join(first, ["head", "tail"]).where(
         ~F.struct(*KEY, "at").eqNullSafe(F.col("first"))
@@ -211,15 +224,20 @@ def removed_spans(
     ((edges, words),) = _edges([text])
     source = dict(repeats)
     spans = []
-    at, n = 0, len(edges) - 1
+    last = len(edges) - 1
+    at, n = 0, max(1, last - 1)
     while at < n:
         end = at
         while end < n and end in source:
             end += 1
-        if end > at and words[end] - words[at] >= least_words:
-            ids = {source[i] for i in range(at, end)}
-            known = sorted(i for i in ids if i is not None)
-            spans.append((int(edges[at]), int(edges[end]), known + [None] * (None in ids)))
+        if end > at:
+            # The pairs at..end-1 cover one chunk more.
+            stop = min(end + 1, last)
+            size = int(edges[stop] - edges[at])
+            if words[stop] - words[at] >= least_words or size >= LEAST_BYTES:
+                ids = {source[i] for i in range(at, end)}
+                known = sorted(i for i in ids if i is not None)
+                spans.append((int(edges[at]), int(edges[stop]), known + [None] * (None in ids)))
         at = max(end, at + 1)
     return spans
 
@@ -269,21 +287,22 @@ def remove_repeats(
     that hold it first); both are empty for a text left as it was.
     """
     keyed = _keyed(docs, id_col, text_col)
-    repeats = settle(repeated_chunks(keyed, text_col), "repeats").select(
+    repeats = settle(repeated_pairs(keyed), "repeats").select(
         F.col("_id").alias("_of"), F.col("_tie").alias("_of_tie"), "_repeats"
     )
     same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_tie") == F.col("_of_tie"))
     rows = keyed.join(repeats, same, "left")
+    kept = [c for c in docs.columns if c not in ("_spans", "_sources")]
     touched = rows.where("_repeats is not null").withColumn(
-        "_cut", _cut(F.col(text_col), F.col("_repeats"), least_words)
+        "_cut", _cut(F.col("_text"), F.col("_repeats"), least_words)
     )
     empty = F.array()
     whole = rows.where("_repeats is null").select(
-        *docs.columns,
+        *[F.col("_doc")[c].alias(c) for c in kept],
         empty.cast("array<struct<begin:int,length:int>>").alias("_spans"),
         empty.cast("array<long>").alias("_sources"),
     )
-    new = [F.col("_cut")["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    new = [(F.col("_cut")["text"] if c == text_col else F.col("_doc")[c]).alias(c) for c in kept]
     changed = touched.select(
         *new, F.col("_cut")["spans"].alias("_spans"), F.col("_cut")["sources"].alias("_sources")
     )

@@ -162,29 +162,61 @@ def test_components_of_long_chains_stars_and_cycles(spark):
     assert components.components(table.where("a < 0")).count() == 0
 
 
+def plain_chunks(text):
+    """Begin of each chunk and the end, from the hash of the last 16 bytes at every place."""
+    raw, cuts, blanks = text.encode(), [0], b"\t\n\x0b\x0c\r "
+    gear = [
+        int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little")
+        for b in range(256)
+    ]
+    since, words = 0, 0
+    for i, byte in enumerate(raw):
+        if i:
+            before = raw[max(0, i - 16) : i]
+            rolled = sum(gear[b] << k for k, b in enumerate(reversed(before))) >> 24 & 0xFF
+            word = byte not in blanks and raw[i - 1] in blanks
+            words += word
+            # Characters since the last blank; the start of a text counts as one before it.
+            far = since >= 64 and rolled < 4 and byte & 0xC0 != 0x80
+            if (word and rolled < 64) or far:
+                cuts.append(i)
+        since = 0 if byte in blanks else since + 1
+    return [*cuts, len(raw)]
+
+
 def brute_repeats(texts, least):
-    """{id: text without the chunk runs that an earlier place holds}."""
-    first, out = {}, {}
-    places = {}
+    """{id: text without the runs of chunk pairs that an earlier place holds}, in plain Python.
+
+    For texts that need no cut by length.
+    """
+    first, pairs, out = {}, {}, {}
     for i in sorted(texts):
-        raw = (texts[i] or "").encode()
-        ((edges, _),) = substring_dedup._edges([raw])
-        cut = edges.tolist()
-        places[i] = [(k, raw[a:b]) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-        for k, chunk in places[i]:
-            first.setdefault(chunk, (i, k))
+        raw, cut = (texts[i] or "").encode(), plain_chunks(texts[i] or "")
+        ends = cut[2:] if len(cut) > 2 else cut[1:]
+        pairs[i] = [(a, b, raw[a:b]) for a, b in zip(cut, ends, strict=False) if b > a]
+        for k, (_, _, both) in enumerate(pairs[i]):
+            first.setdefault(both, (i, k))
     for i in sorted(texts):
-        raw = (texts[i] or "").encode()
-        repeats = [(k, first[c][0]) for k, c in places[i] if first[c] != (i, k)]
-        spans = substring_dedup.removed_spans(raw, repeats, least)
-        for a, b, _ in reversed(spans):
-            raw = raw[:a] + raw[b:]
+        raw, runs = (texts[i] or "").encode(), []
+        for k, (a, b, both) in enumerate(pairs[i]):
+            if first[both] == (i, k):
+                continue
+            if runs and runs[-1][2] == k - 1:
+                runs[-1][1:] = [b, k]
+            else:
+                runs.append([a, b, k])
+        for a, b, _ in reversed(runs):
+            if len(raw[a:b].split()) >= least or b - a >= 288:
+                raw = raw[:a] + raw[b:]
         out[i] = raw.decode() if texts[i] is not None else None
     return out
 
 
 def test_substring_dedup_equals_brute_force(documents):
     texts = texts_of(documents)
+    short = {i: t for i, t in texts.items() if not t or len(t) < 20_000}
+    documents = documents.where(F.col("doc_id").isin(list(short)))
+    texts = short
     out = substring_dedup.remove_repeats(documents).collect()
     want = brute_repeats(texts, substring_dedup.LEAST_WORDS)
     assert {r.doc_id: r.text for r in out} == want
@@ -249,6 +281,49 @@ def test_substring_dedup_of_odd_rows(make_docs, long_text):
     assert substring_dedup.remove_repeats(make_docs([])).count() == 0
 
 
+def test_common_chunks_without_a_common_source_stay(make_docs):
+    """Sentences that all occur before, but never side by side, are no passage."""
+    sentences = [" ".join(noise(700 + k, 14)) + "." for k in range(30)]
+    earlier = [(k, f"{' '.join(noise(900 + k, 40))} {s} {' '.join(noise(950 + k, 40))}")
+               for k, s in enumerate(sentences)]
+    mixed = " ".join(sentences)
+    whole = " ".join(noise(900, 40)) + " " + sentences[0] + " " + " ".join(noise(950, 40))
+    rows = [*earlier, (100, mixed), (101, f"new words {whole} at the end")]
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(make_docs(rows)).collect()}
+    assert out[100] == mixed
+    assert len(out[101].split()) < 20
+
+
+def test_passages_without_blanks(make_docs):
+    shared = "".join(noise(41, 400))
+    rows = [(1, "".join(noise(42, 300)) + shared), (2, "".join(noise(43, 300)) + shared)]
+    rows += [(3, "漢字かな" * 3 + "".join(chr(0x4E00 + int(x, 16) % 5000) for x in noise(44, 900)))]
+    rows += [(4, "別の文" + rows[2][1][5:])]
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(make_docs(rows)).collect()}
+    assert out[1] == rows[0][1] and out[3] == rows[2][1]
+    assert len(rows[1][1]) - len(out[2]) > 0.8 * len(shared)
+    assert len(out[4]) < 0.3 * len(rows[3][1])
+
+
+def test_columns_named_like_helpers(spark, make_docs):
+    docs = make_docs([(1, "same text"), (2, "same text"), (3, " ".join(noise(1, 60))), (3, None)])
+    for name in ("_mine", "_id", "_tie", "_cut", "_own", "_keep", "_hash", "_twice", "_doc", "shard"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for out in (
+        exact_dedup.drop_copies(docs, buckets=3),
+        minhash_forest.drop_near_copies(docs, 2),
+        substring_dedup.remove_repeats(docs).drop("_spans", "_sources"),
+    ):
+        assert out.columns == docs.columns
+        assert {(r["_mine"], r["_cut"], r["_doc"], r["shard"]) for r in out.collect()} == {
+            ("own _mine", "own _cut", "own _doc", "own shard")
+        }
+    path = new_path(spark, "shards")
+    sharding.write_shards(docs, path, 300)
+    back = spark.read.parquet(path)
+    assert back.count() == 4 and set(back.columns) == {*docs.columns, "_shard"}
+
+
 def brute_shards(rows, limit):
     """Smallest depth at which the bucket of each id fits; ids are unique."""
     keys = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i, _ in rows}
