@@ -91,7 +91,7 @@ def test_every_operator_has_its_query():
     from tapeloom.catalog.registry import QUERIES
 
     named = {q.split("_")[0] for q in QUERIES if q.startswith("op")}
-    assert named == {f"op{n}" for n in range(1, 11)}
+    assert named == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in QUERIES and queries.CAPACITY == 1024
 
 
