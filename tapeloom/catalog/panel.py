@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return new_path(spark, name)
 
 
-def write_wide(spark: SparkSession, rows: DataFrame, value: str) -> str:
+def write_wide(spark: SparkSession, rows: DataFrame, value: str, width: int = 1000) -> str:
     path = scratch(spark, f"wide-{value}")
-    sink.to_wide(rows, value).write.parquet(path)
+    sink.write_wide_parts(rows, value, path, width)
     return path
 
 
@@ -39,7 +41,7 @@ def write_wide(spark: SparkSession, rows: DataFrame, value: str) -> str:
     " WHERE trading_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'",
 )
 def wide_panel(spark, sf_dir):
-    path = write_wide(spark, fx.bars(spark, sf_dir), "close")
+    path = write_wide(spark, fx.bars(spark, sf_dir), "close", width=60)
     long = panels.read_wide_panel(
         spark, path, "close", start="1996-01-01", end="2000-12-31", pattern=ANY_CODE
     )
@@ -214,12 +216,13 @@ def sidecar_write(spark, sf_dir):
     FROM targets""",
 )
 def wide_labels_write(spark, sf_dir):
-    """Every column of the wide table, turned into rows again for the comparison."""
-    path = write_wide(spark, fx.preds(spark, sf_dir), "target_return")
-    wide = spark.read.parquet(path)
-    symbols = [c for c in wide.columns if c != "value"]
-    long = wide.unpivot(["value"], symbols, "symbol", "target_return")
-    return long.where("target_return is not null")
+    """Every column of the wide tables, turned into rows again for the comparison."""
+    path = write_wide(spark, fx.preds(spark, sf_dir), "target_return", width=60)
+    melted = [
+        wide.unpivot(["value"], [c for c in wide.columns if c != "value"], "symbol", "target_return")
+        for wide in panels.wide_tables(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, melted).where("target_return is not null")
 
 
 # ---- calendar and universe -------------------------------------------------

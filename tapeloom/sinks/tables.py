@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.plans.ordering import ordinal
-from tapeloom.plans.shared import settle, sized
+from tapeloom.plans.shared import new_path, settle, sized
 
 # Fixed values.
 PORTFOLIO_TABLES = ("daily", "holdings", "trades")
@@ -130,7 +130,8 @@ def to_wide(
 ) -> DataFrame:
     """Long rows to one row per day (``value`` = yyyymmdd) and a column per symbol.
 
-    The format itself needs one column per symbol, so Spark's pivot limit applies.
+    One table with a column per symbol, so Spark's pivot limit applies; beyond it see
+    :func:`write_wide_parts`.
     """
     keyed = rows.select(
         F.date_format(day, "yyyyMMdd").cast("int").alias("value"), "symbol", F.col(value).alias("_v")
@@ -139,6 +140,51 @@ def to_wide(
     return pivot.agg(F.first("_v"))
 
 
+def write_wide_parts(
+    rows: DataFrame,
+    value: str,
+    path: str,
+    width: int = 1000,
+    day: str = "trading_date",
+) -> DataFrame:
+    """Long rows as several wide tables of at most ``width`` symbols each, for any number of symbols.
+
+    Every folder ``part-<n>`` holds a wide table with all days; the table ``_symbols`` (symbol, part)
+    tells where a symbol is, so that a reader opens only the folders it wants. Symbols are dealt in
+    their order; rows without a symbol have no column. Only the names of one part at a time, at most
+    ``width``, come to the driver. Returns (symbol, part).
+    """
+    spark = rows.sparkSession
+    keyed = settle(
+        rows.select(
+            F.date_format(day, "yyyyMMdd").cast("int").alias("value"),
+            "symbol",
+            F.col(value).alias("_v"),
+        ),
+        "long",
+    )
+    days = settle(keyed.select("value").distinct(), "days")
+    names = keyed.where("symbol is not null").select("symbol").distinct()
+    ordinal(names, [], [F.col("symbol")], pos="_pos").select(
+        "symbol", F.floor((F.col("_pos") - 1) / width).cast("int").alias("part")
+    ).write.mode("overwrite").parquet(f"{path}/_symbols")
+    placed = spark.read.parquet(f"{path}/_symbols")
+    held = new_path(spark, "parts")
+    dealt = keyed.join(placed, "symbol").repartitionByRange("part", "value")
+    dealt.write.partitionBy("part").parquet(held)
+    last = placed.agg(F.max("part")).first()[0]
+    for part in range(0 if last is None else last + 1):
+        own = [r["symbol"] for r in placed.where(F.col("part") == part).collect()]
+        mine = spark.read.parquet(held).where(F.col("part") == part)
+        wide = mine.groupBy("value").pivot("symbol", sorted(own)).agg(F.first("_v"))
+        days.join(wide, "value", "left").write.mode("overwrite").parquet(part_path(path, part))
+    return placed
+
+
+def part_path(path: str, part: int) -> str:
+    return f"{path}/part-{part:05d}"
+
+
 def write_portfolio(
     tables: Mapping[str, DataFrame], summary: DataFrame, path: str
 ) -> dict[str, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import STOCK_CODE_PATTERN, parse_day, to_bool
 from tapeloom.functions.stats import is_finite, is_positive
+from tapeloom.sinks.tables import part_path, read_if_present
 
 # Fixed values.
 PARTITION_ALIASES = {"val": "validation", "validation": "validation", "test": "oos", "oos": "oos"}
@@ -21,6 +22,20 @@ def stock_columns(names: Sequence[str], pattern: str = STOCK_CODE_PATTERN) -> li
     return [n for n in names if re.match(pattern, n)]
 
 
+def wide_tables(
+    spark: SparkSession, path: str, symbols: Sequence[str] | None = None
+) -> list[DataFrame]:
+    """The wide tables at ``path``: one, or the parts that hold some of ``symbols``."""
+    placed = read_if_present(spark, f"{path}/_symbols")
+    if placed is None:
+        return [spark.read.parquet(path)]
+    wanted = None if symbols is None else set(symbols)
+    # Names and numbers of columns, which the tables' schemas bring to the driver anyway.
+    rows = placed.collect()
+    parts = sorted({r["part"] for r in rows if wanted is None or r["symbol"] in wanted})
+    return [spark.read.parquet(part_path(path, part)) for part in parts]
+
+
 def read_wide_panel(
     spark: SparkSession,
     path: str,
@@ -32,15 +47,25 @@ def read_wide_panel(
 ) -> DataFrame:
     """One row per day with a column per stock, melted to (trading_date, symbol, value).
 
-    Only the wanted stock columns are read, and the day bounds reach the Parquet scan.
+    ``path`` is one wide table or the parts of one. Only the wanted stock columns are read, of parts
+    only those that hold some, and the day bounds reach the Parquet scan.
     """
-    wide = spark.read.parquet(path)
-    columns = stock_columns(wide.columns, pattern)
-    if symbols is not None:
-        wanted = set(symbols)
-        columns = [c for c in columns if c in wanted]
-    if not columns:
+    wanted = None if symbols is None else set(symbols)
+    melted = []
+    for wide in wide_tables(spark, path, symbols):
+        columns = [
+            c for c in stock_columns(wide.columns, pattern) if wanted is None or c in wanted
+        ]
+        if columns:
+            melted.append(_melted(wide, columns, value, start, end))
+    if not melted:
         raise ValueError(f"no stock column in {path}")
+    return reduce(DataFrame.unionByName, melted)
+
+
+def _melted(
+    wide: DataFrame, columns: list[str], value: str, start: str | None, end: str | None
+) -> DataFrame:
     bounded = wide.select("value", *columns)
     if start is not None:
         bounded = bounded.where(F.col("value") >= int(start.replace("-", "")))
@@ -63,7 +88,10 @@ def load_market_panels(
     """
     shared = reduce(
         lambda a, b: a & b,
-        (set(stock_columns(spark.read.parquet(p).columns, pattern)) for p in paths.values()),
+        (
+            {c for t in wide_tables(spark, p) for c in stock_columns(t.columns, pattern)}
+            for p in paths.values()
+        ),
     )
     stacked = [
         read_wide_panel(spark, p, "v", sorted(shared), end=end, pattern=pattern).withColumn(
@@ -79,7 +107,8 @@ def load_market_panels(
 def axis_mismatch(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Days missing from some of the panels, with the number of panels that have them."""
     days = [
-        spark.read.parquet(p).select(F.col("value"), F.lit(name).alias("panel"))
+        # Every part has all days.
+        wide_tables(spark, p)[0].select(F.col("value"), F.lit(name).alias("panel"))
         for name, p in paths.items()
     ]
     return (
@@ -121,14 +150,16 @@ def day_column(names: Sequence[str]) -> str:
 
 def read_wide_labels(spark: SparkSession, path: str) -> DataFrame:
     """Wide label table to (trading_date, symbol, label), finite labels only."""
-    wide = spark.read.parquet(path)
-    day = day_column(wide.columns)
-    symbols = [c for c in wide.columns if c != day]
-    return (
-        wide.unpivot([day], symbols, "symbol", "label")
-        .where(is_finite("label"))
-        .select(parse_day(F.col(day)).alias("trading_date"), "symbol", "label")
-    )
+    melted = []
+    for wide in wide_tables(spark, path):
+        day = day_column(wide.columns)
+        symbols = [c for c in wide.columns if c != day]
+        melted.append(
+            wide.unpivot([day], symbols, "symbol", "label")
+            .where(is_finite("label"))
+            .select(parse_day(F.col(day)).alias("trading_date"), "symbol", "label")
+        )
+    return reduce(DataFrame.unionByName, melted)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -300,3 +300,45 @@ def test_days_meet_only_ranges_of_their_month(spark):
     assert got[day(55)][1] == "locked"
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_wide_parts_hold_any_number_of_symbols(spark, tmp_path):
+    from tapeloom.sinks import tables as sink
+    from tapeloom.sources import panels
+
+    path = str(tmp_path / "wide")
+    many = spark.range(2_000).select(
+        F.lpad(F.col("id").cast("string"), 6, "0").alias("symbol"),
+        F.explode(F.array(*[F.lit(day(i)) for i in (0, 1)])).alias("trading_date"),
+        F.col("id").cast("double").alias("close"),
+    )
+    # The first symbol lacks the second day, and a row without a symbol has no column.
+    held = many.where(F.col("symbol").isin("000000") & (F.col("trading_date") == day(1)))
+    nameless = many.where("symbol = '000007'").withColumn("symbol", F.lit(None).cast("string"))
+    placed = sink.write_wide_parts(
+        many.subtract(held).unionByName(nameless), "close", path, width=250
+    )
+    assert placed.agg(F.count("symbol"), F.max("part")).first() == (2_000, 7)
+
+    picked = panels.read_wide_panel(spark, path, "close", ["000000", "000003"], pattern=r"^\d{6}$")
+    assert {f.rsplit("/", 2)[-2] for f in picked.inputFiles()} == {"part-00000"}
+    assert rows(picked, "symbol", "trading_date", "close") == [
+        ("000000", day(0), 0.0),
+        ("000000", day(1), None),
+        ("000003", day(0), 3.0),
+        ("000003", day(1), 3.0),
+    ]
+    labels = panels.read_wide_labels(spark, path)
+    expected = many.subtract(held).agg(F.count("close"), F.sum("close")).first()
+    assert labels.agg(F.count("label"), F.sum("label")).first() == expected
+
+
+def test_wide_parts_without_rows_have_no_stock_column(spark, tmp_path):
+    from tapeloom.sinks import tables as sink
+    from tapeloom.sources import panels
+
+    path = str(tmp_path / "wide")
+    empty = spark.createDataFrame([], "symbol string, trading_date date, close double")
+    assert sink.write_wide_parts(empty, "close", path).count() == 0
+    with pytest.raises(ValueError, match="no stock column"):
+        panels.read_wide_panel(spark, path)
