@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.catalog import fixtures as fx
@@ -14,7 +17,7 @@ from tapeloom.operators import labels as lab
 from tapeloom.operators import minute as mn
 from tapeloom.plans.shared import settle
 from tapeloom.sinks import tables as sink
-from tapeloom.sources import files
+from tapeloom.sources import files, zones
 
 PRICES = ("ask_price1", "bid_price1", "ask_price2", "bid_price2")
 VOLUMES = ("ask_volume1", "bid_volume1", "ask_volume2", "bid_volume2")
@@ -527,6 +530,74 @@ def minute_cache(spark, sf_dir):
     return out
 
 
+def zoned_cache(spark, sf_dir):
+    """Per modality: paths with a file per quarter, their zone map, and the scattered targets.
+
+    Targets are all stock-days of the first quarters of even years, traded or not.
+    """
+    root = scratch(spark, "zoned")
+    rows = settle(minutes(spark, sf_dir), "minutes")
+    scattered = (F.floor(F.col("date") / 10000) % 2 == 0) & (F.col("date") % 10000 == 101)
+    targets = settle(minute_targets(rows).where(scattered), "targets")
+    for name in MODALITIES:
+        path = f"{root}/{name}"
+        rows.where(F.col("modality") == name).select(
+            "date",
+            "ticker",
+            "minute",
+            "seq",
+            F.col("price").alias(f"{name}__price"),
+            F.col("size").alias(f"{name}__size"),
+            F.col("date").alias("quarter"),
+        ).repartition("quarter").write.partitionBy("quarter").parquet(path)
+        placed = zones.write_zone_map(
+            spark, [path], F.col("date"), F.col("ticker"), scratch(spark, f"zones-{name}")
+        )
+        yield name, path, placed, targets
+
+
+SCATTERED = "date // 10000 % 2 = 0 AND date % 10000 = 101"
+
+
+@query(
+    "S5_zone_map_read",
+    with_sql("mins")
+    + f"""SELECT modality, date, ticker, minute, l_orderkey AS line, price,
+      CASE WHEN isnan(size) THEN NULL ELSE size END AS size
+    FROM mins WHERE {SCATTERED}""",
+)
+def zone_map_read(spark, sf_dir):
+    """Days that lie years apart, read from the files that hold them."""
+    read = [
+        files.read_minute_cache(spark, [path], name, targets, placed).select(
+            F.lit(name).alias("modality"),
+            "date",
+            "ticker",
+            "minute",
+            F.col("seq.l_orderkey").alias("line"),
+            F.col(f"{name}__price").alias("price"),
+            _no_nan(f"{name}__size").alias("size"),
+        )
+        for name, path, placed, targets in zoned_cache(spark, sf_dir)
+    ]
+    return reduce(DataFrame.unionByName, read)
+
+
+@query(
+    "S5_zone_map_report",
+    with_sql("mins")
+    + f"""SELECT modality, ({SCATTERED}) AS wanted, count(DISTINCT date) AS files,
+      count(*) AS rows FROM mins GROUP BY modality, wanted""",
+)
+def zone_map_report(spark, sf_dir):
+    """Files and rows that a read of the scattered days scans and skips."""
+    reports = []
+    for name, _, placed, targets in zoned_cache(spark, sf_dir):
+        asked = targets.select(F.col("date").alias("day"), F.col("ticker").alias("symbol"))
+        reports.append(zones.zone_report(placed, asked).withColumn("modality", F.lit(name)))
+    return reduce(DataFrame.unionByName, reports)
+
+
 @query(
     "S6_trade_date_minutes",
     with_sql("mins", "mtarget")

@@ -660,7 +660,9 @@ def verdict(spark, sf_dir):
     with_sql("grid_sum")
     + """SELECT count(*) AS combinations, count(DISTINCT evaluated_dates) = 1
       AND count(DISTINCT (first_date, last_date)) = 1 AS same_date_sample,
-      0 AS missing FROM grid_sum""",
+      (SELECT count(*) FROM (SELECT DISTINCT top_k FROM grid_sum),
+        (SELECT DISTINCT exit_buffer FROM grid_sum), (SELECT DISTINCT cost_bps FROM grid_sum))
+      - count(DISTINCT (top_k, exit_buffer, cost_bps)) AS missing FROM grid_sum""",
 )
 def completeness(spark, sf_dir):
     out = grid(spark, sf_dir)

@@ -238,7 +238,12 @@ def formal_targets(
         f"_{name}": F.lead(F.struct("day_index", "state"), step).over(by_symbol())
         for name, step in (("start", 1), ("end", 2))
     }
-    states = execution_states(symbol_grid(bars, calendar)).withColumns(ahead)
+    # Only symbols that are ever chosen, from their first choice on, can be candidates or carried.
+    entered = universe.groupBy("symbol").agg(F.min("day_index").alias("_entered"))
+    entered = sized(entered, "entered")
+    traded = bars.join(entered.select("symbol"), "symbol", "left_semi")
+    states = execution_states(symbol_grid(traded, calendar)).withColumns(ahead)
+    states = states.join(entered, "symbol").where(F.col("day_index") >= F.col("_entered"))
     raw = F.col("_end.state.mark_price") / F.col("_start.state.mark_price") - 1
     rows = states.join(universe, ["symbol", "day_index"], "left").select(
         "symbol",

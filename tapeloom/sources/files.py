@@ -15,6 +15,7 @@ from tapeloom.functions.scalars import (
     parse_day,
     strip_suffix,
 )
+from tapeloom.sources.zones import wanted_paths
 
 BAR_SCHEMA = T.StructType(
     [
@@ -52,13 +53,21 @@ def within_days(raw: DataFrame, column: str, wanted: DataFrame, day: str) -> Dat
 
 
 def read_minute_cache(
-    spark: SparkSession, paths: Sequence[str], modality: str, targets: DataFrame
+    spark: SparkSession,
+    paths: Sequence[str],
+    modality: str,
+    targets: DataFrame,
+    zones: DataFrame | None = None,
 ) -> DataFrame:
     """Yearly files of one modality, restricted to the wanted stock-days.
 
     Column pruning keeps the features of the modality, and the scan skips what lies outside
-    the wanted days.
+    the wanted days. With a zone map of the files (``sources.zones``) only those are opened that may
+    hold a wanted stock-day, however far apart these lie.
     """
+    if zones is not None:
+        asked = targets.select(F.col("date").alias("day"), F.col("ticker").alias("symbol"))
+        paths = wanted_paths(zones, asked) or paths
     raw = spark.read.parquet(*paths)
     features = modality_columns(raw.columns, modality)
     if not features:
@@ -97,12 +106,17 @@ def read_book_months(
     start_ms: int,
     signal_ms: int,
     columns: Sequence[str],
+    zones: DataFrame | None = None,
 ) -> DataFrame:
     """Book snapshots of the target stock-days inside [start_ms, signal_ms).
 
     Where days are stored as numbers, their bounds reach the scan; days stored as text may
-    have two forms and are compared after parsing.
+    have two forms and are compared after parsing. A zone map of the files, keyed by
+    trading date and padded symbol, leaves only those that may hold a target.
     """
+    if zones is not None:
+        asked = targets.select(F.col("trading_date").alias("day"), "symbol")
+        paths = wanted_paths(zones, asked) or paths
     raw = spark.read.parquet(*paths).select("ticker", "TradingDay", "time_ms", "seq", *columns)
     if isinstance(raw.schema["TradingDay"].dataType, T.IntegralType):
         days = targets.select(day_number(F.col("trading_date")).alias("day"))
