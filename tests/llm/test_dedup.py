@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,23 @@ def test_components_of_long_chains_stars_and_cycles(spark):
     assert components.components(table.where("a < 0")).count() == 0
 
 
+def test_groups_merged_with_more_links_are_the_components_of_all_links(spark):
+    rng = np.random.default_rng(11)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (240, 2)) if a != b]
+    links += [(i, i + 1) for i in range(400, 430)] + [(430, 5)]
+
+    def table(rows):
+        return spark.createDataFrame(rows, "a long, b long")
+
+    whole = {r.node: r.component for r in components.components(table(links)).collect()}
+    for cut in (0, 90, len(links) - 1, len(links)):
+        groups = components.components(table(links[:cut]))
+        more = table(links[cut:] + links[:20])
+        found = components.merged(groups, more).collect()
+        assert {r.node: r.component for r in found} == whole
+        assert len(found) == len(whole)
+
+
 def plain_chunks(text):
     """Begin of each chunk and the end, from the hash of the last 16 bytes at every place."""
     raw, cuts, blanks = text.encode(), [0], b"\t\n\x0b\x0c\r "
