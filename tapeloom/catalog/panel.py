@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,11 +216,8 @@ def sidecar_write(spark, sf_dir):
 def wide_labels_write(spark, sf_dir):
     """Every column of the wide tables, turned into rows again for the comparison."""
     path = write_wide(spark, fx.preds(spark, sf_dir), "target_return", width=60)
-    melted = [
-        wide.unpivot(["value"], [c for c in wide.columns if c != "value"], "symbol", "target_return")
-        for wide in panels.wide_tables(spark, path)
-    ]
-    return reduce(DataFrame.unionByName, melted).where("target_return is not null")
+    rows = panels.wide_rows(spark, path, "target_return")
+    return rows.where("target_return is not null")
 
 
 # ---- calendar and universe -------------------------------------------------

@@ -149,10 +149,11 @@ def write_wide_parts(
 ) -> DataFrame:
     """Long rows as several wide tables of at most ``width`` symbols each, for any number of symbols.
 
-    Every folder ``part-<n>`` holds a wide table with all days; the table ``_symbols`` (symbol, part)
-    tells where a symbol is, so that a reader opens only the folders it wants. Symbols are dealt in
-    their order; rows without a symbol have no column. Only the names of one part at a time, at most
-    ``width``, come to the driver. Returns (symbol, part).
+    Every folder ``part-<n>`` holds a wide table with all days; the table ``_symbols`` (symbol, part,
+    slot) tells where a symbol is, so that a reader opens only the folders and columns it wants.
+    Symbols are dealt in their order; rows without a symbol have no column. The columns of all parts
+    bear the numbers of their slots (``s0``, ``s1``...), so that one job writes every part and one scan
+    reads them; no name comes to the driver. Returns (symbol, part, slot).
     """
     spark = rows.sparkSession
     keyed = settle(
@@ -163,24 +164,53 @@ def write_wide_parts(
         ),
         "long",
     )
-    days = settle(keyed.select("value").distinct(), "days")
     names = keyed.where("symbol is not null").select("symbol").distinct()
+    place = F.col("_pos") - 1
     ordinal(names, [], [F.col("symbol")], pos="_pos").select(
-        "symbol", F.floor((F.col("_pos") - 1) / width).cast("int").alias("part")
+        "symbol",
+        F.floor(place / width).cast("int").alias("part"),
+        F.pmod(place, F.lit(width)).cast("int").alias("slot"),
     ).write.mode("overwrite").parquet(f"{path}/_symbols")
     placed = spark.read.parquet(f"{path}/_symbols")
-    held = new_path(spark, "parts")
-    dealt = keyed.join(placed, "symbol").repartitionByRange("part", "value")
-    dealt.write.partitionBy("part").parquet(held)
-    last = placed.agg(F.max("part")).first()[0]
-    for part in range(0 if last is None else last + 1):
-        own = [r["symbol"] for r in placed.where(F.col("part") == part).collect()]
-        mine = spark.read.parquet(held).where(F.col("part") == part)
-        wide = mine.groupBy("value").pivot("symbol", sorted(own)).agg(F.first("_v"))
-        days.join(wide, "value", "left").write.mode("overwrite").parquet(part_path(path, part))
+    last, widest = placed.agg(F.max("part"), F.max("slot")).first()
+    if last is None:
+        _place_parts(spark, path, 0)
+        return placed
+    slots = list(range(widest + 1))
+    # A row without a slot for each day of each part: every part has all days.
+    every = keyed.select("value").distinct().crossJoin(placed.select("part").distinct())
+    cells = keyed.join(placed, "symbol").select("part", "value", "slot", "_v").unionByName(
+        every, allowMissingColumns=True
+    )
+    # Pivoted inside the ranges, of which each holds whole days of few parts.
+    wide = (
+        cells.repartitionByRange("part", "value")
+        .groupBy("part", "value")
+        .pivot("slot", slots)
+        .agg(F.first("_v"))
+        .toDF("part", "value", *[f"s{slot}" for slot in slots])
+    )
+    wide.withColumn("_folder", F.col("part")).write.mode("overwrite").partitionBy(
+        "_folder"
+    ).parquet(f"{path}/_dealt")
+    _place_parts(spark, path, last + 1)
     return placed
 
 
+def _place_parts(spark: SparkSession, path: str, parts: int) -> None:
+    """Give the folders of the parts just written their names, in the place of any parts before."""
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.hadoop.fs.Path
+    fs = named(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for held in fs.listStatus(named(path)):
+        if held.getPath().getName().startswith("part-"):
+            fs.delete(held.getPath(), True)
+    for part in range(parts):
+        if not fs.rename(named(f"{path}/_dealt/_folder={part}"), named(part_path(path, part))):
+            raise OSError(f"part {part} of {path} was not placed")
+    fs.delete(named(path, "_dealt"), True)
+
+
 def part_path(path: str, part: int) -> str:
     return f"{path}/part-{part:05d}"
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import STOCK_CODE_PATTERN, parse_day, to_bool
 from tapeloom.functions.stats import is_finite, is_positive
+from tapeloom.plans.shared import sized
 from tapeloom.sinks.tables import part_path, read_if_present
 
 # Fixed values.
@@ -22,60 +24,145 @@ def stock_columns(names: Sequence[str], pattern: str = STOCK_CODE_PATTERN) -> li
     return [n for n in names if re.match(pattern, n)]
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame | None:
+    """(symbol, part, slot) of the parts at ``path``; None if one wide table is there."""
+    placed = read_if_present(spark, f"{path}/_symbols")
+    if placed is None:
+        return None
+    return placed.withColumn("symbol", F.col("symbol").cast("string"))
+
+
+def _is_stock(pattern: str) -> Column:
+    """:func:`stock_columns` for names that are rows."""
+
+    def run(names: pd.Series) -> pd.Series:
+        return names.str.match(pattern)
+
+    return F.pandas_udf(run, "boolean")("symbol")
+
+
 def wide_tables(
     spark: SparkSession, path: str, symbols: Sequence[str] | None = None
 ) -> list[DataFrame]:
-    """The wide tables at ``path``: one, or the parts that hold some of ``symbols``."""
-    placed = read_if_present(spark, f"{path}/_symbols")
+    """The wide tables at ``path`` by their symbols' names: one, or the parts with some of ``symbols``.
+
+    For few parts; :func:`wide_rows` reads any number of them in one scan.
+    """
+    placed = _placed(spark, path)
     if placed is None:
         return [spark.read.parquet(path)]
-    wanted = None if symbols is None else set(symbols)
-    # Names and numbers of columns, which the tables' schemas bring to the driver anyway.
-    rows = placed.collect()
-    parts = sorted({r["part"] for r in rows if wanted is None or r["symbol"] in wanted})
-    return [spark.read.parquet(part_path(path, part)) for part in parts]
+    wanted = placed
+    if symbols is not None:
+        picked = placed.where(F.col("symbol").isin(list(symbols))).select("part").distinct()
+        wanted = placed.join(picked, "part")
+    names: dict[int, list[str]] = {}
+    for r in wanted.orderBy("part", "slot").collect():
+        names.setdefault(r["part"], []).append(r["symbol"])
+    return [
+        spark.read.parquet(part_path(path, part))
+        .select("value", *[f"s{slot}" for slot in range(len(own))])
+        .toDF("value", *own)
+        for part, own in names.items()
+    ]
 
 
-def read_wide_panel(
+def _cells(wide: DataFrame, columns: list[str], places: DataFrame, value: str) -> DataFrame:
+    """(value, symbol, ``value``) of the cells that ``places`` (symbol, part, slot) names; a slot
+    counts ``columns``."""
+    opened = wide.select("part", "value", F.posexplode(F.array(*columns)).alias("slot", "_v"))
+    return opened.join(places, ["part", "slot"]).select(
+        "value", "symbol", F.col("_v").alias(value)
+    )
+
+
+def wide_rows(
     spark: SparkSession,
     path: str,
     value: str = "value",
-    symbols: Sequence[str] | None = None,
+    symbols: Sequence[str] | DataFrame | None = None,
     start: str | None = None,
     end: str | None = None,
-    pattern: str = STOCK_CODE_PATTERN,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """One row per day with a column per stock, melted to (trading_date, symbol, value).
+    """Every cell of the wide table or parts at ``path`` as (day, symbol, ``value``), the day under
+    its own name; empty cells are nulls.
 
-    ``path`` is one wide table or the parts of one. Only the wanted stock columns are read, of parts
-    only those that hold some, and the day bounds reach the Parquet scan.
+    Parts are one scan, whatever their number. ``symbols`` are names or a table of them.
     """
-    wanted = None if symbols is None else set(symbols)
-    melted = []
-    for wide in wide_tables(spark, path, symbols):
-        columns = [
-            c for c in stock_columns(wide.columns, pattern) if wanted is None or c in wanted
-        ]
-        if columns:
-            melted.append(_melted(wide, columns, value, start, end))
-    if not melted:
+    named = symbols is not None and not isinstance(symbols, DataFrame)
+    placed = _placed(spark, path)
+    if placed is None:
+        wide = _bounded(spark.read.parquet(path), start, end)
+        day = day_column(wide.columns)
+        columns = [c for c in wide.columns if c != day]
+        columns = columns if pattern is None else stock_columns(columns, pattern)
+        wanted = set(symbols) if named else None
+        columns = [c for c in columns if wanted is None or c in wanted]
+        if not columns:
+            raise ValueError(f"no stock column in {path}")
+        rows = wide.unpivot([day], columns, "symbol", "_v").withColumnRenamed("_v", value)
+        return rows if named or symbols is None else rows.join(symbols, "symbol", "left_semi")
+    if pattern is not None:
+        placed = placed.where(_is_stock(pattern))
+    if named:
+        # At most as many as the caller has named; only their folders and columns are read.
+        found = placed.where(F.col("symbol").isin(list(symbols))).collect()
+        if not found:
+            raise ValueError(f"no stock column in {path}")
+        slots = sorted({r["slot"] for r in found})
+        at = {slot: i for i, slot in enumerate(slots)}
+        places = spark.createDataFrame(
+            [(r["symbol"], r["part"], at[r["slot"]]) for r in found],
+            "symbol string, part int, slot int",
+        )
+        folders = [part_path(path, part) for part in sorted({r["part"] for r in found})]
+        wide = spark.read.parquet(*folders)
+        return _cells(_bounded(wide, start, end), [f"s{slot}" for slot in slots], places, value)
+    if symbols is not None:
+        placed = placed.join(symbols, "symbol", "left_semi")
+    if placed.isEmpty():
         raise ValueError(f"no stock column in {path}")
-    return reduce(DataFrame.unionByName, melted)
+    wide = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    columns = [c for c in wide.columns if c not in ("part", "value")]
+    return _cells(_bounded(wide, start, end), columns, placed, value)
 
 
-def _melted(
-    wide: DataFrame, columns: list[str], value: str, start: str | None, end: str | None
-) -> DataFrame:
-    bounded = wide.select("value", *columns)
+def _bounded(wide: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start is not None:
-        bounded = bounded.where(F.col("value") >= int(start.replace("-", "")))
+        wide = wide.where(F.col("value") >= int(start.replace("-", "")))
     if end is not None:
-        bounded = bounded.where(F.col("value") <= int(end.replace("-", "")))
-    return bounded.unpivot(["value"], columns, "symbol", "_v").select(
-        parse_day(F.col("value")).alias("trading_date"), "symbol", F.col("_v").alias(value)
+        wide = wide.where(F.col("value") <= int(end.replace("-", "")))
+    return wide
+
+
+def read_wide_panel(
+    spark: SparkSession,
+    path: str,
+    value: str = "value",
+    symbols: Sequence[str] | DataFrame | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    pattern: str = STOCK_CODE_PATTERN,
+) -> DataFrame:
+    """One row per day with a column per stock, melted to (trading_date, symbol, value).
+
+    ``path`` is one wide table or the parts of one. Of named ``symbols`` only their columns are read,
+    of parts only those that hold some, and the day bounds reach the Parquet scan.
+    """
+    rows = wide_rows(spark, path, "_cell", symbols, start, end, pattern)
+    return rows.select(
+        parse_day(F.col("value")).alias("trading_date"), "symbol", F.col("_cell").alias(value)
     )
 
 
+def _panel_symbols(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    placed = _placed(spark, path)
+    if placed is not None:
+        return placed.where(_is_stock(pattern)).select("symbol")
+    columns = stock_columns(spark.read.parquet(path).columns, pattern)
+    return spark.createDataFrame([(c,) for c in columns], "symbol string")
+
+
 def load_market_panels(
     spark: SparkSession,
     paths: Mapping[str, str],
@@ -86,15 +173,12 @@ def load_market_panels(
 
     The melted panels are stacked and folded in one aggregation instead of joined pairwise.
     """
-    shared = reduce(
-        lambda a, b: a & b,
-        (
-            {c for t in wide_tables(spark, p) for c in stock_columns(t.columns, pattern)}
-            for p in paths.values()
-        ),
+    shared = sized(
+        reduce(DataFrame.intersect, [_panel_symbols(spark, p, pattern) for p in paths.values()]),
+        "shared",
     )
     stacked = [
-        read_wide_panel(spark, p, "v", sorted(shared), end=end, pattern=pattern).withColumn(
+        read_wide_panel(spark, p, "v", shared, end=end, pattern=pattern).withColumn(
             "panel", F.lit(name)
         )
         for name, p in paths.items()
@@ -106,11 +190,11 @@ def load_market_panels(
 
 def axis_mismatch(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Days missing from some of the panels, with the number of panels that have them."""
-    days = [
+    days = []
+    for name, p in paths.items():
         # Every part has all days.
-        wide_tables(spark, p)[0].select(F.col("value"), F.lit(name).alias("panel"))
-        for name, p in paths.items()
-    ]
+        first = p if _placed(spark, p) is None else part_path(p, 0)
+        days.append(spark.read.parquet(first).select("value", F.lit(name).alias("panel")))
     return (
         reduce(DataFrame.unionByName, days)
         .groupBy("value")
@@ -150,16 +234,10 @@ def day_column(names: Sequence[str]) -> str:
 
 def read_wide_labels(spark: SparkSession, path: str) -> DataFrame:
     """Wide label table to (trading_date, symbol, label), finite labels only."""
-    melted = []
-    for wide in wide_tables(spark, path):
-        day = day_column(wide.columns)
-        symbols = [c for c in wide.columns if c != day]
-        melted.append(
-            wide.unpivot([day], symbols, "symbol", "label")
-            .where(is_finite("label"))
-            .select(parse_day(F.col(day)).alias("trading_date"), "symbol", "label")
-        )
-    return reduce(DataFrame.unionByName, melted)
+    rows = wide_rows(spark, path, "label")
+    return rows.where(is_finite("label")).select(
+        parse_day(F.col(day_column(rows.columns))).alias("trading_date"), "symbol", "label"
+    )
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -342,3 +342,63 @@ def test_wide_parts_without_rows_have_no_stock_column(spark, tmp_path):
     assert sink.write_wide_parts(empty, "close", path).count() == 0
     with pytest.raises(ValueError, match="no stock column"):
         panels.read_wide_panel(spark, path)
+
+
+def test_wide_parts_are_written_and_read_by_jobs_that_do_not_grow_with_them(spark, tmp_path):
+    from tapeloom.sinks import tables as sink
+    from tapeloom.sources import panels
+
+    def work(n, width):
+        """Jobs that write ``n`` symbols and collect them, and the scans of the plan that reads them."""
+        path = str(tmp_path / f"wide-{n}")
+        many = spark.range(n).select(
+            F.lpad(F.col("id").cast("string"), 6, "0").alias("symbol"),
+            F.lit(day(0)).alias("trading_date"),
+            F.col("id").cast("double").alias("close"),
+        )
+        group = f"wide-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            sink.write_wide_parts(many, "close", path, width)
+            out = panels.read_wide_panel(spark, path, "close", pattern=r"^\d{6}$")
+            labels = panels.read_wide_labels(spark, path)
+            got = rows(out, "symbol", "trading_date", "close")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == [(f"{i:06d}", day(0), float(i)) for i in range(n)]
+        assert labels.agg(F.sum("label")).first()[0] == sum(range(n))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        return jobs, out._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    few, many = work(12, 4), work(120, 4)
+    assert many[1] == few[1] == 2
+    # Listing many folders may be a job of its own.
+    assert many[0] <= few[0] + 4
+
+
+def test_market_panels_of_parts_hold_all_days_of_the_common_symbols(spark, tmp_path):
+    from tapeloom.sinks import tables as sink
+    from tapeloom.sources import panels
+
+    base = [(f"{i:06d}", day(d), float(10 * i + d)) for i in range(7) for d in (0, 1)]
+    schema = "symbol string, trading_date date, v double"
+    # The close panel lacks one cell of 000002, has 000009 alone, and a name that is no code.
+    close = [r for r in base if r[:2] != ("000002", day(1))] + [("000009", day(0), 1.0)]
+    odd = [("idx", day(0), 5.0)]
+    paths = {"open": str(tmp_path / "open"), "close": str(tmp_path / "close")}
+    sink.write_wide_parts(spark.createDataFrame(base + odd, schema), "v", paths["open"], 3)
+    sink.write_wide_parts(spark.createDataFrame(close + odd, schema), "v", paths["close"], 2)
+    out = panels.load_market_panels(spark, paths, pattern=r"^\d{6}$")
+    lost = lambda s, d, v: None if (s, d) == ("000002", day(1)) else v
+    assert rows(out, "symbol", "trading_date", "open", "close") == [
+        (s, d, v, lost(s, d, v)) for s, d, v in base
+    ]
+    assert panels.axis_mismatch(spark, paths).count() == 0
+    assert [t.columns[1:] for t in panels.wide_tables(spark, paths["open"], ["000004", "idx"])] == [
+        ["000003", "000004", "000005"],
+        ["000006", "idx"],
+    ]
+    # Fewer parts than before take the place of all of them.
+    sink.write_wide_parts(spark.createDataFrame(base[:2], schema), "v", paths["open"], 3)
+    again = panels.read_wide_panel(spark, paths["open"], "v", pattern=r"^\d{6}$")
+    assert rows(again, "symbol", "trading_date", "v") == base[:2]
