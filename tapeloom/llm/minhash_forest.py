@@ -9,20 +9,23 @@ its own sequence. Texts with a long common prefix in some order are candidates:
 3. In all trees, regions (nodes with a common prefix of ``LEAST_DEPTH``) that hold several groups are
    looked at again. A region of at most ``REGION`` nodes pairs all nodes of different groups; a larger
    one is split by the next values of its tree until its parts are so small, down to ``DEPTHS``.
-4. In regions that had to be split, each node also meets its nearest neighbours by common prefix: the
-   last ``WINDOW`` other groups before it in the sorted order of every tree. This goes on in rounds:
-   groups that were joined count as one, and others come into the window, until nothing new is found.
+4. All nodes of the regions that had to be split meet in an exact join on their rarest shingles
+   (prefix, length and position filter), which loses no pair, whatever the sizes of the parts before:
+   splitting only finds groups early, whose members need not meet again. The work grows with the pairs
+   of different groups that share rare shingles and may be similar enough.
 
-Each round has at most a constant times as many pairs as nodes, whatever the groups. A candidate
-whose signatures agree in too few values (seven standard deviations under the least similarity) is
-left out, and so is one whose set sizes alone rule the similarity out, which loses nothing; the
-others are decided exactly, on the full shingle sets of the whole texts.
+Without ``exact_crowds``, step 4 is instead: each node of such a region meets its nearest neighbours by
+common prefix, the last ``WINDOW`` other groups before it in the sorted order of every tree, in rounds:
+groups that were joined count as one, and others come into the window, until nothing new is found. Each
+round has at most a constant times as many pairs as nodes, but among very many texts just under the
+threshold, links just over it can be missed.
 
-Two texts with similarity 0.8 share a region in at least one tree with probability 1 - 5e-8. In a
-region that is split they meet in a part of some tree (0.99 at twice the least depth, 0.9 at the
-deepest) or in a window. Among very many texts just under the threshold, links just over it can be
-missed; ``exact_crowds`` finds those, too, by a join on the rarest shingles (prefix, length and
-position filter) whose work grows with the pairs that share rare shingles.
+A candidate of steps 2 and 3 whose signatures agree in too few values (seven standard deviations under
+the least similarity) is left out, and so is one whose set sizes alone rule the similarity out, which
+loses nothing; the others are decided exactly, on the full shingle sets of the whole texts.
+
+Two texts with similarity 0.8 share a region in at least one tree with probability 1 - 5e-8; in a region
+of any size, they are then compared.
 
 Words are runs of characters other than space and U+0009..U+000D, with A-Z lower-cased. With fewer
 words than a shingle has, all words are one shingle; without words or text the set is empty, and the
@@ -59,7 +62,7 @@ WINDOW = 16
 #: Below this similarity, too few pairs would share a region.
 LEAST_PERCENT = 60
 STEP = 512
-#: Most nodes of a group that meet others under one shingle together.
+#: Nodes that meet others under one shingle together.
 CELL = 256
 #: Slots by which the shingles of a crowd are counted.
 SLOTS = 1 << 20
@@ -335,8 +338,8 @@ def _crowd_pairs(
 
     Nothing is left out: two sets that hold up share one of their rarest shingles (in any one order
     of all shingles; the order decides the work only), and have lengths that allow it. Under a
-    shingle, nodes meet in cells of one group and at most ``CELL`` nodes, so the members of a large
-    group never meet each other.
+    shingle, nodes meet in cells of about ``CELL`` nodes, which hold small groups as wholes or a part
+    of one larger group, so the members of a large group never meet each other.
     """
     spark = crowd.sparkSession
     read = _texts_of(crowd, nodes, texts).join(nodes.select("node", "grp"), "node")
@@ -359,14 +362,21 @@ def _crowd_pairs(
         .select("token")
     )
     met = settle(prefixes.join(shared, "token"), "met")
-    parts = met.groupBy("token", "grp").agg(
-        F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("parts")
+    counts = met.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("of_grp"))
+    pools = counts.where(F.col("of_grp") <= CELL).groupBy("token").agg(
+        F.ceil(F.sum("of_grp") / CELL).cast("long").alias("pools")
     )
+    # Small groups share cells, as wholes; a larger one has cells of its own, under its number.
+    large = F.col("of_grp") > CELL
+    within = F.expr(f"pmod(xxhash64(node), cast(ceil(of_grp / {CELL}) as long))")
     cells = settle(
-        met.join(parts, ["token", "grp"])
-        .groupBy("token", "grp", F.expr("pmod(xxhash64(node), parts)").alias("part"))
+        met.join(counts, ["token", "grp"])
+        .join(pools, "token", "left")
+        .withColumn("home", F.when(large, F.col("grp")).otherwise(F.lit(-1)))
+        .withColumn("part", F.when(large, within).otherwise(F.expr("pmod(xxhash64(grp), pools)")))
+        .groupBy("token", "home", "part")
         .agg(
-            F.collect_list(F.struct("node", "n", "at", "short")).alias("rows"),
+            F.collect_list(F.struct("node", "grp", "n", "at", "short")).alias("rows"),
             F.max("short").alias("any"),
             F.min("n").alias("least"),
             F.max("n").alias("most"),
@@ -377,18 +387,20 @@ def _crowd_pairs(
         cells.select("token", *(F.col(c).alias(f"{c}_{x}") for c in cells.columns if c != "token"))
         for x in ("a", "b")
     )
+    allowed = f"""
+        (other or x.grp < y.grp)
+        and ((x.n <= y.n and x.short) or (y.n <= x.n and y.short))
+        and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        -- What can still be common from here on, if this is the first common shingle.
+        and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"""
     pairs = (
         left.join(right, "token")
-        .where("grp_a < grp_b and (any_a or any_b)")
+        .where("struct(home_a, part_a) <= struct(home_b, part_b) and (any_a or any_b)")
+        .where("home_a < 0 or home_a <> home_b")
         .where(f"100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a")
-        .select(F.explode("rows_a").alias("x"), "rows_b")
-        .select("x", F.explode("rows_b").alias("y"))
-        .where("(x.n <= y.n and x.short) or (y.n <= x.n and y.short)")
-        .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        # What can still be common from here on, if this is the first common shingle.
-        .where(
-            f"{100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"
-        )
+        .withColumn("other", F.expr("home_a <> home_b or part_a <> part_b"))
+        .select("other", F.explode("rows_a").alias("x"), "rows_b")
+        .select("x", F.explode(F.expr(f"filter(rows_b, y -> {allowed})")).alias("y"))
     )
     a, b = F.col("x.node"), F.col("y.node")
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -482,14 +494,15 @@ def near_copies(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    exact_crowds: bool = False,
+    exact_crowds: bool = True,
 ) -> DataFrame:
     """One row per document: doc_id, row, text_hash, n_shingles, grp, component_id, kept.
 
     ``grp`` numbers the groups; a group's ``component_id`` is its smallest id.
 
     ``size`` is the words of a shingle, ``percent`` the least share of common shingles, 60 at least.
-    ``exact_crowds`` also joins the nodes of crowded regions on their rarest shingles.
+    ``exact_crowds`` joins the nodes of crowded regions on their rarest shingles; without it they
+    meet in windows only.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
@@ -517,9 +530,12 @@ def near_copies(
     tested = _close(pairs, grouped, percent)
     groups = merged(groups, _verified(tested, grouped, texts, size, percent))
     if exact_crowds and not crowd.isEmpty():
-        more = settle(_crowd_pairs(crowd, grouped, texts, size, percent), "crowd-pairs")
-        groups = merged(groups, _verified(more, grouped, texts, size, percent))
-    while not crowd.isEmpty():
+        now = settle(_with_groups(nodes, groups), "nodes")
+        met = settle(_crowd_pairs(crowd, now, texts, size, percent), "crowd-pairs")
+        # Those of two nodes that the forest already paired are decided.
+        more = settle(met.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
+        groups = merged(groups, _verified(more, now, texts, size, percent))
+    while not exact_crowds and not crowd.isEmpty():
         own = settle(crowd.join(_with_groups(nodes, groups), "node"), "own")
         again = crowded.join(own.select("node", "grp", "n", "sign"), "node")
         met = _sorted_pairs(again, WINDOW, percent)
