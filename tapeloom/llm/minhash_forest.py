@@ -7,18 +7,20 @@ its own sequence. Texts with a long common prefix in some order are candidates:
 2. In the first trees every node is paired with its neighbour in the sorted order if their common
    prefix is at least ``LEAST_DEPTH`` long. Pairs that hold up give a first grouping.
 3. In all trees, regions (nodes with a common prefix of ``LEAST_DEPTH``) that hold several groups are
-   looked at again. A region of at most ``REGION`` nodes pairs all nodes of different groups; a larger
-   one is split by the next values of its tree until its parts are so small, down to ``DEPTHS``.
-4. All nodes of the regions that had to be split meet in an exact join on their rarest shingles
-   (prefix, length and position filter), which loses no pair, whatever the sizes of the parts before:
-   splitting only finds groups early, whose members need not meet again. The work grows with the pairs
-   of different groups that share rare shingles and may be similar enough.
-
-Without ``exact_crowds``, step 4 is instead: each node of such a region meets its nearest neighbours by
-common prefix, the last ``WINDOW`` other groups before it in the sorted order of every tree, in rounds:
-groups that were joined count as one, and others come into the window, until nothing new is found. Each
-round has at most a constant times as many pairs as nodes, but among very many texts just under the
-threshold, links just over it can be missed.
+   looked at again. A region of at most ``REGION`` nodes pairs all nodes of different groups. In a larger
+   one every node is paired with its neighbour of another group in the sorted order, so with one of the
+   longest common prefix, however long: at most one pair for each node and tree.
+4. All nodes of the larger regions meet in an exact join on their rarest shingles (prefix, length and
+   position filter), which loses no pair: the neighbours of step 3 only find groups early, whose members
+   need not meet again. The work grows with the pairs of different groups that share rare shingles and
+   may be similar enough.
+
+Without ``exact_crowds``, a larger region is split by the next values of its tree until its parts hold
+``REGION`` nodes, down to ``DEPTHS``, and step 4 is instead: each node of such a region meets its nearest
+neighbours by common prefix, the last ``WINDOW`` other groups before it in the sorted order of every tree,
+in rounds: groups that were joined count as one, and others come into the window, until nothing new is
+found. Each round has at most a constant times as many pairs as nodes, but among very many texts just under
+the threshold, links just over it can be missed.
 
 A candidate of steps 2 and 3 whose signatures agree in too few values (seven standard deviations under
 the least similarity) is left out, and so is one whose set sizes alone rule the similarity out, which
@@ -251,14 +253,21 @@ def _sizes(rows: DataFrame, region: list[str]) -> DataFrame:
     )
 
 
-def _region_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of nodes of different groups that share a region at its own depth, and the rows
-    (tree, p, q, r, node) of the regions that were too large at the least depth."""
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs of nodes of different groups in regions of at most REGION nodes, and the rows
+    (tree, p, q, r, node, grp) of the larger regions that hold several groups."""
     region = ["tree", "p"]
     rows = _forest(nodes)
     found = settle(rows.join(_sizes(rows, region), region), "regions")
     pairs = _pairs_within(found.where(F.col("n") <= REGION), region)
-    crowded = found.where(F.col("n") > REGION).drop("n")
+    return pairs, found.where(F.col("n") > REGION).drop("n")
+
+
+def _split_pairs(crowded: DataFrame) -> DataFrame:
+    """Pairs of nodes of different groups that share a part of a large region, split until it holds
+    at most REGION nodes."""
+    region = ["tree", "p"]
+    pairs = crowded.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     left = crowded
     for depth in DEPTHS:
         if left.isEmpty():
@@ -270,7 +279,7 @@ def _region_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         sized_parts = settle(cut.join(_sizes(cut, part), part), "parts")
         pairs = pairs.unionByName(_pairs_within(sized_parts.where(F.col("n") <= REGION), part))
         left = sized_parts.where(F.col("n") > REGION).drop("n", "cut")
-    return pairs, crowded.drop("grp")
+    return pairs
 
 
 def _hashes_of(texts: pd.Series, size: int) -> Iterator[np.ndarray]:
@@ -525,8 +534,12 @@ def near_copies(
     chain = _close(_sorted_pairs(_forest(nodes, FIRST_TREES), 1, percent), nodes, percent)
     groups = settle(components(_verified(chain, nodes, texts, size, percent)), "groups")
     grouped = settle(_with_groups(nodes, groups), "nodes")
-    pairs, crowded = _region_pairs(grouped)
+    pairs, crowded = _regions(grouped)
     crowd = settle(crowded.select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        # The exact join decides all pairs of a crowd, so neighbours are enough to find groups early.
+        inside = _sorted_pairs(crowded, 1, percent) if exact_crowds else _split_pairs(crowded)
+        pairs = pairs.unionByName(inside)
     tested = _close(pairs, grouped, percent)
     groups = merged(groups, _verified(tested, grouped, texts, size, percent))
     if exact_crowds and not crowd.isEmpty():
@@ -537,7 +550,7 @@ def near_copies(
         groups = merged(groups, _verified(more, now, texts, size, percent))
     while not exact_crowds and not crowd.isEmpty():
         own = settle(crowd.join(_with_groups(nodes, groups), "node"), "own")
-        again = crowded.join(own.select("node", "grp", "n", "sign"), "node")
+        again = crowded.drop("grp").join(own.select("node", "grp", "n", "sign"), "node")
         met = _sorted_pairs(again, WINDOW, percent)
         new = settle(met.join(tested, ["a", "b"], "left_anti"), "windows")
         found = _verified(new, nodes, texts, size, percent)
