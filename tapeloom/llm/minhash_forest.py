@@ -303,6 +303,24 @@ def _weigh(size: int):
     return run
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of bytes for each batch: as rows, the counts take some 300 bytes each in the driver."""
+    for batch in batches:
+        slots, counts = batch["slot"].to_numpy("<i4"), batch["n"].to_numpy("<i8")
+        yield pd.DataFrame({"slots": [slots.tobytes()], "counts": [counts.tobytes()]})
+
+
+def _slot_weights(texts: DataFrame, size: int) -> np.ndarray:
+    """How many texts have a shingle in each slot."""
+    counted = texts.select("text").mapInPandas(_weigh(size), "slot long, n long")
+    summed = counted.groupBy("slot").agg(F.sum("n").alias("n"))
+    weight = np.zeros(SLOTS, np.int64)
+    # 12 bytes for each of at most SLOTS slots, for any input.
+    for row in summed.mapInPandas(_packed, "slots binary, counts binary").collect():
+        weight[np.frombuffer(row["slots"], "<i4")] = np.frombuffer(row["counts"], "<i8")
+    return weight
+
+
 def _prefixes(size: int, percent: int, weights):
     """The rarest shingles of each text, by which a pair that is similar enough must meet.
 
@@ -352,11 +370,7 @@ def _crowd_pairs(
     """
     spark = crowd.sparkSession
     read = _texts_of(crowd, nodes, texts).join(nodes.select("node", "grp"), "node")
-    counted = read.select("text").mapInPandas(_weigh(size), "slot long, n long")
-    weight = np.zeros(SLOTS, np.int64)
-    # At most SLOTS rows, for any input.
-    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    weight[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    weight = _slot_weights(read, size)
     prefixes = settle(
         read.mapInPandas(
             _prefixes(size, percent, spark.sparkContext.broadcast(weight)),

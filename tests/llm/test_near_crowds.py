@@ -2,7 +2,10 @@
 
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom.llm import minhash_forest
 
@@ -134,3 +137,17 @@ def test_parts_of_crowded_regions_are_not_joined_with_themselves(make_docs, monk
     assert components_of(make_docs(texts.items())) == all_pairs_components(texts, 2)
     assert joined == [["tree", "p"]]
     assert len(inside) == 2 and 0 < inside[1] <= crowded_rows[1]
+
+
+def test_slot_counts_reach_the_driver_packed(make_docs):
+    """The counts of the shingles are those of a plain loop; a row for each batch, not for each slot."""
+    texts = crowd(40, 10)
+    want = np.zeros(minhash_forest.SLOTS, np.int64)
+    for hashes in minhash_forest._hashes_of(pd.Series(list(texts.values())), 2):
+        np.add.at(want, (hashes % np.uint64(minhash_forest.SLOTS)).astype(np.int64), 1)
+    docs = make_docs(texts.items())
+    assert (minhash_forest._slot_weights(docs, 2) == want).all()
+    none = minhash_forest._slot_weights(docs.where(F.col("doc_id") < 0), 2)
+    assert len(none) == minhash_forest.SLOTS and not none.any()
+    batch = pd.DataFrame({"slot": np.arange(1000), "n": np.arange(1000)})
+    assert [len(x) for x in minhash_forest._packed([batch])] == [1]
