@@ -18,6 +18,10 @@ make neighbours.
   States whose next character does not follow go at once; a state above a single word is decided
   by comparing the two words, as are all neighbours in the end, so no hash decides anything alone.
 
+No side of a join is broadcast. A word makes some twenty states, and Spark sizes them as if it made
+one; a settled table counts by its compressed files, a tenth of what it takes as a hash table. So
+below the size at which words cease to be broadcast, the driver would gather many times that size.
+
 A node has at most as many edges as there are characters; that a third of all words may share a
 prefix makes many states at one node, which adaptive execution splits in the join.
 
@@ -53,6 +57,11 @@ _PRIMES = (2_147_483_647, 2_147_483_629)
 _FACTORS = (1_103_515_245, 1_664_525_013)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, whatever sizes Spark expects; adaptive execution still splits its skew."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n): the words after the deletions, of the least length and count."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -178,7 +187,7 @@ def _fetched(states: DataFrame, words: DataFrame) -> DataFrame:
     forward = F.expr(f"substring(word, length(word) - left + 1, {AHEAD})")
     back = F.expr(f"reverse(substring(word, greatest(left - {AHEAD}, 0) + 1, least(left, {AHEAD})))")
     rest = F.when(F.col("reverse"), back).otherwise(forward)
-    found = states.join(words.select("wid", "word"), "wid").withColumn("rest", rest)
+    found = _merged(states, words.select("wid", "word"), "wid").withColumn("rest", rest)
     return settle(found.select("wid", "node", "reverse", "rest", "left"), "fetched")
 
 
@@ -190,7 +199,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         "wid long, node long, reverse boolean, inserts boolean, rest string, left int",
     )
     own = F.substring("rest", 1, 1)
-    met = starts.join(edges, "node").where(
+    met = _merged(starts, edges, "node").where(
         F.when(F.col("inserts"), F.col("ch") != own).otherwise(F.col("ch") > own)
     )
     read = F.when(F.col("inserts"), F.lit(0)).otherwise(F.lit(1))
@@ -217,16 +226,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
         if level % AHEAD == 0:
             going = _fetched(going, words)
         on = ["node", "ch"]
-        states = _alive(_read_on(going.withColumn("ch", F.substring("rest", 1, 1)).join(edges, on)))
+        reading = going.withColumn("ch", F.substring("rest", 1, 1))
+        states = _alive(_read_on(_merged(reading, edges, on)))
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
     one = words.select("wid", F.col("word").alias("a"))
     two = words.select(F.col("wid").alias("other"), F.col("word").alias("b"))
     pairs = (
-        candidates.distinct()
-        .join(one, "wid")
-        .join(two, "other")
+        _merged(_merged(candidates.distinct(), one, "wid"), two, "other")
         .where(F.levenshtein("a", "b", 1) == 1)
         .select("a", "b")
         .distinct()
@@ -240,8 +248,7 @@ def variant_groups(words: DataFrame) -> DataFrame:
     rows = settle(words.select(F.xxhash64("word").alias("wid"), "word", "n"), "words")
     counts = rows.select(F.col("word").alias("b"), F.col("n").alias("b_n"))
     best = (
-        near_pairs(rows)
-        .join(counts, "b")
+        _merged(near_pairs(rows), counts, "b")
         .groupBy(F.col("a").alias("word"))
         .agg(
             F.count(F.lit(1)).alias("n_near"),
@@ -251,7 +258,7 @@ def variant_groups(words: DataFrame) -> DataFrame:
     form_n = -F.col("best.rank")
     fits = form_n >= FORM_TIMES * F.col("n")
     forms = settle(
-        rows.join(best, "word", "left").select(
+        _merged(rows, best, "word", "left").select(
             "word",
             "n",
             F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -260,7 +267,7 @@ def variant_groups(words: DataFrame) -> DataFrame:
         ),
         "forms",
     )
-    return forms.join(roots_of(forms), "word").select(
+    return _merged(forms, roots_of(forms), "word").select(
         "word", "form", "root", "n", "n_near", "form_n"
     )
 
@@ -280,7 +287,7 @@ def roots_of(forms: DataFrame) -> DataFrame:
         step = now.where("goes").select(
             F.col("word").alias("root"), F.col("root").alias("further")
         )
-        joined = now.join(step, "root", "left")
+        joined = _merged(now, step, "root", "left")
         if joined.where("further is not null").isEmpty():
             return now.select("word", "root")
         now = settle(

@@ -106,3 +106,30 @@ def test_nulls_empty_texts_repeated_rows_and_clashing_names(make_docs):
 def test_empty_table(make_docs):
     words = spelling_variants.word_counts(make_docs([]))
     assert spelling_variants.variant_groups(words).collect() == []
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    """Words make many more states than Spark expects, which the driver would gather."""
+    plans = {}
+    settle = spelling_variants.settle
+
+    def settled(df, label="rows"):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, label)
+
+    monkeypatch.setattr(spelling_variants, "settle", settled)
+    counts = {"market": 5, "markets": 40, "marketss": 400, "marketing": 7, "marketinf": 6}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    found = spelling_variants.variant_groups(words)
+    plans["result"] = [found._jdf.queryExecution().executedPlan().toString()]
+    assert {tuple(r[c] for c in COLUMNS) for r in found.collect()} == brute_groups(counts)
+    states = [(1, 7, False, "", 3), (1, 8, True, "", 2)]
+    kinds = "wid long, node long, reverse boolean, rest string, left int"
+    fetched = spelling_variants._fetched(
+        settle(spark.createDataFrame(states, kinds)),
+        settle(spark.createDataFrame([(1, "market")], "wid long, word string")),
+    )
+    assert {(r.node, r.rest) for r in fetched.collect()} == {(7, "ket"), (8, "am")}
+    assert not [label for label, of in plans.items() if any("Broadcast" in p for p in of)]
+    joining = {label for label, of in plans.items() if any("SortMergeJoin" in p for p in of)}
+    assert joining == {"states", "fetched", "pairs", "forms", "roots", "result"}
